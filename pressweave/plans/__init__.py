@@ -1,0 +1,3 @@
+"""Query plans by theme; importing this package registers them all."""
+
+from . import clusters, feeds, texts  # noqa: F401
