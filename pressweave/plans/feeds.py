@@ -118,11 +118,11 @@ def coverage_split(spark, sf_dir):
 
 
 @query(""", v AS (SELECT cluster_id, source_country, count(*) AS n, min(id) AS first_id FROM full_articles GROUP BY 1, 2)
-SELECT cluster_id, source_country FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first_id) AS r FROM v) WHERE r = 1""")
+SELECT cluster_id, source_country FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, first_id, source_country) AS r FROM v) WHERE r = 1""")
 def outlet_country_mode(spark, sf_dir):
     """Most frequent country of a cluster's outlets, the first seen among equals."""
     votes = News(spark, sf_dir).full_articles().groupBy("cluster_id", "source_country").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-    return votes.groupBy("cluster_id").agg(F.min_by("source_country", F.struct(-F.col("n"), "first_id")).alias("source_country"))
+    return votes.groupBy("cluster_id").agg(F.min_by("source_country", F.struct(-F.col("n"), "first_id", "source_country")).alias("source_country"))
 
 
 @query(", lead AS (SELECT * FROM live ORDER BY last_seen DESC, id LIMIT 1) SELECT l.id FROM live l JOIN lead ON l.category = lead.category AND l.id <> lead.id ORDER BY l.last_seen DESC, l.id LIMIT 6")
@@ -175,7 +175,7 @@ def bands(spark, sf_dir):
 @query("SELECT count(*) || '-' || coalesce(max(epoch_ms(last_seen)), 0) AS stamp FROM live")
 def story_stamp(spark, sf_dir):
     """A21."""
-    return News(spark, sf_dir).live().agg(F.concat_ws("-", F.count("*"), F.coalesce(F.max(F.unix_millis("last_seen")), F.lit(0))).alias("stamp"))
+    return News(spark, sf_dir).live().agg(F.concat_ws("-", F.count("*"), F.coalesce(F.max(F.unix_millis(F.col("last_seen").cast("timestamp"))), F.lit(0))).alias("stamp"))
 
 
 @query("SELECT (SELECT count(*) FROM articles) AS articles, (SELECT count(*) FROM clusters) AS clusters, (SELECT count(*) FROM clusters WHERE written) AS written, (SELECT count(*) FROM sources) AS outlets")
@@ -193,7 +193,7 @@ def countries_with_news(spark, sf_dir):
     return News(spark, sf_dir).live().select("country").distinct()
 
 
-@query("SELECT id, list_aggregate(list_filter([CASE WHEN country = 'ASIA' THEN 'national' END, CASE WHEN country <> 'ASIA' THEN 'international' END, CASE WHEN place_id < 5 THEN 'local' END], x -> x IS NOT NULL), 'string_agg', ',') AS scopes FROM live")
+@query("SELECT id, list_aggregate(list_filter([CASE WHEN country = 'ASIA' THEN 'national' END, CASE WHEN country <> 'ASIA' THEN 'international' END, CASE WHEN place_id < 5 THEN 'local' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS scopes FROM live")
 def scope_lenses(spark, sf_dir):
     """Overlapping scopes of a story."""
     found = F.array(F.when(F.col("country") == HOME, "national"), F.when(F.col("country") != HOME, "international"), F.when(F.col("place_id") < 5, "local"))
@@ -209,7 +209,7 @@ def dynamic_topic_pills(spark, sf_dir):
 @query("SELECT topic, count(*) AS n, max(epoch_ms(last_seen)) AS latest FROM live GROUP BY topic ORDER BY n DESC, latest DESC, topic LIMIT 40")
 def recent_topics(spark, sf_dir):
     """A10."""
-    return News(spark, sf_dir).live().groupBy("topic").agg(F.count("*").alias("n"), F.max(F.unix_millis("last_seen")).alias("latest")).orderBy(F.desc("n"), F.desc("latest"), "topic").limit(40)
+    return News(spark, sf_dir).live().groupBy("topic").agg(F.count("*").alias("n"), F.max(F.unix_millis(F.col("last_seen").cast("timestamp"))).alias("latest")).orderBy(F.desc("n"), F.desc("latest"), "topic").limit(40)
 
 
 @query("SELECT id, source_count, article_count FROM stories WHERE NOT written AND source_count >= 2 ORDER BY source_count DESC, article_count DESC, id LIMIT 40")

@@ -24,11 +24,11 @@ full_articles AS (SELECT a.*, s.name, s.bias, s.country AS source_country FROM a
 counts AS (
   SELECT cluster_id, count(DISTINCT content) AS article_count, count(DISTINCT source_id) AS source_count FROM full_articles GROUP BY cluster_id),
 prominence AS (SELECT cluster_id, count(DISTINCT source_id) AS prominence FROM articles WHERE prominent GROUP BY cluster_id),
-asof AS (SELECT max(o_orderdate) AS t FROM orders),
+as_of AS (SELECT max(o_orderdate) AS t FROM orders),
 stories AS (
   SELECT c.*, coalesce(n.article_count, 0) AS article_count, coalesce(n.source_count, 0) AS source_count, coalesce(p.prominence, 0) AS prominence,
-         CAST(epoch(asof.t - c.last_seen) AS DOUBLE) / 3600 AS age_hours
-  FROM clusters c LEFT JOIN counts n ON c.id = n.cluster_id LEFT JOIN prominence p ON c.id = p.cluster_id CROSS JOIN asof),
+         CAST(epoch(as_of.t - c.last_seen) AS DOUBLE) / 3600 AS age_hours
+  FROM clusters c LEFT JOIN counts n ON c.id = n.cluster_id LEFT JOIN prominence p ON c.id = p.cluster_id CROSS JOIN as_of),
 live AS (SELECT * FROM stories WHERE written AND age_hours <= 1440)
 """
 

@@ -11,7 +11,7 @@ from ..sources.adapter import News
 from .registry import query
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in T.STOP) + ")"
-TOKENS_SQL = f"""toks AS (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z][a-z''’-]{{2,}}'), w -> regexp_replace(w, '[''’]s$', '')), w -> length(w) > 2 AND w NOT IN {STOP_SQL}) AS w FROM documents),
+TOKENS_SQL = f"""toks AS (SELECT doc_id, source, list_filter(list_transform(regexp_extract_all(lower(text), '[a-z][a-z''’-]{{2,}}'), lambda w: regexp_replace(w, '[''’]s$', '')), lambda w: length(w) > 2 AND w NOT IN {STOP_SQL}) AS w FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM toks) GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), total AS (SELECT count(*) AS n FROM documents),
 raw AS (SELECT doc_id, tf.term, (1 + ln(tf.n)) * ln((total.n + 1) / (df.df + 0.5)) AS w FROM tf JOIN df USING (term), total),
@@ -41,7 +41,7 @@ def documents(spark, sf_dir) -> DataFrame:
 @query("WITH " + TOKENS_SQL + " SELECT doc_id, CAST(len(w) AS BIGINT) AS n, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM toks", False)
 def tokenise_counts(spark, sf_dir):
     """T1."""
-    return documents(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+    return documents(spark, sf_dir).select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
 @query("WITH " + TOKENS_SQL + " SELECT term, df, round(ln((total.n + 1) / (df + 0.5)), 6) AS idf FROM df, total WHERE df >= 5", False)
@@ -78,12 +78,14 @@ def cosine_residual_pairs(spark, sf_dir):
     return pairs.select("a", "b", F.round("sim", 6).alias("sim"), F.round(F.col("sim") - F.col("top"), 6).alias("residual")).where("sim >= 0.16 AND residual >= 0.04")
 
 
-@query("WITH " + TOKENS_SQL + """, s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), i -> array_to_string(w[i:i + 4], ' '))) END AS s FROM toks),
+@query("WITH " + TOKENS_SQL + """, s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM toks),
 e AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, shared, round(shared / (len(x.s) + len(y.s) - shared), 6) AS jaccard FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 2 * shared >= len(x.s) + len(y.s) - shared""", False)
 def near_duplicate_pairs(spark, sf_dir):
     """Pairs of Jaccard similarity 0.5 and more on 5-word shingles, through an inverted index."""
-    sets = documents(spark, sf_dir).select("doc_id", T.shingles(T.tokens(F.col("text"))).alias("s"))
+    # each array passes through explode, so that what follows reads it as a column and doesn't compute it again
+    words = documents(spark, sf_dir).select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("w"))
+    sets = words.select("doc_id", F.explode(F.array(T.shingles(F.col("w")))).alias("s"))
     sized = sets.select("doc_id", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("g"))
     left, right = sized.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na")), sized.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
     close = left.join(right, "g").where((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= F.greatest("na", "nb")))
@@ -92,7 +94,7 @@ def near_duplicate_pairs(spark, sf_dir):
     return shared.where(2 * F.col("shared") >= union).select("a", "b", "shared", F.round(F.col("shared") / union, 6).alias("jaccard"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b([A-Z][a-z’''-]{2,}(?:\s+[A-Z][a-z’''-]{2,})*)\b', 1), w -> lower(w))) AS names FROM documents WHERE lang = 'en')
+@query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b([A-Z][a-z’''-]{2,}(?:\s+[A-Z][a-z’''-]{2,})*)\b', 1), lambda w: lower(w))) AS names FROM documents WHERE lang = 'en')
 SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(names) AS name FROM n) WHERE name NOT IN """ + STOP_SQL + " GROUP BY name HAVING count(*) >= 3", False)
 def entity_counts(spark, sf_dir):
     """Names by number of English articles."""

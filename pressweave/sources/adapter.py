@@ -56,7 +56,7 @@ class News:
             c.join(counts, c.id == counts.cluster_id, "left").drop("cluster_id").join(prominence, c.id == prominence.cluster_id, "left").drop("cluster_id")
             .fillna(0, ["article_count", "source_count", "prominence"])
             .crossJoin(F.broadcast(now))
-            .withColumn("age_hours", (F.col("now").cast("double") - F.col("last_seen").cast("double")) / 3600)
+            .withColumn("age_hours", F.timestamp_diff("SECOND", F.col("last_seen"), F.col("now")) / 3600)
             .drop("now")
         )
 
