@@ -75,7 +75,8 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return np.asarray(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    """The identifiers of a batch without null ones."""
+    return np.asarray(batch.column(0))
 
 
 NAMES = ["kind", "a", "n", "h1", "h2"]
@@ -92,13 +93,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([_long(x) for x in (zero + 1, g, n, zero, zero)], names=NAMES)
 
     for batch in batches:
-        ids = _ids(batch)
         for b in blocks(as_bytes(batch.column(1))):
             owner, g = shingles(b)
             k = b.last - b.first
             n = np.bincount(owner, minlength=k)
             h1, h2 = _sums(mix(g), owner, k), _sums(mix(g ^ np.uint64(0x5851F42D4C957F2D)), owner, k)
-            yield pa.RecordBatch.from_arrays([_long(x) for x in (np.zeros(k), ids[b.first : b.last], n, h1, h2)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([_long(np.zeros(k)), batch.column(0).slice(b.first, k), *(_long(x) for x in (n, h1, h2))], names=NAMES)
             held.append(g)
             size += len(g)
             if size > LOCAL_TOKENS:
@@ -265,6 +265,7 @@ def link(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = texts.where("doc_id IS NOT NULL")
     scanned = materialise(texts.mapInArrow(_signatures, "kind long, a long, n long, h1 long, h2 long"))
     signed = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "h1", "h2")
     often = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas().sort_values("a")
@@ -273,7 +274,7 @@ def link(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast((tokens[by], counts[by]))
     classes = materialise(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     firsts = classes.select(F.col("first").alias("doc_id"))
-    prefixes = materialise(texts.mapInArrow(lambda it: _prefixes(order, it), "doc_id long, n long, prefix array<long>, b1 long, b2 long").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    prefixes = materialise(known.mapInArrow(lambda it: _prefixes(order, it), "doc_id long, n long, prefix array<long>, b1 long, b2 long").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     base = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
     posted = prefixes.select("doc_id", "n", "b1", "b2", F.explode(F.slice("prefix", 1, (base + 1).cast("int"))).alias("token")).select("token", "doc_id", "n", "b1", "b2")
     seen = materialise(
@@ -281,7 +282,7 @@ def link(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.sum("partners").alias("partners"), F.min(F.when(F.col("near") >= 0, F.struct("apart", "near")))["near"].alias("near"))
     )
-    sets = materialise(texts.join(seen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, set array<long>"))
+    sets = materialise(known.join(seen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, set array<long>"))
     near = seen.where("near IS NOT NULL").select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct()
     links = materialise(_verified(near, sets))
     joined = components(links)

@@ -135,7 +135,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, g, doc_id, start, size): content-cut pieces with the SIZE - 1 bytes after them, of at least SIZE bytes."""
     for batch in batches:
-        ids = np.array(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        ids = np.asarray(batch.column(0))
         for b in blocks(as_bytes(batch.column(1))):
             h = Hashes(b.bytes)
             cut = np.flatnonzero((h.fixed(16) & CUT_MASK) == 0)
@@ -170,7 +170,7 @@ def _open_windows(b: Block, h: Hashes, gone: list) -> tuple[np.ndarray, np.ndarr
 def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(name, doc_id), once for each document: the names of its open strings."""
     for batch in batches:
-        ids, gone = np.array(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64), batch.column(2).to_pylist()
+        ids, gone = np.asarray(batch.column(0)), batch.column(2).to_pylist()
         for b in blocks(as_bytes(batch.column(1))):
             _, name, doc = _open_windows(b, Hashes(b.bytes), gone[b.first : b.last])
             new = np.ones(len(name), dtype=bool)
@@ -186,7 +186,7 @@ def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fragments_of(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, bytes, doc_id, start): runs of open strings with one name, if the name is in the document's list of repeated ones."""
     for batch in batches:
-        ids, gone = np.array(batch.column(0).to_numpy(zero_copy_only=False), dtype=np.int64), batch.column(2).to_pylist()
+        ids, gone = np.asarray(batch.column(0)), batch.column(2).to_pylist()
         names = batch.column(3)
         for b in blocks(as_bytes(batch.column(1))):
             h = Hashes(b.bytes)
@@ -266,12 +266,12 @@ def deduplicate(docs: DataFrame, keep_text: bool = False, group_bytes: int = GRO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, int(total / group_bytes / 2))
-    cut = rows.mapInArrow(pieces, "h long, g int, doc_id long, start int, size int")
+    cut = rows.where("doc_id IS NOT NULL").mapInArrow(pieces, "h long, g int, doc_id long, start int, size int")
     firsts = cut.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
     gone = cut.join(firsts, ["h", "g"]).where(F.col("least") < F.col("doc_id")).select("doc_id", "start", "size")
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     dealt = rows.repartition("doc_id")
-    texts = dealt.join(lists, "doc_id", "left")
+    texts = dealt.where("doc_id IS NOT NULL").join(lists, "doc_id", "left")
     names = texts.mapInArrow(names_of, "name long, doc_id long").repartition("name")
     often = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
     listed = names.join(often, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", (F.col("n") > hot).alias("hot"))).alias("names"))
