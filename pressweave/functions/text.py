@@ -11,7 +11,9 @@ just like may me more most new no not of on one only or other our out over said
 these they this those to up was we were what when where which who will with would you your years year news first two three before during under being""".split()
 #: Fixed value: months and weekdays, which recur in headlines of one shape.
 PERIODIC = r"\b(january|february|march|april|may|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
-TOKEN, NAME = r"[a-z][a-z'’-]{2,}", r"\b([A-Z][a-z’'-]{2,}(?:\s+[A-Z][a-z’'-]{2,})*)\b"
+#: A word's edge counting only ASCII letters, digits and the underscore as word characters, which Java's own doesn't.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+TOKEN, NAME = r"[a-z][a-z'’-]{2,}", rf"{EDGE}([A-Z][a-z’'-]{{2,}}(?:\s+[A-Z][a-z’'-]{{2,}})*){EDGE}"
 HALF_SHINGLE, SHINGLE = 0.5, 5
 
 
