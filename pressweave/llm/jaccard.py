@@ -19,10 +19,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER_KEYS, Block, Hashes, as_bytes, blocks, mix, runs
+from .blocks import BLOCK_BYTES, LOWER_KEYS, Block, Hashes, as_bytes, blocks, mix, runs
 from .common import materialise
 from .components import components
 
@@ -232,22 +233,41 @@ def _second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_long(v) for v in (a, b, np.minimum(x["matches"][i], x["matches"][j]))], names=["a", "b", "asked"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the text's bytes, compressed: what travels to verify a pair is a fraction of its shingles."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        ids = _ids(batch)
-        for b in blocks(as_bytes(batch.column(1))):
-            owner, g = shingles(b)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=b.last - b.first))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_long(ids[b.first : b.last]), pa.ListArray.from_arrays(pa.array(ends), _long(g))], names=["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "packed"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of rows (a, b, packed_a, packed_b) whose sets' similarity reaches the threshold."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        first = 0
+        while first < len(a):
+            texts, size, last = [], 0, first
+            while last < len(a) and (last == first or size < BLOCK_BYTES):
+                two = [unpack(batch.column(c)[last].as_py()) for c in (2, 3)]
+                texts += two
+                size, last = size + len(two[0]) + len(two[1]), last + 1
+            owner, g = shingles(Block(0, texts))
+            n = np.bincount(owner, minlength=len(texts))
+            pair = owner // 2
+            order = np.lexsort((g, pair))
+            g, pair = g[order], pair[order]
+            shared = np.bincount(pair[1:][(g[1:] == g[:-1]) & (pair[1:] == pair[:-1])], minlength=last - first)
+            close = 100 * shared >= PERCENT * (n[0::2] + n[1::2] - shared)
+            yield pa.RecordBatch.from_arrays([_long(a[first:last][close]), _long(b[first:last][close])], names=["a", "b"])
+            first = last
+
+
+def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets' similarity reaches the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b")).alias("both"))
-    return joined.where(100 * F.col("shared") >= PERCENT * (F.col("both") - F.col("shared"))).select("a", "b")
+    left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a"))
+    right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(_similar, "a long, b long")
 
 
 def _look(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -282,9 +302,9 @@ def link(docs: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.sum("partners").alias("partners"), F.min(F.when(F.col("near") >= 0, F.struct("apart", "near")))["near"].alias("near"))
     )
-    sets = materialise(known.join(seen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, set array<long>"))
+    packed = materialise(known.mapInArrow(_packed, "doc_id long, packed binary").join(seen, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     near = seen.where("near IS NOT NULL").select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct()
-    links = materialise(_verified(near, sets))
+    links = materialise(_verified(near, packed))
     joined = components(links)
     matches = F.lit(1) + sum((F.col("partners") > c).cast("int") for c in COSTS)
     open_ = (
@@ -301,7 +321,7 @@ def link(docs: DataFrame) -> DataFrame:
         .where("shared >= asked")
         .select("a", "b")
     )
-    more = materialise(_verified(pairs, sets))
+    more = materialise(_verified(pairs, packed))
     found = joined if more.isEmpty() else components(links.union(more))
     of_class = classes.join(found, F.col("first") == F.col("node"), "left").where("component IS NOT NULL OR first < last")
     of_class = of_class.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "first").alias("component"))
