@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are long rows, and a batch of them stands in memory of both the JVM and Python.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session hand Python at most BATCH_ROWS rows at once, unless its user has already asked for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the data folder, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER_KEYS, SPACE, BYTE_KEYS, Block, Hashes, as_bytes, blocks, mix, runs
+from .common import bounded_batches
 from .pieces import process_pieces, vocabulary
 
 #: Bands of languages and scripts: least and most characters per
@@ -112,6 +113,7 @@ def quality(docs: DataFrame, model_path: str, bands: dict[str, tuple[float, floa
     whole. Repeated rows each give a row, empty tables none; extra columns are
     ignored. No row depends on another.
     """
+    bounded_batches(docs.sparkSession)
     bands = BANDS if bands is None else bands
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model_path))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")

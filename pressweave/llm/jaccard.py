@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, LOWER_KEYS, Block, Hashes, as_bytes, blocks, mix, runs
-from .common import materialise
+from .common import bounded_batches, materialise
 from .components import components
 
 #: Percent of shared shingles that links; longest match count; partners above which l goes to 2, 3 and 4.
@@ -283,6 +283,7 @@ def link(docs: DataFrame) -> DataFrame:
     give no rows; extra columns are ignored. Shingles are compared by 64-bit
     hashes, whole sets by their size and 128 bits.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER_KEYS, Block, Hashes, as_bytes, blocks
+from .common import bounded_batches
 
 #: Rows of each language and bytes of a row that training takes at most: the bound of the training sample.
 TRAIN_ROWS, TRAIN_BYTES = 800, 20_000
@@ -133,6 +134,7 @@ def predict(docs: DataFrame, model: Model, least_lead: float = LEAST_LEAD) -> Da
     least_lead. Texts are read whole. Repeated rows each give a row, empty
     tables none; extra columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SPACE_MARK = "▁"
 #: Entries kept of each cache of a task's process, which bounds its memory.
 CACHE_ENTRIES = 600_000
@@ -181,6 +183,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep: bool = False) -> Da
     the tasks. Characters without a piece become byte pieces, so decoding gives
     the text back, but for U+2581, which decodes to a space.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Hashes, as_bytes, blocks, runs
+from .common import bounded_batches
 
 SIZE, K, CUT_MASK, HOT, GROUP_BYTES = 50, 20, np.uint64(255), 20_000, 4 << 20
 
@@ -263,6 +264,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = False, group_bytes: int = GRO
     character, kept_text leaves that character's other bytes out. Pieces are
     compared by 95-bit hashes, all else byte by byte.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, int(total / group_bytes / 2))
