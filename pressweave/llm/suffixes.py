@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, Hashes, as_bytes, blocks, runs
-from .common import bounded_batches
+from .common import bounded_batches, materialise
 
 SIZE, K, CUT_MASK, HOT, GROUP_BYTES = 50, 20, np.uint64(255), 20_000, 4 << 20
 
@@ -268,19 +268,22 @@ def deduplicate(docs: DataFrame, keep_text: bool = False, group_bytes: int = GRO
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, int(total / group_bytes / 2))
-    cut = rows.where("doc_id IS NOT NULL").mapInArrow(pieces, "h long, g int, doc_id long, start int, size int")
+    nameless, rows = rows.where("doc_id IS NULL"), rows.where("doc_id IS NOT NULL")
+    cut = rows.mapInArrow(pieces, "h long, g int, doc_id long, start int, size int")
     firsts = cut.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
-    gone = cut.join(firsts, ["h", "g"]).where(F.col("least") < F.col("doc_id")).select("doc_id", "start", "size")
+    gone = materialise(cut.join(firsts, ["h", "g"]).where(F.col("least") < F.col("doc_id")).select("doc_id", "start", "size"))
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     dealt = rows.repartition("doc_id")
-    texts = dealt.where("doc_id IS NOT NULL").join(lists, "doc_id", "left")
+    texts = dealt.join(lists, "doc_id", "left")
     names = texts.mapInArrow(names_of, "name long, doc_id long").repartition("name")
-    often = names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    # counting doc_id keeps the column, so that this and the join read one and the same exchange
+    often = names.groupBy("name").agg(F.count("doc_id").alias("n")).where("n > 1")
     listed = names.join(often, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", (F.col("n") > hot).alias("hot"))).alias("names"))
     fragments = texts.join(listed, "doc_id").select("doc_id", "text", "gone", "names").mapInArrow(lambda it: fragments_of(groups, it), "bucket long, bytes binary, doc_id long, start long")
     found = fragments.groupBy("bucket").applyInArrow(_settle, "doc_id long, start long, end long")
     spans = found.unionByName(gone.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end")))
     merged = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     done = dealt.join(merged, "doc_id", "left").select("doc_id", "text", "spans")
+    done = done.union(nameless.select("doc_id", "text", F.lit(None).cast(done.schema["spans"].dataType)))
     out = done.mapInArrow(lambda it: _finish(keep_text, it), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return out if keep_text else out.drop("kept_text")
