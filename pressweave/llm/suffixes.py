@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .blocks import Block, Hashes, as_bytes, blocks, runs
 from .common import bounded_batches, materialise
@@ -275,10 +276,10 @@ def deduplicate(docs: DataFrame, keep_text: bool = False, group_bytes: int = GRO
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
     dealt = rows.repartition("doc_id")
     texts = dealt.join(lists, "doc_id", "left")
-    names = texts.mapInArrow(names_of, "name long, doc_id long").repartition("name")
-    # counting doc_id keeps the column, so that this and the join read one and the same exchange
-    often = names.groupBy("name").agg(F.count("doc_id").alias("n")).where("n > 1")
-    listed = names.join(often, "name").groupBy("doc_id").agg(F.collect_list(F.struct("name", (F.col("n") > hot).alias("hot"))).alias("names"))
+    names = texts.mapInArrow(names_of, "name long, doc_id long")
+    # a window, so that names travel once; a join with their counts would send them twice
+    often = names.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1")
+    listed = often.groupBy("doc_id").agg(F.collect_list(F.struct("name", (F.col("n") > hot).alias("hot"))).alias("names"))
     fragments = texts.join(listed, "doc_id").select("doc_id", "text", "gone", "names").mapInArrow(lambda it: fragments_of(groups, it), "bucket long, bytes binary, doc_id long, start long")
     found = fragments.groupBy("bucket").applyInArrow(_settle, "doc_id long, start long, end long")
     spans = found.unionByName(gone.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end")))
