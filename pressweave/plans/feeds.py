@@ -14,38 +14,41 @@ RANK = """0.5 ** (age_hours / 480) * (0.5 + 0.1 * importance) * greatest(CASE WH
  CASE WHEN country = 'ASIA' THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END) * (1 + 0.5 * least(1.0::DOUBLE, prominence / 2.0::DOUBLE))"""
 BREADTH = "(0.35::DOUBLE + 0.65::DOUBLE * least(1.0::DOUBLE, ln(1 + source_count) / ln(25)))"
 POOL = "pool AS (SELECT * FROM live ORDER BY last_seen DESC, id LIMIT 150)"
-newest = [F.desc("last_seen"), F.asc("id")]
+
+def newest() -> list:
+    """Latest first, ties by id; a function, as columns can't be made before there is a session."""
+    return [F.desc("last_seen"), F.asc("id")]
 
 
 @query(f", {POOL} SELECT id, category, round({RANK}, 6) AS score FROM pool")
 def feed_rank(spark, sf_dir):
     """F1, O1: the ranked feed of the latest 150 live stories."""
-    pool = News(spark, sf_dir).live().orderBy(*newest).limit(CANDIDATES)
+    pool = News(spark, sf_dir).live().orderBy(*newest()).limit(CANDIDATES)
     return pool.select("id", "category", F.round(rank(PICKED, HOME), 6).alias("score")).orderBy(F.desc("score"), "id")
 
 
 @query(f", {POOL} SELECT id, round({RANK} * {BREADTH}, 6) AS score FROM pool")
 def feed_cold_start(spark, sf_dir):
     """rank times breadth, for readers without known categories."""
-    pool = News(spark, sf_dir).live().orderBy(*newest).limit(CANDIDATES)
+    pool = News(spark, sf_dir).live().orderBy(*newest()).limit(CANDIDATES)
     return pool.select("id", F.round(rank(PICKED, HOME) * breadth(F.col("source_count")), 6).alias("score"))
 
 
 @query("SELECT id FROM live ORDER BY last_seen DESC, id LIMIT 150")
 def feed_candidates_top150(spark, sf_dir):
     """O1: the candidate cut before scoring."""
-    return News(spark, sf_dir).live().orderBy(*newest).limit(CANDIDATES).select("id")
+    return News(spark, sf_dir).live().orderBy(*newest()).limit(CANDIDATES).select("id")
 
 
 @query("SELECT id, CAST(importance AS BIGINT) AS importance FROM live WHERE category = 'BUILDING' ORDER BY importance DESC, last_seen DESC, id LIMIT 48")
 def section_topic(spark, sf_dir):
     """A topic section."""
-    return News(spark, sf_dir).live().where("category = 'BUILDING'").orderBy(F.desc("importance"), *newest).limit(48).select("id", F.col("importance").cast("long").alias("importance"))
+    return News(spark, sf_dir).live().where("category = 'BUILDING'").orderBy(F.desc("importance"), *newest()).limit(48).select("id", F.col("importance").cast("long").alias("importance"))
 
 
 @query("SELECT id FROM live WHERE country = 'ASIA' ORDER BY importance DESC, last_seen DESC, id LIMIT 48")
 def section_national(spark, sf_dir):
-    return News(spark, sf_dir).live().where(F.col("country") == HOME).orderBy(F.desc("importance"), *newest).limit(48).select("id")
+    return News(spark, sf_dir).live().where(F.col("country") == HOME).orderBy(F.desc("importance"), *newest()).limit(48).select("id")
 
 
 @query("SELECT id FROM live WHERE country <> 'ASIA' ORDER BY last_seen DESC, importance DESC, id LIMIT 48")
@@ -84,7 +87,7 @@ def facet_category(spark, sf_dir):
 @query("SELECT category, id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY importance DESC, source_count DESC, last_seen DESC, id) AS r FROM live) WHERE r = 1")
 def facet_category_lead(spark, sf_dir):
     """The leading story of each category."""
-    w = Window.partitionBy("category").orderBy(F.desc("importance"), F.desc("source_count"), *newest)
+    w = Window.partitionBy("category").orderBy(F.desc("importance"), F.desc("source_count"), *newest())
     return News(spark, sf_dir).live().withColumn("r", F.row_number().over(w)).where("r = 1").select("category", "id")
 
 
@@ -129,14 +132,14 @@ def outlet_country_mode(spark, sf_dir):
 def related_six(spark, sf_dir):
     """O9."""
     live = News(spark, sf_dir).live()
-    lead = live.orderBy(*newest).limit(1).select(F.col("category").alias("of"), F.col("id").alias("lead"))
-    return live.join(F.broadcast(lead), (F.col("category") == F.col("of")) & (F.col("id") != F.col("lead"))).orderBy(*newest).limit(6).select("id")
+    lead = live.orderBy(*newest()).limit(1).select(F.col("category").alias("of"), F.col("id").alias("lead"))
+    return live.join(F.broadcast(lead), (F.col("category") == F.col("of")) & (F.col("id") != F.col("lead"))).orderBy(*newest()).limit(6).select("id")
 
 
 @query("SELECT id, lead(id) OVER (PARTITION BY category ORDER BY last_seen DESC, id) AS next_id FROM live")
 def next_story(spark, sf_dir):
     """W7."""
-    return News(spark, sf_dir).live().select("id", F.lead("id").over(Window.partitionBy("category").orderBy(*newest)).alias("next_id"))
+    return News(spark, sf_dir).live().select("id", F.lead("id").over(Window.partitionBy("category").orderBy(*newest())).alias("next_id"))
 
 
 @query(""", s AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY importance DESC, last_seen DESC, id) AS pos FROM live),
@@ -145,7 +148,7 @@ SELECT id, min(category) AS section, count(*) AS n FROM (SELECT * FROM s WHERE p
 def world_bodies_dedup(spark, sf_dir):
     """The stories of all sections, once each."""
     live = News(spark, sf_dir).live()
-    order = [F.desc("importance"), *newest]
+    order = [F.desc("importance"), *newest()]
     topics = live.withColumn("pos", F.row_number().over(Window.partitionBy("category").orderBy(*order))).where("pos <= 48").select("id", "category")
     home = live.where(F.col("country") == HOME).orderBy(*order).limit(48).select("id", F.lit("national").alias("category"))
     return topics.unionByName(home).groupBy("id").agg(F.min("category").alias("section"), F.count("*").alias("n"))
@@ -161,7 +164,7 @@ def world_delta(spark, sf_dir):
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY last_seen DESC, id) AS pos FROM live)""")
 def card_variant(spark, sf_dir):
     """P19."""
-    pos = F.row_number().over(Window.partitionBy("category").orderBy(*newest))
+    pos = F.row_number().over(Window.partitionBy("category").orderBy(*newest()))
     return News(spark, sf_dir).live().select("id", F.when(pos == 1, "lead").when(F.col("importance") >= 3, "stack").otherwise("row").alias("variant"))
 
 
