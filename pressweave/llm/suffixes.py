@@ -14,7 +14,9 @@ smaller doc_id. Three steps share the work out:
    neighbours give the sets of equal strings and each set's smallest doc_id.
 
 Fragments whose name is very frequent are spread by the hashes of their
-strings before step 3, so that no group grows with one passage's copies.
+strings before step 3. Equal fragments of one batch of documents are combined
+before they travel: the smallest document's goes on, the others are settled.
+So a passage's copies add one row for each batch to a group, not one each.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -186,7 +189,7 @@ def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fragments_of(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, bytes, doc_id, start): runs of open strings with one name, if the name is in the document's list of repeated ones."""
+    """(bucket, bytes, doc_id, start, size): runs of open strings with one name, if the name is in the document's list of repeated ones; bytes as in _combined."""
     for batch in batches:
         ids, gone = np.asarray(batch.column(0)), batch.column(2).to_pylist()
         names = batch.column(3)
@@ -219,16 +222,38 @@ def fragments_of(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                         spread = h.of(np.arange(x, y + 1), np.arange(x, y + 1) + SIZE)
                         for s, nm2 in zip(range(x, y + 1), spread.tolist()):
                             found.append(raw[s : s + SIZE]), bucket.append(nm2 % groups), who.append(ids[b.first + i]), start.append(s - b.starts[i])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket, pa.int64()), pa.array(found, pa.binary()), pa.array(who, pa.int64()), pa.array(start, pa.int64())], names=["bucket", "bytes", "doc_id", "start"]
-            )
+            columns = pa.array(found, pa.binary()), np.array(who, dtype=np.int64), np.array(start, dtype=np.int64)
+            yield _combined(np.array(bucket, dtype=np.uint64).astype(np.int64), *columns)
+
+
+def _copies(fragments: pa.Array, docs: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the very fragment."""
+    code = np.asarray(fragments.dictionary_encode().indices)
+    least = np.full(len(code), np.iinfo(np.int64).max)
+    np.minimum.at(least, code, docs)
+    return docs > least[code]
+
+
+def _combined(bucket: np.ndarray, fragments: pa.Array, docs: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, bytes, doc_id, start, size); bytes are null where the fragment goes, as a smaller document of these has it."""
+    gone = _copies(fragments, docs)
+    size = np.asarray(pc.binary_length(fragments)).astype(np.int64)
+    bucket = np.where(gone, (docs % (bucket.max() + 1)) if len(bucket) else bucket, bucket)
+    kept = pc.if_else(pa.array(~gone), fragments, pa.scalar(None, pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(bucket), kept, pa.array(docs), pa.array(start), pa.array(size)], names=["bucket", "bytes", "doc_id", "start", "size"])
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    docs = np.asarray(table["doc_id"].to_numpy())
+    docs, start, size = (np.asarray(table[c].to_numpy()) for c in ("doc_id", "start", "size"))
+    fragments = table["bytes"].combine_chunks()
+    gone = np.asarray(fragments.is_null())
+    held = np.flatnonzero(~gone)
+    gone[held[_copies(fragments.take(pa.array(held)), docs[held])]] = True
+    rest = np.flatnonzero(~gone)
     # two groups of equal bucket but different names don't disturb each other: only equal strings meet
-    doc, start, end = repeated(table["bytes"].to_pylist(), docs, np.asarray(table["start"].to_numpy()))
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())})
+    doc, first, end = repeated(fragments.take(pa.array(rest)).to_pylist(), docs[rest], start[rest])
+    found = np.concatenate([docs[gone], doc]), np.concatenate([start[gone], first]), np.concatenate([(start + size)[gone], end])
+    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc_id", "start", "end"), found)})
 
 
 def _finish(keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +305,7 @@ def deduplicate(docs: DataFrame, keep_text: bool = False, group_bytes: int = GRO
     # a window, so that names travel once; a join with their counts would send them twice
     often = names.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1")
     listed = often.groupBy("doc_id").agg(F.collect_list(F.struct("name", (F.col("n") > hot).alias("hot"))).alias("names"))
-    fragments = texts.join(listed, "doc_id").select("doc_id", "text", "gone", "names").mapInArrow(lambda it: fragments_of(groups, it), "bucket long, bytes binary, doc_id long, start long")
+    fragments = texts.join(listed, "doc_id").select("doc_id", "text", "gone", "names").mapInArrow(lambda it: fragments_of(groups, it), "bucket long, bytes binary, doc_id long, start long, size long")
     found = fragments.groupBy("bucket").applyInArrow(_settle, "doc_id long, start long, end long")
     spans = found.unionByName(gone.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end")))
     merged = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
