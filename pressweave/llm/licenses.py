@@ -2,10 +2,11 @@
 
 The words of license templates form a small vocabulary. Every file posts its
 vocabulary words with their positions; the words' document frequencies over
-all files give IDFs; a file looks up its highest-IDF words in the templates'
-postings and intersects them by relative position (file position minus
-template position). A template whose words line up at one offset is a
-candidate, and holds if its mandatory key phrase stands in the file.
+all files give IDFs. A file that has one of a template's highest-IDF words,
+enough of which are looked up that no template is missed, nominates it; all of
+the file's postings of the nominated template are then intersected by relative
+position (file position minus template position). A template whose words line
+up at one offset holds if its mandatory key phrase stands in the file.
 """
 
 from __future__ import annotations
@@ -40,21 +41,25 @@ TEMPLATES = [
 ]
 #: Words too common in prose to be looked up.
 COMMON = "a all an and any are by except for free in into is may not of or person the this to under use v with without you 0 1 2 4".split()
-RARE_WORDS, LEAST_SHARE = 16, 0.6
+LEAST_SHARE = 0.6
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _postings(spark) -> DataFrame:
-    """(template, label, word, place, n_places): the templates' rare words; a fixed table of under 100 rows."""
+def _postings(spark, least_share: float) -> DataFrame:
+    """(template, label, word, place, n_places, n_lookups): the templates' rare words; a fixed table of under 100 rows.
+
+    Any n_lookups of a template's places have one among those of a share of least_share: n_places less the least number of them, and one.
+    """
     rows = []
     for k, (label, text, _) in enumerate(TEMPLATES):
         places = [(w, i) for i, w in enumerate(text.split()) if w not in COMMON]
-        rows += [(k, label, w, i, len(places)) for w, i in places]
-    return spark.createDataFrame(rows, "template int, label string, word string, place int, n_places int")
+        n_lookups = sum(i / len(places) >= least_share for i in range(1, len(places) + 1))
+        rows += [(k, label, w, i, len(places), n_lookups) for w, i in places]
+    return spark.createDataFrame(rows, "template int, label string, word string, place int, n_places int, n_lookups int")
 
 
-def scan(docs: DataFrame, rare_words: int = RARE_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def scan(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Words are runs of ASCII letters and digits and of any characters beyond
@@ -89,21 +94,21 @@ def scan(docs: DataFrame, rare_words: int = RARE_WORDS, least_share: float = LEA
             holds.alias("holds"),
         )
     )
-    postings = _postings(docs.sparkSession)
+    postings = _postings(docs.sparkSession, least_share)
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - set(COMMON))
     found = materialise(
         padded.select("doc_id", F.posexplode(F.split(F.trim("padded"), " ")).alias("pos", "word")).where(F.col("word").isin(vocabulary))
     )
     n = files.count()
     idf = found.groupBy("word").agg(F.log((F.lit(n) + 1) / (F.count_distinct("doc_id") + 0.5)).alias("idf"))
-    rarest = Window.partitionBy("doc_id").orderBy(F.desc("idf"), "word")
-    # at most one row for each word of the vocabulary: a fixed bound
-    lookups = (
-        found.select("doc_id", "word").distinct().join(F.broadcast(idf), "word").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= rare_words).select("doc_id", "word")
-    )
+    rarest = Window.partitionBy("template").orderBy(F.desc("idf"), "word", "place")
+    # a word that no file has would nominate none: it is as rare as can be
+    ranked = postings.join(F.broadcast(idf), "word", "left").withColumn("idf", F.coalesce("idf", F.log((F.lit(n) + 1) / 0.5))).withColumn("r", F.row_number().over(rarest))
+    lookups = ranked.where(F.col("r") <= F.col("n_lookups")).select("template", "word").distinct()
+    nominated = found.join(F.broadcast(lookups), "word").select("doc_id", "template").distinct()
     lined_up = (
-        found.join(lookups, ["doc_id", "word"], "left_semi")
-        .join(F.broadcast(postings), "word")
+        found.join(F.broadcast(postings.drop("n_lookups")), "word")
+        .join(nominated, ["doc_id", "template"], "left_semi")
         .groupBy("doc_id", "template", "label", "n_places", (F.col("pos") - F.col("place")).alias("offset"))
         .agg((F.count_distinct("place") / F.col("n_places")).alias("share"))
         .where(F.col("share") >= least_share)

@@ -121,6 +121,35 @@ def test_license_labels(spark):
     assert licenses.scan(fixtures.documents(spark)).where("doc_id = 21").count() == 2
 
 
+def templates(text):
+    """Labels and score of a text, from the places of all templates at every offset."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, score = set(filter(None, phrases(text)[4].split(","))), 0.0
+    for label, template, key in licenses.TEMPLATES:
+        places = [(i, x) for i, x in enumerate(template.split()) if x not in licenses.COMMON]
+        share = max((sum(0 <= o + i < len(w) and w[o + i] == x for i, x in places) / len(places) for o in range(-len(places) - 20, len(w))), default=0)
+        if share >= licenses.LEAST_SHARE and f" {key} " in f" {' '.join(w)} ":
+            labels, score = labels | {label}, max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_of_texts_of_many_licenses(spark):
+    every = [text for _, text, _ in licenses.TEMPLATES]
+    vocabulary = " ".join(sorted({w for text in every for w in text.split()}))
+    rows = [(1, " and ".join(every)), (2, vocabulary + " x " + every[10]), (3, " ".join(every[k] for k in (12, 2, 10))), (4, vocabulary)]
+    rows += [(10 + k, "license version public") for k in range(30)]
+    # near the least share: words taken from the end, the start and the middle of each template
+    for k, text in enumerate(every):
+        w = text.split()
+        rows += [(10_000 + 100 * k + n, f"{vocabulary} x {' '.join(x)}") for n, x in enumerate([w[: len(w) * 2 // 3], w[len(w) // 3 :], [*w[: len(w) // 3], "y", *w[len(w) // 3 + 1 :]]])]
+    rows += every_row(spark)[-200:]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(fixtures.documents(spark, rows, repeat=False)).collect()}
+    assert set(got[1][0].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | {"gpl", "reserved", "cc-by"}
+    for doc, text in dict(rows).items():
+        labels, score = templates(text)
+        assert (got[doc][0], got[doc][1]) == (labels, pytest.approx(score)), doc
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
