@@ -78,7 +78,8 @@ def scan(docs: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     spaces = lambda c: (F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))).cast("long")
     places = [F.regexp_count("padded", F.lit(f" {phrase}(?= )")) for phrase, _ in BASE]
     head = F.substring(F.col("padded"), F.lit(1), F.regexp_instr("padded", F.lit(f" (?:{either})(?= )")) - 1)
-    tail = F.regexp_extract("padded", f"^(.*) (?:{either}) ", 1)
+    # (?s): words may hold U+0085, U+2028 and U+2029, at which a dot stops
+    tail = F.regexp_extract("padded", f"(?s)^(.*) (?:{either}) ", 1)
     base = F.filter(F.array(*[F.when(h, F.lit(label)) for h, (_, label) in zip(has, BASE)]), lambda x: x.isNotNull())
     holds = F.filter(
         F.array(*[F.when(F.col("padded").contains(f" {key} "), F.lit(k)) for k, (_, _, key) in enumerate(TEMPLATES)]), lambda x: x.isNotNull()

@@ -111,6 +111,16 @@ def test_license_base(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
 
 
+@pytest.mark.parametrize("end", ["\u0085", "\u2028", "\u2029"])
+def test_license_places_beyond_other_line_ends(spark, end):
+    one, two = "all rights reserved", "under cc by terms"
+    texts = [f"a{end}b {one}", f"a {end} {one} {two}", f"{one} a{end}b {two}", f"{one} a {end} {two}", f"{one} {two} a{end}b", f"{end}{one} {two}", f"{one}{end} {two}", f"x{end}\n{one}\n{two}\n{end}"]
+    got = {r.doc_id: r for r in licenses.scan(fixtures.documents(spark, list(enumerate(texts)), repeat=False)).collect()}
+    for doc, text in enumerate(texts):
+        r = got[doc]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == phrases(text), doc
+
+
 def test_license_labels(spark):
     rows = [(k, f"intro {text.upper()} end") for k, (_, text, _) in enumerate(licenses.TEMPLATES)] + [(100, "public license general"), (101, "gnu " + "x " * 50 + "lesser general public license version")]
     got = {r.doc_id: r.labels.split(",") for r in licenses.scan(fixtures.documents(spark, rows, repeat=False)).collect()}
