@@ -21,8 +21,8 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: of each group of documents linked by their shingles, the one of smallest doc_id stays."""
-    kept = jaccard.link(docs).where(F.col("component_id") == F.col("doc_id"))
+    """Operator 1 over shingles of 5 words, linked from 0.8: of each group of linked documents, the one of smallest doc_id stays."""
+    kept = jaccard.link(docs, words=5, percent=80).where(F.col("component_id") == F.col("doc_id"))
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
 
 

@@ -1,8 +1,8 @@
 """Operator 1: n-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents are sets of hashed 3-word shingles under one global order: shingles
-that many documents have come last. Two sets of similarity 0.9 share at least
-l shingles of their prefixes, of n - ceil(0.9 n) + l shingles each. Every
+Documents are sets of hashed shingles of w words under one global order:
+shingles that many documents have come last. Two sets of similarity p share at
+least l shingles of their prefixes, of n - ceil(p n) + l shingles each. Every
 document starts with l = 1; where the lists of its prefix name many possible
 partners, its prefix is lengthened and as many more shared shingles are asked
 for before a pair is verified.
@@ -15,6 +15,7 @@ counted, so that a group of n near copies never becomes n * n pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -27,14 +28,14 @@ from .blocks import BLOCK_BYTES, LOWER_KEYS, Block, Hashes, as_bytes, blocks, mi
 from .common import bounded_batches, materialise
 from .components import components
 
-#: Percent of shared shingles that links; longest match count; partners above which l goes to 2, 3 and 4.
-PERCENT, MOST_MATCHES, COSTS = 90, 4, (16, 64, 256)
+#: Operator 1's words of a shingle and percent of shared shingles that links; longest match count; partners above which l goes to 2, 3 and 4.
+WORDS, PERCENT, MOST_MATCHES, COSTS = 3, 90, 4, (16, 64, 256)
 #: The most frequent shingles are ordered by frequency, this many of them; the bound of what is broadcast.
 FREQUENT = 1 << 17
 LOCAL_TOKENS = 1 << 21
 
 
-def shingles(b: Block, n: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def shingles(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and hash of the distinct n-word shingles of a block's documents, in order of both."""
     start, end, doc = b.words()
     w = Hashes(b.bytes, LOWER_KEYS).of(start, end)
@@ -83,7 +84,7 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 NAMES = ["kind", "a", "n", "h1", "h2"]
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: doc_id, set size and 128-bit set hash. Kind 1: shingle and number of documents, for those seen twice here."""
     held, size = [], 0
 
@@ -95,7 +96,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for b in blocks(as_bytes(batch.column(1))):
-            owner, g = shingles(b)
+            owner, g = shingles(b, words)
             k = b.last - b.first
             n = np.bincount(owner, minlength=k)
             h1, h2 = _sums(mix(g), owner, k), _sums(mix(g ^ np.uint64(0x5851F42D4C957F2D)), owner, k)
@@ -109,18 +110,18 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
-def _least(n: np.ndarray) -> np.ndarray:
-    """ceil(PERCENT % of n)."""
-    return -(-PERCENT * n // 100)
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    """ceil(percent % of n)."""
+    return -(-percent * n // 100)
 
 
-def _prefixes(order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prefixes(order, words: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, prefix shingles for MOST_MATCHES in the global order, and 128 parity bits of the set."""
     tokens, counts = order.value
     for batch in batches:
         ids = _ids(batch)
         for b in blocks(as_bytes(batch.column(1))):
-            owner, g = shingles(b)
+            owner, g = shingles(b, words)
             k = b.last - b.first
             n = np.bincount(owner, minlength=k)
             if len(tokens):
@@ -135,7 +136,7 @@ def _prefixes(order, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             by = np.lexsort((g, often, owner))
             first = np.concatenate([[0], np.cumsum(n)])[:-1]
             rank = np.arange(len(g)) - first[owner]
-            take = np.minimum(n, n - _least(n) + MOST_MATCHES)
+            take = np.minimum(n, n - _least(n, percent) + MOST_MATCHES)
             kept = g[by][rank < take[owner]]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), _long(kept))
             yield pa.RecordBatch.from_arrays([_long(ids[b.first : b.last]), _long(n), lists, _long(b1), _long(b2)], names=["doc_id", "n", "prefix", "b1", "b2"])
@@ -166,18 +167,18 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
             yield {c: x[many] for c, x in found.items()}
 
 
-def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether sizes and parity bits allow a link (never wrongly no), and the parity distance."""
     n, m = x["n"][i], x["n"][j]
     # as unsigned numbers: bits of a negative one are counted in its absolute value
     differ = [(x[b][i] ^ x[b][j]).view(np.uint64) for b in ("b1", "b2")]
     apart = sum(np.bitwise_count(d).astype(np.int64) for d in differ)
     # of n + m shingles, at most this many are in one set only
-    most = (n + m) - 2 * (-(-PERCENT * (n + m) // (100 + PERCENT)))
-    return (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (apart <= most), apart
+    most = (n + m) - 2 * (-(-percent * (n + m) // (100 + percent)))
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart <= most), apart
 
 
-def _pairs(x: dict[str, np.ndarray], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(x: dict[str, np.ndarray], percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs i < j inside lists whose sizes allow a link, in chunks; rows are ordered by size in a list."""
     at = runs(x["token"])
     end = np.repeat(at[1:], np.diff(at))
@@ -185,7 +186,7 @@ def _pairs(x: dict[str, np.ndarray], most: int = 1 << 20) -> Iterator[tuple[np.n
     row = np.arange(n)
     # partners of a row: the later ones of its list up to the largest size allowed
     key = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.float64) * 2.0**31 + np.minimum(x["n"], 2**31 - 1)
-    top = np.repeat(np.arange(len(at) - 1), np.diff(at)) * 2.0**31 + np.minimum(x["n"] * 100 // PERCENT, 2**31 - 1)
+    top = np.repeat(np.arange(len(at) - 1), np.diff(at)) * 2.0**31 + np.minimum(x["n"] * 100 // percent, 2**31 - 1)
     stop = np.minimum(end, np.searchsorted(key, top, side="right"))
     count = np.maximum(0, stop - row - 1)
     total = np.cumsum(count)
@@ -203,31 +204,31 @@ def _pairs(x: dict[str, np.ndarray], most: int = 1 << 20) -> Iterator[tuple[np.n
 COLUMNS = ["token", "doc_id", "n", "b1", "b2"]
 
 
-def _first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, partners, near, apart): for each row of a list with possible partners, how many, and the closest among the few rows before it."""
     for x in _lists(batches, COLUMNS):
         partners = np.zeros(len(x["token"]), dtype=np.int64)
-        for i, j in _pairs(x):
-            ok, _ = _may_link(x, i, j)
+        for i, j in _pairs(x, percent):
+            ok, _ = _may_link(x, i, j, percent)
             partners += np.bincount(i[ok], minlength=len(partners)) + np.bincount(j[ok], minlength=len(partners))
         near, close = np.full(len(partners), -1), np.full(len(partners), 1 << 20)
         for back in (1, 2, 3):
             j = np.arange(back, len(partners))
             i = j - back
-            ok, apart = _may_link(x, i, j)
+            ok, apart = _may_link(x, i, j, percent)
             ok &= (x["token"][i] == x["token"][j]) & (apart < close[j])
             close[j[ok]], near[j[ok]] = apart[ok], x["doc_id"][i[ok]]
         some = partners > 0
         yield pa.RecordBatch.from_arrays([_long(v[some]) for v in (x["doc_id"], partners, near, close)], names=["doc_id", "partners", "near", "apart"])
 
 
-def _second_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _second_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, asked): pairs of a list that may link and lie in different components, with how many lists they must share."""
     for x in _lists(batches, [*COLUMNS, "component", "matches"]):
-        for i, j in _pairs(x):
+        for i, j in _pairs(x, percent):
             other = x["component"][i] != x["component"][j]
             i, j = i[other], j[other]
-            ok, _ = _may_link(x, i, j)
+            ok, _ = _may_link(x, i, j, percent)
             i, j = i[ok], j[ok]
             a, b = np.minimum(x["doc_id"][i], x["doc_id"][j]), np.maximum(x["doc_id"][i], x["doc_id"][j])
             yield pa.RecordBatch.from_arrays([_long(v) for v in (a, b, np.minimum(x["matches"][i], x["matches"][j]))], names=["a", "b", "asked"])
@@ -240,7 +241,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "packed"])
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _similar(words: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b) of rows (a, b, packed_a, packed_b) whose sets' similarity reaches the threshold."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
@@ -252,32 +253,33 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 two = [unpack(batch.column(c)[last].as_py()) for c in (2, 3)]
                 texts += two
                 size, last = size + len(two[0]) + len(two[1]), last + 1
-            owner, g = shingles(Block(0, texts))
+            owner, g = shingles(Block(0, texts), words)
             n = np.bincount(owner, minlength=len(texts))
             pair = owner // 2
             order = np.lexsort((g, pair))
             g, pair = g[order], pair[order]
             shared = np.bincount(pair[1:][(g[1:] == g[:-1]) & (pair[1:] == pair[:-1])], minlength=last - first)
-            close = 100 * shared >= PERCENT * (n[0::2] + n[1::2] - shared)
+            close = 100 * shared >= percent * (n[0::2] + n[1::2] - shared)
             yield pa.RecordBatch.from_arrays([_long(a[first:last][close]), _long(b[first:last][close])], names=["a", "b"])
             first = last
 
 
-def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets' similarity reaches the threshold."""
     left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a"))
     right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(_similar, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(partial(_similar, words, percent), "a long, b long")
 
 
 def _look(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(fn, schema)
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
-    Null texts and texts without words have no shingles, link with nothing and
+    Sets of shingles of so many words link where they share percent of their
+    union or more; a text of fewer words is one shingle. Null texts and texts without words have no shingles, link with nothing and
     are their own component. Rows that repeat a doc_id should repeat its text;
     each gives a row. Rows of null doc_id keep a null component. Empty tables
     give no rows; extra columns are ignored. Shingles are compared by 64-bit
@@ -287,7 +289,7 @@ def link(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL")
-    scanned = materialise(texts.mapInArrow(_signatures, "kind long, a long, n long, h1 long, h2 long"))
+    scanned = materialise(texts.mapInArrow(partial(_signatures, words), "kind long, a long, n long, h1 long, h2 long"))
     signed = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "h1", "h2")
     often = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas().sort_values("a")
     tokens, counts = often["a"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)
@@ -295,34 +297,34 @@ def link(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast((tokens[by], counts[by]))
     classes = materialise(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     firsts = classes.select(F.col("first").alias("doc_id"))
-    prefixes = materialise(known.mapInArrow(lambda it: _prefixes(order, it), "doc_id long, n long, prefix array<long>, b1 long, b2 long").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    base = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
+    prefixes = materialise(known.mapInArrow(partial(_prefixes, order, words, percent), "doc_id long, n long, prefix array<long>, b1 long, b2 long").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    base = F.col("n") - F.ceil(F.col("n") * percent / 100)
     posted = prefixes.select("doc_id", "n", "b1", "b2", F.explode(F.slice("prefix", 1, (base + 1).cast("int"))).alias("token")).select("token", "doc_id", "n", "b1", "b2")
     seen = materialise(
-        _look(posted, _first_look, "doc_id long, partners long, near long, apart long")
+        _look(posted, partial(_first_look, percent), "doc_id long, partners long, near long, apart long")
         .groupBy("doc_id")
         .agg(F.sum("partners").alias("partners"), F.min(F.when(F.col("near") >= 0, F.struct("apart", "near")))["near"].alias("near"))
     )
     packed = materialise(known.mapInArrow(_packed, "doc_id long, packed binary").join(seen, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     near = seen.where("near IS NOT NULL").select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct()
-    links = materialise(_verified(near, packed))
+    links = materialise(_verified(near, packed, words, percent))
     joined = components(links)
     matches = F.lit(1) + sum((F.col("partners") > c).cast("int") for c in COSTS)
     open_ = (
         prefixes.join(seen.select("doc_id", "partners"), "doc_id")
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
-        .withColumn("matches", F.least(matches, F.ceil(F.col("n") * PERCENT / 100)).cast("long"))
+        .withColumn("matches", F.least(matches, F.ceil(F.col("n") * percent / 100)).cast("long"))
     )
     longer = open_.select("doc_id", "n", "b1", "b2", "component", "matches", F.explode(F.slice("prefix", 1, (base + F.col("matches")).cast("int"))).alias("token"))
     pairs = (
-        _look(longer.select("token", "doc_id", "n", "b1", "b2", "component", "matches"), _second_look, "a long, b long, asked long")
+        _look(longer.select("token", "doc_id", "n", "b1", "b2", "component", "matches"), partial(_second_look, percent), "a long, b long, asked long")
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first("asked").alias("asked"))
         .where("shared >= asked")
         .select("a", "b")
     )
-    more = materialise(_verified(pairs, packed))
+    more = materialise(_verified(pairs, packed, words, percent))
     found = joined if more.isEmpty() else components(links.union(more))
     of_class = classes.join(found, F.col("first") == F.col("node"), "left").where("component IS NOT NULL OR first < last")
     of_class = of_class.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "first").alias("component"))

@@ -18,7 +18,7 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(read(spark, sf_dir, "documents"))
+    return jaccard.link(read(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op2_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from hypothesis import given as holds
 from hypothesis import settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from pressweave.llm import components, jaccard, suffixes
 
 from . import fixtures
@@ -62,6 +63,40 @@ def test_links_are_those_of_all_pairs(spark, which):
     assert got == linked(rows)
 
 
+def parted(rows, n, percent):
+    """The component of each document, by all pairs of sets of n-word shingles."""
+    sets = {}
+    for doc, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+        sets[doc] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    part = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            both = len(sets[a] & sets[b])
+            if a < b and part[a] != part[b] and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((part[a], part[b]))
+                part = {d: x if c == y else c for d, c in part.items()}
+    return {d: (len(sets[d]), part[d]) for d in sets}
+
+
+@pytest.mark.parametrize("words, percent", [(5, 80), (2, 60)])
+def test_links_of_other_shingles_are_those_of_all_pairs(spark, words, percent):
+    base = fixtures.prose(300, 11)
+    rows = fixtures.texts() + [(200 + k, base + " " + fixtures.prose(n, 12 + k)) for k, n in enumerate((0, 30, 36, 60, 72, 75, 78, 90))]
+    rows += [(300 + k, fixtures.swapped(fixtures.prose(400, 40), k)) for k in (20, 35, 45, 50, 60, 90, 300)] + [(1000 + d, t) for d, t in fixtures.given(spark)[:150]]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(fixtures.documents(spark, rows), words, percent).collect()}
+    assert got.pop(None)[1] is None
+    assert got == parted(rows, words, percent)
+
+
+def test_stage_drops_near_copies_from_a_similarity_of_08(spark):
+    base = fixtures.prose(1000, 21, 5000)
+    rows = [(1, base), (2, base + " " + fixtures.prose(200, 22, 5000)), (3, fixtures.swapped(base, 52)), (4, base + " " + fixtures.prose(300, 23, 5000))]
+    want = [d for d, (_, part) in parted(rows, 5, 80).items() if d == part]
+    kept = corpus_pipeline.one_of_each_group(spark, fixtures.documents(spark, rows, repeat=False), fixtures.SF).collect()
+    assert sorted(r.doc_id for r in kept) == want == [1, 4]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.link(fixtures.empty(spark)).count() == 0
 
