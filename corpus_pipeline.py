@@ -14,28 +14,51 @@ from pressweave.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ``row``, a key that no two rows share, in the order of doc_id: doc_id itself where it is one."""
+    often = docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1")
+    if often.isEmpty():
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    # the hash deals the rows of one doc_id over several ranges
+    return materialise(docs.orderBy("doc_id", F.xxhash64(*COLUMNS)).withColumn("row", F.monotonically_increasing_id()))
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without a letter (und) or between two languages go; the others keep their columns."""
-    found = language_id.identify(docs).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    """Operator 4: rows without a letter (und) or between two languages go; the others keep their columns, whatever other rows of their doc_id or of none do."""
+    found = language_id.identify(docs, keep=("lang", "source", "n_chars")).where((F.col("lang_pred") != "und") & ~F.col("ambiguous"))
+    return found.select("doc_id", "text", "row.lang", "row.source", "row.n_chars")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1 over shingles of 5 words, linked from 0.8: of each group of linked documents, the one of smallest doc_id stays."""
-    kept = jaccard.link(docs, words=5, percent=80).where(F.col("component_id") == F.col("doc_id"))
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(COLUMNS)
+    """Operator 1 over shingles of 5 words, linked from 0.8: of each group of linked rows, one of the smallest doc_id stays.
+
+    Rows that repeat a doc_id are linked by their texts as any others. As in
+    the operator, rows of null doc_id link with nothing, so that all of them stay.
+    """
+    rows = numbered(docs)
+    known = rows.where("doc_id IS NOT NULL")
+    kept = jaccard.link(known.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80).where(F.col("component_id") == F.col("doc_id"))
+    return known.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: strings of 50 bytes that an earlier document has go; a document with no word left goes."""
-    rest = suffixes.deduplicate(docs, keep_text=True).select("doc_id", F.col("kept_text").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return docs.select("doc_id", "lang", "source").join(rest, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Operator 3: strings of 50 bytes that an earlier row has go; a row with no word left goes.
+
+    Earlier is a smaller doc_id; rows of one doc_id are in the order of a hash. As in
+    the operator, rows of null doc_id are compared with nothing and keep their text.
+    """
+    rows = numbered(docs)
+    known, word = rows.where("doc_id IS NOT NULL"), F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rest = suffixes.deduplicate(known.select(F.col("row").alias("doc_id"), "text"), keep_text=True).select(F.col("doc_id").alias("row"), F.col("kept_text").alias("text")).where(word)
+    kept = known.drop("text").join(rest, "row").unionByName(rows.where(F.col("doc_id").isNull() & word))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: each document as many times as the mix takes its words: whole copies, and the first words of one that is cut."""
-    taken = mixing.mix(docs).select("doc_id", "size", "taken").where("taken > 0").distinct()
-    rows = docs.join(taken, "doc_id").withColumn("part", F.col("taken") % F.col("size"))
+    """Operator 6: each row, of null doc_id or not, as many times as the mix takes its words: whole copies, and the first words of one that is cut."""
+    keyed = numbered(docs)
+    taken = mixing.mix(keyed, keep=("row",)).select("row", "size", "taken").where("taken > 0")
+    rows = keyed.join(taken, "row").withColumn("part", F.col("taken") % F.col("size"))
     times = F.floor(F.col("taken") / F.col("size"))
     copies = F.concat(
         F.when(times > 0, F.transform(F.sequence(F.lit(1), F.greatest(times, F.lit(1))), lambda _: F.lit(False))).otherwise(F.array().cast("array<boolean>")),

@@ -125,8 +125,9 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAI
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])
 
 
-def predict(docs: DataFrame, model: Model, least_lead: float = LEAST_LEAD) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, held_out, lang_pred, score, ambiguous.
+def predict(docs: DataFrame, model: Model, least_lead: float = LEAST_LEAD, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, held_out, lang_pred, score, ambiguous, and with keep
+    also text and a struct ``row`` of the columns that keep names.
 
     A null text, or one without a letter of any script, is ``und`` with score 0,
     and so is every text if nothing could be learned. score is the best
@@ -151,11 +152,15 @@ def predict(docs: DataFrame, model: Model, least_lead: float = LEAST_LEAD) -> Da
                         names.append("und"), scores.append(0.0), flags.append(False)
                     else:
                         names.append(m.languages[best[i]]), scores.append(float(share[i])), flags.append(bool(lead[i] < least_lead))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_())], schema=SCHEMA)
+            schema = pa.schema([*SCHEMA, *list(batch.schema)[2:]]) if keep else SCHEMA
+            kept = batch.columns[2:] if keep else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(flags, pa.bool_()), *kept], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *([F.struct(*keep).alias("row")] if keep else []))
+    also = f", text string, row {rows.schema['row'].dataType.simpleString()}" if keep else ""
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean" + also)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Train on docs (doc_id, text, lang) and predict all of them."""
-    return predict(docs, train(docs))
+    return predict(docs, train(docs), keep=keep)

@@ -44,15 +44,15 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, mo
     )
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """One row for each row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = SEED, range_rows: int = RANGE_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs (doc_id, source, text): doc_id, source, size, source_size, target, taken, and the columns that keep names.
 
     Null or empty texts have size 0 and take 0 words. A null source is a
     source of its own. Rows that repeat a doc_id count each on their own; rows
     equal in all columns share a tie in any order. Extra columns are ignored.
     An empty table gives no rows. Reruns agree: keys depend on doc_id and seed.
     """
-    slim = materialise(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("key")))
+    slim = materialise(docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", F.lit(seed)).alias("key"), *keep))
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     targets = materialise(
         source_targets(sources, weights, share, most).select(
@@ -69,7 +69,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         .agg(F.sum("size").alias("range_size"))
         .select("of", "of_range", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("offset"))
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
@@ -78,5 +78,5 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     return (
         rows.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range")))
         .withColumn("start", start)
-        .select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + cut).cast("long").alias("taken"), *keep)
     )

@@ -175,6 +175,43 @@ def test_pipeline_stages(spark):
     assert {(r.doc_id, r.decoded) for r in last.collect()} == texts
 
 
+def test_pipeline_stages_keep_each_row_once(spark):
+    a, b, c, d, e = (fixtures.prose(60, 700 + k, 5000) for k in range(5))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (3, c), (4, c), (5, "1 2 3"), (5, d), (6, None), (None, a), (None, e), (None, "4 5")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.select(corpus_pipeline.COLUMNS).collect()), key=repr)
+    # all rows with a letter, and no other of their identifier
+    docs = corpus_pipeline.materialise(corpus_pipeline.identify_languages(spark, docs, fixtures.SF))
+    assert seen(docs) == sorted([(i, t) for i, t in rows if t and re.search("[a-z]", t)], key=repr)
+    assert {(r.lang, r.source, r.n_chars == len(r.text)) for r in docs.collect()} == {("en", "s", True)}
+    # one row of each group, those without identifier as they are
+    one = [(1, a), (3, b), (3, c), (5, d), (None, a), (None, e)]
+    assert seen(corpus_pipeline.one_of_each_group(spark, docs, fixtures.SF)) == sorted(one, key=repr)
+    # of equal texts the first row's stays
+    rest = corpus_pipeline.materialise(corpus_pipeline.remove_repeated_passages(spark, docs, fixtures.SF))
+    assert seen(rest) == sorted(one, key=repr)
+    # 1.5 times the words, each row once or twice and at most one cut
+    mixed = [(r.doc_id, r.text) for r in corpus_pipeline.mix_sources(spark, docs, fixtures.SF).collect()]
+    given = seen(docs)
+    assert sum(words(t) for _, t in mixed) == 1.5 * sum(words(t) for _, t in given)
+    whole = [x for x in mixed if x in given]
+    assert len(mixed) - len(whole) <= 1 and all(given.count(x) <= whole.count(x) <= 2 * given.count(x) for x in given)
+
+
+def test_pipeline_keeps_the_edge_rows_that_operators_keep(spark, tmp_path):
+    fixtures.documents(spark).select(corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    nameless, twice = "a row without identifier", {i: t for i, t in fixtures.texts() if i in (21, 100)}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.materialise(stage(spark, docs, fixtures.SF))
+        got = [(r.doc_id, r.text) for r in docs.collect()]
+        assert 1 <= sum(i is None and nameless.startswith(t.rstrip()) for i, t in got) <= (1 if name != "mixing" else 2), name
+        if name == "language_id":
+            assert all(got.count((i, t)) == 2 for i, t in twice.items())
+        elif name != "mixing":
+            assert len({i for i, _ in got}) == len(got) and 21 not in {i for i, _ in got} and 100 in {i for i, _ in got}
+
+
 def test_pipeline_of_edge_rows(spark, tmp_path):
     fixtures.documents(spark).select(corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
