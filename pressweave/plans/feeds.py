@@ -22,7 +22,7 @@ def newest() -> list:
 
 @query(f", {POOL} SELECT id, category, round({RANK}, 6) AS score FROM pool")
 def feed_rank(spark, sf_dir):
-    """F1, O1: the ranked feed of the latest 150 live stories."""
+    """F1 without macro lift, desk weight and the place interest of 1.15, O1: the ranked feed of the latest 150 live stories."""
     pool = News(spark, sf_dir).live().orderBy(*newest()).limit(CANDIDATES)
     return pool.select("id", "category", F.round(rank(PICKED, HOME), 6).alias("score")).orderBy(F.desc("score"), "id")
 

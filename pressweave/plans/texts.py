@@ -82,7 +82,7 @@ def cosine_residual_pairs(spark, sf_dir):
 e AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT a, b, shared, round(shared / (len(x.s) + len(y.s) - shared), 6) AS jaccard FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 2 * shared >= len(x.s) + len(y.s) - shared""", False)
 def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of Jaccard similarity 0.5 and more on 5-word shingles, through an inverted index."""
+    """Pairs of Jaccard similarity 0.5 and more on 5-word shingles, through an inverted index; C6's choice of texts to keep isn't made, and each pair of a group of copies is listed."""
     # each array passes through explode, so that what follows reads it as a column and doesn't compute it again
     words = documents(spark, sf_dir).select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("w"))
     sets = words.select("doc_id", F.explode(F.array(T.shingles(F.col("w")))).alias("s"))
