@@ -3,42 +3,43 @@
 A byte goes if a SIZE-byte string that covers it also starts in a document of
 smaller doc_id. Three steps share the work out:
 
-1. Documents are cut where the content says so. Of equal pieces (with the
-   SIZE - 1 bytes that follow), all but those of the smallest doc_id go at once.
-2. Every other SIZE-byte string is named by the smallest hash of the K-byte
-   strings in it, so equal ones have equal names. Names met in one document
-   only are settled; runs of strings with another name travel as fragments.
-3. Fragments are grouped by name. In a group, a two-stage suffix array puts
-   equal strings side by side: only suffixes smaller than their successors are
-   sorted, the others are induced by bucket scans, and common prefixes of
-   neighbours give the sets of equal strings and each set's smallest doc_id.
-
-Fragments whose name is very frequent are spread by the hashes of their
-strings before step 3. Equal fragments of one batch of documents are combined
-before they travel: the smallest document's goes on, the others are settled.
-So a passage's copies add one row for each batch to a group, not one each.
+1. Texts are packed in batches. Every SIZE-byte string is named by the smallest
+   hash of the K-byte strings in it, so equal ones have equal names. Batches
+   learn how many documents have each of their names.
+2. Runs of strings whose name two documents have travel as fragments to the
+   group of their name; of equal fragments a batch sends one, with the smallest
+   doc_id, and the places of that document. Names only deal the work out.
+3. In a group, a two-stage suffix array puts equal strings of all fragments
+   side by side: only suffixes smaller than their successors are sorted, the
+   others are induced by bucket scans. Common prefixes of neighbours give the
+   sets of equal strings and each set's smallest doc_id, and with it what goes.
+
+Each batch then gets the removed ranges of its own texts back.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from .blocks import Block, Hashes, as_bytes, blocks, runs
-from .common import bounded_batches, materialise
+from .blocks import Block, Hashes, mix, runs
+from .packs import PART_BYTES, TOKEN_BITS, Batch, codes, compressed, decompressed, frequencies, pack, total_bytes, unpacked
 
-SIZE, K, CUT_MASK, HOT, GROUP_BYTES = 50, 20, np.uint64(255), 20_000, 4 << 20
+SIZE, K, GROUP_BYTES = 50, 16, 8 << 20
 
 
-def suffix_array(text: np.ndarray, depth: int = SIZE) -> np.ndarray:
-    """Positions of a byte array in the order of their suffixes' first depth bytes (shorter first), by two-stage sorting."""
+def suffix_array(text: np.ndarray, depth: int = SIZE, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of a byte array in the order of their suffixes' first depth bytes (shorter first), by two-stage sorting.
+
+    wanted marks the positions to be ordered; those they are induced from come along.
+    """
     n = len(text)
     if not n:
         return np.zeros(0, dtype=np.int64)
@@ -47,9 +48,17 @@ def suffix_array(text: np.ndarray, depth: int = SIZE) -> np.ndarray:
     following = np.searchsorted(change, np.arange(n))
     rises = np.concatenate([text[change + 1] > text[change], [False]])
     small = rises[following]
-    direct = np.flatnonzero(small)
-    keys = words(text, depth)
-    direct = direct[np.lexsort([k[direct] for k in reversed(keys)])]
+    if wanted is None:
+        needed = np.ones(n, dtype=bool)
+    else:
+        # a larger suffix is induced from its successor, and so on up to a smaller one or the end
+        last = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
+        since = np.maximum.accumulate(np.where(small, np.arange(n), -1))
+        before = np.concatenate([[-1], since[:-1]])
+        needed = wanted | ((last >= 0) & (before < last))
+    direct = np.flatnonzero(small & needed)
+    if len(direct):
+        direct = _sorted(direct, _words(text, depth), depth)
     edges = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
@@ -58,7 +67,8 @@ def suffix_array(text: np.ndarray, depth: int = SIZE) -> np.ndarray:
         """Hand the predecessors of a sorted bucket on to the larger buckets they start with."""
         before = ranked[ranked > 0] - 1
         first = text[before]
-        before, first = before[first > c], first[first > c]
+        up = (first > c) & needed[before]
+        before, first = before[up], first[up]
         order = np.argsort(first, kind="stable")
         before, first = before[order], first[order]
         at = runs(first)
@@ -70,51 +80,90 @@ def suffix_array(text: np.ndarray, depth: int = SIZE) -> np.ndarray:
         larger = [np.concatenate(waiting[c])] if waiting[c] else []
         while larger and len(larger[-1]):
             before = larger[-1][larger[-1] > 0] - 1
-            larger.append(before[text[before] == c])
+            larger.append(before[(text[before] == c) & needed[before]])
         bucket = np.concatenate([*larger, direct[edges[c] : edges[c + 1]]])
         if len(bucket):
             bucket = bucket.astype(np.int64)
             out.append(bucket)
             induce(bucket, c)
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def words(text: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For each position, its next depth bytes as big-endian 64-bit words (the last may overlap the one before)."""
-    padded = np.concatenate([text, np.zeros(depth + 8, dtype=np.uint8)]).astype(np.uint64)
-    n = len(text) + depth
-    w = np.zeros(n, dtype=np.uint64)
+def _words(text: np.ndarray, depth: int) -> np.ndarray:
+    """The eight bytes from each position on as a big-endian number; zeros follow the text."""
+    padded = np.concatenate([text, np.zeros(depth + 8, dtype=np.uint8)])
+    w = np.zeros(len(text) + depth, dtype=np.uint64)
     for i in range(8):
-        w = (w << np.uint64(8)) | padded[i : i + n]
-    return [w[i : i + len(text)] for i in [*range(0, depth - 8, 8), depth - 8]]
-
-
-def repeated(fragments: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, start, end) of the runs of fragments' strings that also start in a smaller document's fragment."""
+        w <<= np.uint64(8)
+        w |= padded[i : i + len(w)]
+    return w
+
+
+def _offsets(depth: int) -> list[int]:
+    """Where the words of depth bytes start; the last may overlap the one before."""
+    return [*range(0, depth - 8, 8), depth - 8]
+
+
+def _sorted(at: np.ndarray, w: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of their depth bytes: by the first word, then ties alone by the next ones."""
+    at = at[np.argsort(w[at])]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = w[at[1:]] != w[at[:-1]]
+    for offset in _offsets(depth)[1:]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        i = np.flatnonzero(tied)
+        if not len(i):
+            break
+        some, group = at[i], np.cumsum(new)[i]
+        key = w[some + offset]
+        order = np.lexsort((key, group))
+        at[i], key = some[order], key[order]
+        # groups keep their places; only ties between equal words stay
+        new[i[1:]] |= key[1:] != key[:-1]
+    return at
+
+
+def common_prefixes(text: np.ndarray, sa: np.ndarray, depth: int = SIZE) -> np.ndarray:
+    """Length of the prefix that each suffix of an array shares with the one before it, up to depth; 0 for the first."""
+    w, out, open_ = _words(text, depth), np.zeros(len(sa), dtype=np.int64), np.arange(1, len(sa))
+    for offset in _offsets(depth):
+        differ = w[sa[open_] + offset] ^ w[sa[open_ - 1] + offset]
+        # leading zero bytes of the difference; frexp gives the bits in use of a number below 2**53
+        high = differ >> np.uint64(32)
+        part = np.where(high > 0, high, differ).astype(np.float64)
+        bits = np.frexp(part)[1] + np.where(high > 0, 32, 0)
+        out[open_] = np.where(differ == 0, offset + 8, np.maximum(out[open_], offset + (64 - bits) // 8))
+        open_ = open_[differ == 0]
+    return out
+
+
+def repeated(fragments: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fragment, start, end) of the runs of fragments' strings that also start in a fragment of a smaller document."""
     text = np.frombuffer(b"\0".join(fragments) + b"\0", dtype=np.uint8)
     sizes = np.array([len(f) for f in fragments], dtype=np.int64)
     ends = np.cumsum(sizes + 1) - 1
     first = ends - sizes
-    sa = suffix_array(text)
+    room = np.repeat(ends, sizes + 1) - np.arange(len(text))
+    sa = suffix_array(text, SIZE, room >= SIZE)
+    sa = sa[room[sa] >= SIZE]
+    if not len(sa):
+        return sa, sa, sa
     owner = np.searchsorted(ends, sa)
-    whole = sa + SIZE <= ends[np.minimum(owner, len(ends) - 1)]
-    sa, owner = sa[whole], owner[whole]
-    # common prefix with the neighbour of at least SIZE: all words agree
-    same = np.ones(max(0, len(sa) - 1), dtype=bool)
-    for w in words(text, SIZE):
-        same &= w[sa[1:]] == w[sa[:-1]]
-    groups = np.concatenate([[0], np.flatnonzero(~same) + 1]) if len(sa) else np.zeros(0, dtype=np.int64)
+    groups = np.flatnonzero(common_prefixes(text, sa) < SIZE)
     doc = docs[owner]
-    least = np.repeat(np.minimum.reduceat(doc, groups), np.diff(np.append(groups, len(sa)))) if len(sa) else doc
+    least = np.repeat(np.minimum.reduceat(doc, groups), np.diff(np.append(groups, len(sa))))
     gone = least < doc
+    if not gone.any():
+        return sa[:0], sa[:0], sa[:0]
     at, who = sa[gone], owner[gone]
     order = np.argsort(at)
     at, who = at[order], who[order]
-    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (who[1:] != who[:-1])]) if len(at) else np.zeros(0, dtype=bool)
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (who[1:] != who[:-1])
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(at)) - 1
-    shift = starts[who] - first[who]
-    return docs[who][a], (at + shift)[a], (at + shift)[b] + SIZE if len(at) else at
+    return who[a], (at - first[who])[a], (at - first[who])[b] + SIZE
 
 
 def window_names(b: Block, h: Hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -133,183 +182,168 @@ def window_names(b: Block, h: Hashes) -> tuple[np.ndarray, np.ndarray]:
     return at[inside], low[inside]
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, g, doc_id, start, size): content-cut pieces with the SIZE - 1 bytes after them, of at least SIZE bytes."""
-    for batch in batches:
-        ids = np.asarray(batch.column(0))
-        for b in blocks(as_bytes(batch.column(1))):
-            h = Hashes(b.bytes)
-            cut = np.flatnonzero((h.fixed(16) & CUT_MASK) == 0)
-            start = np.union1d(cut, b.starts)
-            doc = np.minimum(np.searchsorted(b.ends, start), len(b.ends) - 1)
-            start, doc = start[start <= b.ends[doc]], doc[start <= b.ends[doc]]
-            end = np.minimum(np.append(start[1:], len(b.bytes)) + SIZE - 1, b.ends[doc])
-            long = end - start >= SIZE
-            start, end, doc = start[long], end[long], doc[long]
-            name = h.of(start, end)
-            check = (h.of(start + 1, end) >> np.uint64(33)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (_signed(name), check, ids[b.first + doc], (start - b.starts[doc]).astype(np.int32), (end - start).astype(np.int32))],
-                names=["h", "g", "doc_id", "start", "size"],
-            )
-
-
-def _open_windows(b: Block, h: Hashes, gone: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, name and document of the strings that step 1 hasn't settled; gone: lists of (start, size) for each document."""
-    at, name = window_names(b, h)
-    settled = np.zeros(len(b.bytes) + 1, dtype=np.int64)
-    for i, spans in enumerate(gone):
-        for s in spans or ():
-            # the strings that lie in a settled piece
-            settled[b.starts[i] + s["start"]] += 1
-            settled[b.starts[i] + s["start"] + s["size"] - SIZE + 1] -= 1
-    open_ = np.cumsum(settled)[at] == 0
-    at, name = at[open_], name[open_]
-    return at, name, np.searchsorted(b.ends, at)
-
-
-def names_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, doc_id), once for each document: the names of its open strings."""
-    for batch in batches:
-        ids, gone = np.asarray(batch.column(0)), batch.column(2).to_pylist()
-        for b in blocks(as_bytes(batch.column(1))):
-            _, name, doc = _open_windows(b, Hashes(b.bytes), gone[b.first : b.last])
-            new = np.ones(len(name), dtype=bool)
-            new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-            name, doc = name[new], doc[new]
-            order = np.lexsort((name, doc))
-            name, doc = name[order], doc[order]
-            once = np.ones(len(name), dtype=bool)
-            once[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(name[once])), pa.array(ids[b.first + doc[once]])], names=["name", "doc_id"])
-
-
-def fragments_of(groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, bytes, doc_id, start, size): runs of open strings with one name, if the name is in the document's list of repeated ones; bytes as in _combined."""
-    for batch in batches:
-        ids, gone = np.asarray(batch.column(0)), batch.column(2).to_pylist()
-        names = batch.column(3)
-        for b in blocks(as_bytes(batch.column(1))):
-            h = Hashes(b.bytes)
-            at, name, doc = _open_windows(b, h, gone[b.first : b.last])
-            # runs of neighbouring starts with one name in one document
-            new = np.ones(len(at), dtype=bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-            a = np.flatnonzero(new)
-            z = np.append(a[1:], len(at)) - 1
-            raw, bucket, who, start = b.bytes.tobytes(), [], [], []
-            found = []
-            of = np.searchsorted(doc[a], np.arange(b.last - b.first + 1))
-            for i in range(b.last - b.first):
-                listed = names[b.first + i].values if names[b.first + i].is_valid else None
-                if listed is None or not len(listed):
-                    continue
-                known = np.asarray(listed.field("name").to_numpy(zero_copy_only=False)).view(np.uint64)
-                hot = np.asarray(listed.field("hot").to_numpy(zero_copy_only=False)).astype(bool)
-                order = np.argsort(known)
-                known, hot = known[order], hot[order]
-                mine = slice(of[i], of[i + 1])
-                k = np.minimum(np.searchsorted(known, name[a[mine]]), len(known) - 1)
-                hit = known[k] == name[a[mine]]
-                for x, y, nm, is_hot in zip(at[a[mine]][hit].tolist(), at[z[mine]][hit].tolist(), name[a[mine]][hit].tolist(), hot[k][hit].tolist()):
-                    if not is_hot:
-                        found.append(raw[x : y + SIZE]), bucket.append(nm % groups), who.append(ids[b.first + i]), start.append(x - b.starts[i])
-                    else:
-                        spread = h.of(np.arange(x, y + 1), np.arange(x, y + 1) + SIZE)
-                        for s, nm2 in zip(range(x, y + 1), spread.tolist()):
-                            found.append(raw[s : s + SIZE]), bucket.append(nm2 % groups), who.append(ids[b.first + i]), start.append(s - b.starts[i])
-            columns = pa.array(found, pa.binary()), np.array(who, dtype=np.int64), np.array(start, dtype=np.int64)
-            yield _combined(np.array(bucket, dtype=np.uint64).astype(np.int64), *columns)
-
-
-def _copies(fragments: pa.Array, docs: np.ndarray) -> np.ndarray:
-    """Whether a smaller document has the very fragment."""
-    code = np.asarray(fragments.dictionary_encode().indices)
-    least = np.full(len(code), np.iinfo(np.int64).max)
+def _runs(batch: Batch) -> Iterator[tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of a batch: first and last start of the runs of neighbouring strings of one name in one document, the name as a token, and the document's place in the batch."""
+    for b in batch.blocks():
+        at, name = window_names(b, Hashes(b.bytes))
+        doc = np.searchsorted(b.ends, at)
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
+        a = np.flatnonzero(new)
+        z = np.append(a[1:], len(at)) - 1 if len(a) else a
+        # scrambled once more: the smallest of many hashes are small
+        yield b, at[a], at[z], mix(name[a] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - TOKEN_BITS), doc[a] + b.first
+
+
+def _names(token: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names, sorted, and the number of documents of each; documents come in rising order."""
+    order = np.argsort(token, kind="stable")
+    token, doc = token[order], doc[order]
+    new = np.ones(len(token), dtype=bool)
+    new[1:] = token[1:] != token[:-1]
+    other = new.copy()
+    other[1:] |= doc[1:] != doc[:-1]
+    a = np.flatnonzero(new)
+    return token[a], np.add.reduceat(other.astype(np.int64), a) if len(a) else a
+
+
+def _names_of(batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    found = [(token, doc) for _, _, _, token, doc in _runs(batch)]
+    return _names(np.concatenate([t for t, _ in found]), np.concatenate([d for _, d in found]))
+
+
+FRAGMENTS = ["bucket", "batch", "sizes", "docs", "bytes", "holders", "places"]
+
+
+def _fragments(parts: int, groups: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each group that a batch has fragments for: the distinct fragments with their smallest document, and that document's places in the batch.
+
+    Copies in larger documents of the batch go at once; their ranges pass through the group of bucket -1 - (batch modulo groups).
+    """
+    for rows in batches:
+        for k, batch in enumerate(unpacked(rows)):
+            found = list(_runs(batch))
+            names = np.unique(np.concatenate([x[3] for x in found]))
+            often = codes(names, rows.column(4)[k].as_py(), parts) > 1
+            ids = np.asarray(batch.ids)
+            fragments, place, doc, token = [], [], [], []
+            for b, a, z, t, d in found:
+                kept = often[np.searchsorted(names, t)]
+                a, size, d = a[kept], (z - a)[kept] + SIZE, d[kept]
+                ends = np.cumsum(size)
+                text = b.bytes[np.repeat((a - ends + size).astype(np.int32), size) + np.arange(size.sum(), dtype=np.int32)]
+                fragments.append(pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(text)]))
+                place.append(a - b.starts[d - b.first] + batch.starts[d]), doc.append(ids[d]), token.append(t[kept])
+            of = pa.concat_arrays(fragments).dictionary_encode()
+            code, place, doc, token = np.asarray(of.indices), np.concatenate(place), np.concatenate(doc), np.concatenate(token)
+            if not len(code):
+                continue
+            least = np.full(len(of.dictionary), np.iinfo(np.int64).max)
+            np.minimum.at(least, code, doc)
+            bucket = np.zeros(len(least), dtype=np.int64)
+            bucket[code] = (token % np.uint64(groups)).astype(np.int64)
+            values, lengths = of.dictionary, np.diff(np.frombuffer(of.dictionary.buffers()[1], dtype=np.int32, count=len(least) + 1))
+            first = doc == least[code]
+            order = np.argsort(bucket, kind="stable")
+            number = np.empty(len(order), dtype=np.int64)
+            held_order = np.argsort(bucket[code[first]], kind="stable")
+            held, held_place = code[first][held_order], place[first][held_order]
+            at, held_at = runs(bucket[order]), runs(bucket[held])
+            out = [[] for _ in FRAGMENTS]
+            for x, y, u, v in zip(at[:-1], at[1:], held_at[:-1], held_at[1:]):
+                mine = order[x:y]
+                number[mine] = np.arange(len(mine))
+                text = b"".join(values.take(pa.array(mine)).to_pylist())
+                row = bucket[mine[0]], batch.batch, compressed(lengths[mine]), compressed(least[mine]), compressed(np.frombuffer(text, dtype=np.uint8)), compressed(number[held[u:v]].astype(np.int32)), compressed(held_place[u:v].astype(np.int64))
+                for column, value in zip(out, row):
+                    column.append(value)
+            if not first.all():
+                copies = place[~first], lengths[code[~first]]
+                for column, value in zip(out, (-1 - batch.batch % groups, batch.batch, None, None, None, None, compressed(np.stack([copies[0], copies[0] + copies[1]])))):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, [pa.int64(), pa.int64(), *[pa.binary()] * 5])], names=FRAGMENTS)
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """(batch, ranges) of the strings of a group's fragments that go."""
+    if group["bucket"][0].as_py() < 0:
+        return pa.table({"batch": group["batch"], "ranges": group["places"]})
+    sizes = [decompressed(x, np.int32) for x in group["sizes"].to_pylist()]
+    docs = np.concatenate([decompressed(x, np.int64) for x in group["docs"].to_pylist()])
+    text = np.concatenate([decompressed(x, np.uint8) for x in group["bytes"].to_pylist()])
+    length = np.concatenate(sizes).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(length)])
+    of = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(text)]).dictionary_encode()
+    code = np.asarray(of.indices)
+    least = np.full(len(of.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(least, code, docs)
-    return docs > least[code]
-
-
-def _combined(bucket: np.ndarray, fragments: pa.Array, docs: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Rows (bucket, bytes, doc_id, start, size); bytes are null where the fragment goes, as a smaller document of these has it."""
-    gone = _copies(fragments, docs)
-    size = np.asarray(pc.binary_length(fragments)).astype(np.int64)
-    bucket = np.where(gone, (docs % (bucket.max() + 1)) if len(bucket) else bucket, bucket)
-    kept = pc.if_else(pa.array(~gone), fragments, pa.scalar(None, pa.binary()))
-    return pa.RecordBatch.from_arrays([pa.array(bucket), kept, pa.array(docs), pa.array(start), pa.array(size)], names=["bucket", "bytes", "doc_id", "start", "size"])
-
-
-def _settle(table: pa.Table) -> pa.Table:
-    docs, start, size = (np.asarray(table[c].to_numpy()) for c in ("doc_id", "start", "size"))
-    fragments = table["bytes"].combine_chunks()
-    gone = np.asarray(fragments.is_null())
-    held = np.flatnonzero(~gone)
-    gone[held[_copies(fragments.take(pa.array(held)), docs[held])]] = True
-    rest = np.flatnonzero(~gone)
-    # two groups of equal bucket but different names don't disturb each other: only equal strings meet
-    doc, first, end = repeated(fragments.take(pa.array(rest)).to_pylist(), docs[rest], start[rest])
-    found = np.concatenate([docs[gone], doc]), np.concatenate([start[gone], first]), np.concatenate([(start + size)[gone], end])
-    return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("doc_id", "start", "end"), found)})
-
-
-def _finish(keep_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for doc_id, text, spans in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            kept, at, n_spans, removed = [], 0, 0, 0
-            reach = -1
-            for s, e in sorted((x["start"], x["end"]) for x in spans or ()):
-                if s > reach:
-                    n_spans += 1
-                    kept.append(text[at:s])
-                    removed += e - s
-                    at = reach = e
-                elif e > reach:
-                    removed += e - reach
-                    at = reach = e
-            kept.append(text[at:])
-            rest = b"".join(kept)
-            out.append((doc_id, len(text), removed, n_spans, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text else None))
-        cols = list(zip(*out)) or [[]] * 6
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
-
-def deduplicate(docs: DataFrame, keep_text: bool = False, group_bytes: int = GROUP_BYTES, hot: int = HOT) -> DataFrame:
-    """One row for each doc_id of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept_text with keep_text.
+    # the array holds each distinct fragment once, for the smallest of its documents; in the others all its strings are repeated
+    who, start, end = repeated(of.dictionary.to_pylist(), least)
+    edges = np.searchsorted(who, np.arange(len(least) + 1))
+    out, base = [], 0
+    for n, holders, places in zip(map(len, sizes), group["holders"].to_pylist(), group["places"].to_pylist()):
+        mine = decompressed(holders, np.int32) + base
+        place, c = decompressed(places, np.int64), code[mine]
+        whole = docs[mine] > least[c]
+        count = np.where(whole, 0, edges[c + 1] - edges[c])
+        k = np.repeat(edges[c] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        at = np.repeat(place, count)
+        a, b = np.concatenate([place[whole], at + start[k]]), np.concatenate([(place + length[mine])[whole], at + end[k]])
+        out.append(compressed(np.stack([a, b])) if len(a) else None)
+        base += n
+    some = pa.array([x is not None for x in out])
+    return pa.table({"batch": group["batch"].combine_chunks().filter(some), "ranges": pa.array([x for x in out if x is not None], pa.binary())})
+
+
+def _finish(keep_text: bool, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows in batches:
+        for k, batch in enumerate(unpacked(rows)):
+            n, edge = len(batch.data), np.zeros(len(batch.data) + 1, dtype=np.int64)
+            for x in rows.column(4)[k].as_py() or ():
+                a, b = decompressed(x, np.int64).reshape(2, -1)
+                edge += np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            before = np.concatenate([[False], gone[:-1]])
+            before[batch.starts[batch.starts < n]] = False
+            sums, rises = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, gone & ~before))
+            size = batch.ends - batch.starts
+            removed = sums[batch.ends] - sums[batch.starts]
+            data = np.frombuffer(batch.data, dtype=np.uint8)[~gone].tobytes()
+            ends = np.cumsum(size - removed)
+            rest = [data[a:b] for a, b in zip((ends - size + removed).tolist(), ends.tolist())]
+            columns = [batch.ids, *(pa.array(x, pa.int64()) for x in (size, removed, rises[batch.ends] - rises[batch.starts]))]
+            columns += [pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string()), pa.array([x.decode("utf-8", "ignore") if keep_text else None for x in rest], pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+            yield pa.RecordBatch.from_arrays([*columns, *([rows.column(5)[k].values] if keep else [])], names=[*names, *(["row"] if keep else [])])
+
+
+def deduplicate(docs: DataFrame, keep_text: bool = False, keep: tuple[str, ...] = (), group_bytes: int = GROUP_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, with keep_text kept_text, and with keep a struct ``row`` of the columns it names.
 
     Null and empty texts, and those shorter than SIZE bytes, lose nothing; a
     null text counts as empty. Rows that repeat a doc_id are one document of
-    equal strings to each other and each give a row; they should have equal
-    texts. Rows of null doc_id are compared with nothing and kept. Empty tables
-    give no rows; extra columns are ignored. Where a cut falls inside a
-    character, kept_text leaves that character's other bytes out. Pieces are
-    compared by 95-bit hashes, all else byte by byte.
+    equal strings to each other and each give a row. Rows of null doc_id are
+    compared with nothing and kept. Empty tables give no rows; extra columns
+    are ignored. Where a cut falls inside a character, kept_text leaves that
+    character's other bytes out. Strings are compared byte by byte; hashes
+    only decide which ones meet.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, int(total / group_bytes / 2))
-    nameless, rows = rows.where("doc_id IS NULL"), rows.where("doc_id IS NOT NULL")
-    cut = rows.mapInArrow(pieces, "h long, g int, doc_id long, start int, size int")
-    firsts = cut.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "g", "least")
-    gone = materialise(cut.join(firsts, ["h", "g"]).where(F.col("least") < F.col("doc_id")).select("doc_id", "start", "size"))
-    lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "size")).alias("gone"))
-    dealt = rows.repartition("doc_id")
-    texts = dealt.join(lists, "doc_id", "left")
-    names = texts.mapInArrow(names_of, "name long, doc_id long")
-    # a window, so that names travel once; a join with their counts would send them twice
-    often = names.withColumn("n", F.count("*").over(Window.partitionBy("name"))).where("n > 1")
-    listed = often.groupBy("doc_id").agg(F.collect_list(F.struct("name", (F.col("n") > hot).alias("hot"))).alias("names"))
-    fragments = texts.join(listed, "doc_id").select("doc_id", "text", "gone", "names").mapInArrow(lambda it: fragments_of(groups, it), "bucket long, bytes binary, doc_id long, start long, size long")
-    found = fragments.groupBy("bucket").applyInArrow(_settle, "doc_id long, start long, end long")
-    spans = found.unionByName(gone.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("size")).cast("long").alias("end")))
-    merged = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    done = dealt.join(merged, "doc_id", "left").select("doc_id", "text", "spans")
-    done = done.union(nameless.select("doc_id", "text", F.lit(None).cast(done.schema["spans"].dataType)))
-    out = done.mapInArrow(lambda it: _finish(keep_text, it), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    packed = pack(docs.where("doc_id IS NOT NULL"), keep)
+    total = total_bytes(packed)
+    parts, groups = max(1, total // part_bytes), max(1, total // group_bytes)
+    slim = packed.select("batch", "ids", "sizes", "texts", *(["rows"] if keep else []))
+    dealt = slim.repartition("batch")
+    listed = dealt.join(frequencies(packed, _names_of, parts), "batch").select("batch", "ids", "sizes", "texts", "parts")
+    kinds = "bucket long, batch long, sizes binary, docs binary, bytes binary, holders binary, places binary"
+    found = listed.mapInArrow(partial(_fragments, parts, groups), kinds).groupBy("bucket").applyInArrow(_settle, "batch long, ranges binary")
+    ranges = found.groupBy("batch").agg(F.collect_list("ranges").alias("ranges"))
+    last = ["rows"] if keep else []
+    done = dealt.join(ranges, "batch", "left").select("batch", "ids", "sizes", "texts", "ranges", *last)
+    nameless = docs.where("doc_id IS NULL")
+    if not nameless.isEmpty():
+        done = done.union(pack(nameless, keep).withColumn("ranges", F.lit(None).cast("array<binary>")).select("batch", "ids", "sizes", "texts", "ranges", *last))
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    if keep:
+        schema = schema.add("row", packed.schema["rows"].dataType.elementType)
+    out = done.mapInArrow(partial(_finish, keep_text, bool(keep)), schema)
     return out if keep_text else out.drop("kept_text")

@@ -126,10 +126,10 @@ def removed(rows, size=50):
     return out
 
 
-@pytest.mark.parametrize("which, hot", [("hand", suffixes.HOT), ("hand", 3), ("given", suffixes.HOT)])
-def test_removed_bytes_are_those_of_a_table_of_all_strings(spark, which, hot):
+@pytest.mark.parametrize("which, group_bytes", [("hand", suffixes.GROUP_BYTES), ("hand", 3_000), ("given", suffixes.GROUP_BYTES), ("given", 20_000)])
+def test_removed_bytes_are_those_of_a_table_of_all_strings(spark, which, group_bytes):
     rows = fixtures.texts() if which == "hand" else fixtures.given(spark)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(fixtures.documents(spark, rows, repeat=False), hot=hot).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(fixtures.documents(spark, rows, repeat=False), group_bytes=group_bytes, part_bytes=group_bytes).collect()}
     assert got == removed(rows)
 
 
