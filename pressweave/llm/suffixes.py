@@ -298,11 +298,9 @@ def _settle(group: pa.Table) -> pa.Table:
 def _finish(keep_text: bool, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for k, batch in enumerate(unpacked(rows)):
-            n, edge = len(batch.data), np.zeros(len(batch.data) + 1, dtype=np.int64)
-            for x in rows.column(4)[k].as_py() or ():
-                a, b = decompressed(x, np.int64).reshape(2, -1)
-                edge += np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1)
-            gone = np.cumsum(edge[:-1]) > 0
+            n = len(batch.data)
+            a, b = np.concatenate([np.zeros((2, 0), dtype=np.int64), *(decompressed(x, np.int64).reshape(2, -1) for x in rows.column(4)[k].as_py() or ())], axis=1)
+            gone = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:-1] > 0
             before = np.concatenate([[False], gone[:-1]])
             before[batch.starts[batch.starts < n]] = False
             sums, rises = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, gone & ~before))
@@ -331,8 +329,8 @@ def deduplicate(docs: DataFrame, keep_text: bool = False, keep: tuple[str, ...]
     packed = pack(docs.where("doc_id IS NOT NULL"), keep)
     total = total_bytes(packed)
     parts, groups = max(1, total // part_bytes), max(1, total // group_bytes)
-    slim = packed.select("batch", "ids", "sizes", "texts", *(["rows"] if keep else []))
-    dealt = slim.repartition("batch")
+    # the filter, which inner joins would add, makes both joins read one exchange
+    dealt = packed.where("batch IS NOT NULL").repartition("batch")
     listed = dealt.join(frequencies(packed, _names_of, parts), "batch").select("batch", "ids", "sizes", "texts", "parts")
     kinds = "bucket long, batch long, sizes binary, docs binary, bytes binary, holders binary, places binary"
     found = listed.mapInArrow(partial(_fragments, parts, groups), kinds).groupBy("bucket").applyInArrow(_settle, "batch long, ranges binary")
