@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         ahead = labels.select(F.col("node").alias("at"), F.col("component").alias("ahead"))
         new = materialise(hop.join(ahead, F.col("next") == F.col("at"), "left").select("node", F.least("next", "ahead").alias("component"), (F.least("next", "ahead") != F.col("component")).alias("moved")))
         done = new.where("moved").isEmpty()
+        discard(labels)
         labels = new.drop("moved")
         if done:
+            discard(edges)
             return labels

@@ -1,15 +1,17 @@
 """Operator 1: n-gram Jaccard join with adaptive multi-match prefixes.
 
-Documents are sets of hashed shingles of w words under one global order:
-shingles that many documents have come last. Two sets of similarity p share at
-least l shingles of their prefixes, of n - ceil(p n) + l shingles each. Every
-document starts with l = 1; where the lists of its prefix name many possible
-partners, its prefix is lengthened and as many more shared shingles are asked
-for before a pair is verified.
-
-Equal sets are one class from the start. Neighbours in the prefix lists are
-verified first and joined; after that only pairs of different components are
-counted, so that a group of n near copies never becomes n * n pairs.
+Documents are sets of hashed shingles of w words under one global order: by
+the number of documents that have a shingle, then by its hash. Two sets of
+similarity p share at least l shingles of their prefixes, of n - ceil(p n) + l
+shingles each. Every document starts with l = 1; where the lists of its prefix
+name many possible partners, its prefix is lengthened and as many more shared
+shingles are asked for before a pair is verified.
+
+Shingles of one document only come first in the order and have no partner, so
+only the others of a prefix are posted. Equal sets are one class from the
+start. Neighbours in the prefix lists are verified first and joined; after
+that only pairs of different components are looked at, so that a group of n
+near copies never becomes n * n pairs.
 """
 
 from __future__ import annotations
@@ -25,14 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK_BYTES, LOWER_KEYS, Block, Hashes, as_bytes, blocks, mix, runs
-from .common import bounded_batches, materialise
+from .common import discard, materialise
 from .components import components
+from .packs import PART_BYTES, TOKEN_BITS, Batch, codes, frequencies, pack, total_bytes, unpacked
 
 #: Operator 1's words of a shingle and percent of shared shingles that links; longest match count; partners above which l goes to 2, 3 and 4.
 WORDS, PERCENT, MOST_MATCHES, COSTS = 3, 90, 4, (16, 64, 256)
-#: The most frequent shingles are ordered by frequency, this many of them; the bound of what is broadcast.
-FREQUENT = 1 << 17
-LOCAL_TOKENS = 1 << 21
+UNSIGNED_SHIFT = np.uint64(64 - TOKEN_BITS)
 
 
 def shingles(b: Block, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,70 +77,55 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    """The identifiers of a batch without null ones."""
-    return np.asarray(batch.column(0))
+def _least(n: np.ndarray, percent: int) -> np.ndarray:
+    """ceil(percent % of n)."""
+    return -(-percent * n // 100)
 
 
-NAMES = ["kind", "a", "n", "h1", "h2"]
+def _tokens_of(words: int, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's distinct shingles as tokens, and how many of its documents have each."""
+    return np.unique(np.concatenate([shingles(b, words)[1] >> UNSIGNED_SHIFT for b in batch.blocks()]), return_counts=True)
 
 
-def _signatures(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: doc_id, set size and 128-bit set hash. Kind 1: shingle and number of documents, for those seen twice here."""
-    held, size = [], 0
+PREFIXES = "doc_id long, n long, h1 long, h2 long, b1 long, b2 long, tokens array<long>, places array<int>, packed binary"
 
-    def frequent():
-        g, n = np.unique(np.concatenate(held), return_counts=True)
-        g, n = g[n > 1], n[n > 1]
-        zero = np.zeros(len(g), dtype=np.int64)
-        return pa.RecordBatch.from_arrays([_long(x) for x in (zero + 1, g, n, zero, zero)], names=NAMES)
 
-    for batch in batches:
-        for b in blocks(as_bytes(batch.column(1))):
-            owner, g = shingles(b, words)
-            k = b.last - b.first
+def _prefixes(words: int, percent: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each document: set size n, 128 bits of set hash and 128 parity bits, those prefix shingles for MOST_MATCHES that
+    other documents have, with their places in the global order, and, if there are any, the compressed text."""
+    pack_text = zstandard.ZstdCompressor(level=3).compress
+    for rows in batches:
+        for r, batch in enumerate(unpacked(rows)):
+            k, found = len(batch.ends), [(owner + b.first, g) for b in batch.blocks() for owner, g in [shingles(b, words)]]
+            owner, g = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+            token = g >> UNSIGNED_SHIFT
+            every, of = np.unique(token, return_inverse=True)
+            often = codes(every, rows.column(4)[r].as_py(), parts)[of]
             n = np.bincount(owner, minlength=k)
-            h1, h2 = _sums(mix(g), owner, k), _sums(mix(g ^ np.uint64(0x5851F42D4C957F2D)), owner, k)
-            yield pa.RecordBatch.from_arrays([_long(np.zeros(k)), batch.column(0).slice(b.first, k), *(_long(x) for x in (n, h1, h2))], names=NAMES)
-            held.append(g)
-            size += len(g)
-            if size > LOCAL_TOKENS:
-                yield frequent()
-                held, size = [], 0
-    if held:
-        yield frequent()
-
-
-def _least(n: np.ndarray, percent: int) -> np.ndarray:
-    """ceil(percent % of n)."""
-    return -(-percent * n // 100)
-
-
-def _prefixes(order, words: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, prefix shingles for MOST_MATCHES in the global order, and 128 parity bits of the set."""
-    tokens, counts = order.value
-    for batch in batches:
-        ids = _ids(batch)
-        for b in blocks(as_bytes(batch.column(1))):
-            owner, g = shingles(b, words)
-            k = b.last - b.first
-            n = np.bincount(owner, minlength=k)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, g), len(tokens) - 1)
-                often = np.where(tokens[at] == g, counts[at], 0)
-            else:
-                often = np.zeros(len(g), dtype=np.int64)
             bit = np.uint64(1) << (g >> np.uint64(58))
             side = (g >> np.uint64(57)) & np.uint64(1) == 1
-            b1 = _sums(np.where(side, bit, np.uint64(0)), owner, k, np.bitwise_xor)
-            b2 = _sums(np.where(side, np.uint64(0), bit), owner, k, np.bitwise_xor)
-            by = np.lexsort((g, often, owner))
-            first = np.concatenate([[0], np.cumsum(n)])[:-1]
-            rank = np.arange(len(g)) - first[owner]
-            take = np.minimum(n, n - _least(n, percent) + MOST_MATCHES)
-            kept = g[by][rank < take[owner]]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), _long(kept))
-            yield pa.RecordBatch.from_arrays([_long(ids[b.first : b.last]), _long(n), lists, _long(b1), _long(b2)], names=["doc_id", "n", "prefix", "b1", "b2"])
+            sums = [_sums(mix(g), owner, k), _sums(mix(g ^ np.uint64(0x5851F42D4C957F2D)), owner, k)]
+            sums += [_sums(np.where(x, bit, np.uint64(0)), owner, k, np.bitwise_xor) for x in (side, ~side)]
+            # only shingles of several documents need an order of their own: those of one document stand before them
+            kept = np.flatnonzero(often > 1)
+            kept = kept[np.lexsort((g[kept], often[kept], owner[kept]))]
+            who = owner[kept]
+            shared = np.bincount(who, minlength=k)
+            place = np.arange(len(kept)) - (np.cumsum(shared) - shared)[who] + (n - shared)[who]
+            inside = place < (n - _least(n, percent) + MOST_MATCHES)[who]
+            kept, who, place = kept[inside], who[inside], place[inside]
+            count = np.bincount(who, minlength=k)
+            at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            texts = [pack_text(batch.data[x:y]) if c else None for x, y, c in zip(batch.starts.tolist(), batch.ends.tolist(), count.tolist())]
+            values = [batch.ids, _long(n), *map(_long, sums), pa.ListArray.from_arrays(at, _long(g[kept])), pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))), pa.array(texts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PREFIXES.split(", ")])
+
+
+def _set_sizes(words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n of each text."""
+    for batch in batches:
+        for b in blocks(as_bytes(batch.column(0))):
+            yield pa.RecordBatch.from_arrays([_long(np.bincount(shingles(b, words)[0], minlength=b.last - b.first))], names=["n"])
 
 
 def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -167,56 +153,60 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
             yield {c: x[many] for c, x in found.items()}
 
 
-def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether sizes and parity bits allow a link (never wrongly no), and the parity distance."""
+def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes, parity bits and places allow a link (never wrongly no), and the parity distance.
+
+    Behind a shared shingle both sets share no more than the shorter rest holds;
+    before it nothing, if it is the first one shared, else what stands there.
+    """
     n, m = x["n"][i], x["n"][j]
     # as unsigned numbers: bits of a negative one are counted in its absolute value
     differ = [(x[b][i] ^ x[b][j]).view(np.uint64) for b in ("b1", "b2")]
     apart = sum(np.bitwise_count(d).astype(np.int64) for d in differ)
-    # of n + m shingles, at most this many are in one set only
-    most = (n + m) - 2 * (-(-percent * (n + m) // (100 + percent)))
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart <= most), apart
+    need = -(-percent * (n + m) // (100 + percent))
+    p, q = x["place"][i].astype(np.int64), x["place"][j].astype(np.int64)
+    most = np.where(first, 0, np.minimum(p, q)) + 1 + np.minimum(n - p - 1, m - q - 1)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (apart <= n + m - 2 * need) & (most >= need), apart
 
 
-def _pairs(x: dict[str, np.ndarray], percent: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs i < j inside lists whose sizes allow a link, in chunks; rows are ordered by size in a list."""
-    at = runs(x["token"])
-    end = np.repeat(at[1:], np.diff(at))
-    n = len(end)
-    row = np.arange(n)
-    # partners of a row: the later ones of its list up to the largest size allowed
-    key = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.float64) * 2.0**31 + np.minimum(x["n"], 2**31 - 1)
-    top = np.repeat(np.arange(len(at) - 1), np.diff(at)) * 2.0**31 + np.minimum(x["n"] * 100 // percent, 2**31 - 1)
-    stop = np.minimum(end, np.searchsorted(key, top, side="right"))
-    count = np.maximum(0, stop - row - 1)
-    total = np.cumsum(count)
-    a = 0
+def _spans(start: np.ndarray, stop: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of each row i with the rows j of [start, stop), in chunks."""
+    count = np.maximum(0, stop - start)
+    total, n, a = np.cumsum(count), len(count), 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, side="right")))
         c = count[a:b]
-        i = np.repeat(row[a:b], c)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        i = np.repeat(np.arange(a, b), c)
         if len(i):
-            yield i, j
+            yield i, np.repeat(start[a:b] - np.cumsum(c) + c, c) + np.arange(len(i))
         a = b
 
 
-COLUMNS = ["token", "doc_id", "n", "b1", "b2"]
+def _window(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's list, and the first and the end of the rows of its list whose sizes allow a link; lists are in order of size."""
+    at = runs(x["token"])
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    bound = 2**31 - 1
+    key = of.astype(np.float64) * 2.0**31
+    sizes = key + np.minimum(x["n"], bound)
+    first = np.searchsorted(sizes, key + np.minimum(_least(x["n"], percent), bound), side="left")
+    return of, first, np.searchsorted(sizes, key + np.minimum(x["n"] * 100 // percent, bound), side="right")
+
+
+COLUMNS = ["token", "doc_id", "n", "b1", "b2", "place"]
 
 
 def _first_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, partners, near, apart): for each row of a list with possible partners, how many, and the closest among the few rows before it."""
+    """(doc_id, partners, near, apart): for each row of a list with possible partners, how many its size allows, and the closest among the few rows before it."""
     for x in _lists(batches, COLUMNS):
-        partners = np.zeros(len(x["token"]), dtype=np.int64)
-        for i, j in _pairs(x, percent):
-            ok, _ = _may_link(x, i, j, percent)
-            partners += np.bincount(i[ok], minlength=len(partners)) + np.bincount(j[ok], minlength=len(partners))
+        _, first, end = _window(x, percent)
+        partners = end - first - 1
         near, close = np.full(len(partners), -1), np.full(len(partners), 1 << 20)
         for back in (1, 2, 3):
             j = np.arange(back, len(partners))
             i = j - back
-            ok, apart = _may_link(x, i, j, percent)
-            ok &= (x["token"][i] == x["token"][j]) & (apart < close[j])
+            ok, apart = _may_link(x, i, j, percent, np.array(False))
+            ok &= (x["token"][i] == x["token"][j]) & (apart < close[j]) & (x["doc_id"][i] != x["doc_id"][j])
             close[j[ok]], near[j[ok]] = apart[ok], x["doc_id"][i[ok]]
         some = partners > 0
         yield pa.RecordBatch.from_arrays([_long(v[some]) for v in (x["doc_id"], partners, near, close)], names=["doc_id", "partners", "near", "apart"])
@@ -225,20 +215,26 @@ def _first_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 def _second_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, asked): pairs of a list that may link and lie in different components, with how many lists they must share."""
     for x in _lists(batches, [*COLUMNS, "component", "matches"]):
-        for i, j in _pairs(x, percent):
-            other = x["component"][i] != x["component"][j]
-            i, j = i[other], j[other]
-            ok, _ = _may_link(x, i, j, percent)
-            i, j = i[ok], j[ok]
-            a, b = np.minimum(x["doc_id"][i], x["doc_id"][j]), np.maximum(x["doc_id"][i], x["doc_id"][j])
-            yield pa.RecordBatch.from_arrays([_long(v) for v in (a, b, np.minimum(x["matches"][i], x["matches"][j]))], names=["a", "b", "asked"])
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id and the text's bytes, compressed: what travels to verify a pair is a fraction of its shingles."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t) for t in as_bytes(batch.column(1))], pa.binary())], names=["doc_id", "packed"])
+        of, _, end = _window(x, percent)
+        later = end - np.arange(len(of)) - 1
+        # lists of few components: all pairs of different ones; else all pairs that sizes allow
+        order = np.lexsort((x["component"], of))
+        edge = runs(of[order] + np.where(np.concatenate([[False], x["component"][order][1:] != x["component"][order][:-1]]), 0.5, 0).cumsum())
+        beyond = np.repeat(edge[1:], np.diff(edge))
+        list_end = np.repeat(np.cumsum(np.bincount(of)), np.bincount(of))
+        fewer = np.bincount(of, weights=list_end - beyond) < np.bincount(of, weights=later)
+        rows = np.arange(len(of))
+        plans = [(rows, np.where(fewer[of], 0, rows + 1), np.where(fewer[of], 0, end)), (order, np.where(fewer[of], beyond, 0), np.where(fewer[of], list_end, 0))]
+        for at, start, stop in plans:
+            for i, j in _spans(start, stop):
+                i, j = at[i], at[j]
+                other = (x["component"][i] != x["component"][j]) & (x["doc_id"][i] != x["doc_id"][j])
+                i, j = i[other], j[other]
+                asked = np.minimum(x["matches"][i], x["matches"][j])
+                ok, _ = _may_link(x, i, j, percent, asked == 1)
+                i, j, asked = i[ok], j[ok], asked[ok]
+                a, b = np.minimum(x["doc_id"][i], x["doc_id"][j]), np.maximum(x["doc_id"][i], x["doc_id"][j])
+                yield pa.RecordBatch.from_arrays([_long(v) for v in (a, b, asked)], names=["a", "b", "asked"])
 
 
 def _similar(words: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +260,10 @@ def _similar(words: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Ite
             first = last
 
 
-def _verified(pairs: DataFrame, packed: DataFrame, words: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets' similarity reaches the threshold."""
-    left = packed.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a"))
-    right = packed.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "packed_a", "packed_b").mapInArrow(partial(_similar, words, percent), "a long, b long")
 
 
@@ -275,7 +271,7 @@ def _look(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(fn, schema)
 
 
-def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Sets of shingles of so many words link where they share percent of their
@@ -285,48 +281,49 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     give no rows; extra columns are ignored. Shingles are compared by 64-bit
     hashes, whole sets by their size and 128 bits.
     """
-    bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = texts.where("doc_id IS NOT NULL")
-    scanned = materialise(texts.mapInArrow(partial(_signatures, words), "kind long, a long, n long, h1 long, h2 long"))
-    signed = scanned.where("kind = 0").select(F.col("a").alias("doc_id"), "n", "h1", "h2")
-    often = scanned.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas().sort_values("a")
-    tokens, counts = often["a"].to_numpy().astype(np.int64).view(np.uint64), often["n"].to_numpy().astype(np.int64)
-    by = np.argsort(tokens)
-    order = spark.sparkContext.broadcast((tokens[by], counts[by]))
-    classes = materialise(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    nameless = docs.where("doc_id IS NULL").select("text")
+    packed = pack(docs.where("doc_id IS NOT NULL"))
+    parts = max(1, total_bytes(packed) // part_bytes)
+    told = packed.join(frequencies(packed, partial(_tokens_of, words), parts), "batch", "left").select("batch", "ids", "sizes", "texts", "parts")
+    prefixes = materialise(told.mapInArrow(partial(_prefixes, words, percent, parts), PREFIXES))
+    discard(packed)
+    signed = prefixes.select("doc_id", "n", "h1", "h2")
+    classes = materialise(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     firsts = classes.select(F.col("first").alias("doc_id"))
-    prefixes = materialise(known.mapInArrow(partial(_prefixes, order, words, percent), "doc_id long, n long, prefix array<long>, b1 long, b2 long").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    # one row for each class that shares a prefix shingle with any document
+    posting = materialise(prefixes.where("packed IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("h1", "h2"))
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    posted = prefixes.select("doc_id", "n", "b1", "b2", F.explode(F.slice("prefix", 1, (base + 1).cast("int"))).alias("token")).select("token", "doc_id", "n", "b1", "b2")
+    lists = posting.select("doc_id", "n", "b1", "b2", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", "n", "b1", "b2", F.col("x.places").alias("place"))
     seen = materialise(
-        _look(posted, partial(_first_look, percent), "doc_id long, partners long, near long, apart long")
+        _look(lists.where(F.col("place") < base + 1), partial(_first_look, percent), "doc_id long, partners long, near long, apart long")
         .groupBy("doc_id")
         .agg(F.sum("partners").alias("partners"), F.min(F.when(F.col("near") >= 0, F.struct("apart", "near")))["near"].alias("near"))
     )
-    packed = materialise(known.mapInArrow(_packed, "doc_id long, packed binary").join(seen, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     near = seen.where("near IS NOT NULL").select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct()
-    links = materialise(_verified(near, packed, words, percent))
+    links = materialise(_verified(near, posting, words, percent))
     joined = components(links)
     matches = F.lit(1) + sum((F.col("partners") > c).cast("int") for c in COSTS)
     open_ = (
-        prefixes.join(seen.select("doc_id", "partners"), "doc_id")
+        lists.join(seen.select("doc_id", "partners"), "doc_id")
         .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .withColumn("component", F.coalesce("component", "doc_id"))
         .withColumn("matches", F.least(matches, F.ceil(F.col("n") * percent / 100)).cast("long"))
+        .where(F.col("place") < base + F.col("matches"))
     )
-    longer = open_.select("doc_id", "n", "b1", "b2", "component", "matches", F.explode(F.slice("prefix", 1, (base + F.col("matches")).cast("int"))).alias("token"))
     pairs = (
-        _look(longer.select("token", "doc_id", "n", "b1", "b2", "component", "matches"), partial(_second_look, percent), "a long, b long, asked long")
+        _look(open_.select(*COLUMNS, "component", "matches"), partial(_second_look, percent), "a long, b long, asked long")
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first("asked").alias("asked"))
         .where("shared >= asked")
         .select("a", "b")
     )
-    more = materialise(_verified(pairs, packed, words, percent))
+    more = materialise(_verified(pairs, posting, words, percent))
     found = joined if more.isEmpty() else components(links.union(more))
+    for table in (posting, seen, links, more):
+        discard(table)
     of_class = classes.join(found, F.col("first") == F.col("node"), "left").where("component IS NOT NULL OR first < last")
     of_class = of_class.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "first").alias("component"))
     same = (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
-    return signed.join(of_class, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = signed.join(of_class, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    none = F.lit(None).cast("long")
+    return out.union(nameless.mapInArrow(partial(_set_sizes, words), "n long").select(none, F.col("n"), none)) if not nameless.isEmpty() else out
