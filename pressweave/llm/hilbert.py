@@ -1,13 +1,16 @@
 """Operator 5: approximate nearest neighbours on shifted space-filling curves.
 
-Vectors are projected on random orthonormal axes, several times over, shifted
-and put in Hilbert order. Each order is cut into blocks at sampled quantiles
-of its keys; a query meets the blocks within its window of the order, and the
-best of all windows are merged and reranked by exact inner products.
-
-The window is as wide as a sample of queries needs: their exact neighbours are
-found by brute force, and the window is the one that would have kept the
-wanted share of them. It depends on the data, so recall holds at every size.
+Vectors are projected on random orthonormal axes, once for each order, made
+uniform along every axis, shifted and put in Hilbert order. Each order is cut
+into ranges at sampled quantiles of its keys. A range also gets the rows of
+its neighbours that stand within WINDOW rows of the cut, so a query meets its
+window, WINDOW rows to either side by rank, in the one task of its range. The
+best of all windows are merged; scores are exact inner products.
+
+A window has the same number of rows however large the table is. Largest
+inner products are nearest points once vectors get one more component that
+brings them to equal length, which is what the curves see. Equal vectors are
+one point with their smallest identifiers, so ties are exact.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialise
 
-ORDERS, AXES, BITS, BLOCK_ROWS, SAMPLE_QUERIES, KEY_SAMPLE, WANTED_RECALL, QUERY_MODULUS, NEAREST, SEED = 8, 8, 5, 2048, 128, 200_000, 0.96, 20, 20, 5
+ORDERS, AXES, BITS, WINDOW, RANGE_ROWS, NEAREST, QUERY_MODULUS, SEED = 16, 8, 6, 2048, 16_384, 20, 20, 5
+#: Rows that the axes' distributions are fitted on, and keys of all orders that cuts are taken from: the bounds of what reaches the driver.
+FIT_ROWS, KEY_SAMPLE, TIE_BITS = 5_000, 400_000, 15
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -54,152 +60,167 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Curves:
-    """The orders' projections and shifts for vectors of one length and scale."""
+    """The orders' projections, distributions and shifts for vectors of one length, fitted on a sample."""
 
-    def __init__(self, size: int, scale: float, orders: int = ORDERS, axes: int = AXES, bits: int = BITS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.axes = min(axes, size)
+    def __init__(self, sample: np.ndarray, longest: float, orders: int = ORDERS, axes: int = AXES, seed: int = SEED):
+        rng, size = np.random.default_rng(seed), sample.shape[1] + 1
+        self.longest, self.axes = longest, min(axes, size)
         self.maps = [np.linalg.qr(rng.normal(size=(size, self.axes)))[0] for _ in range(orders)]
         self.shifts = rng.uniform(0, 1, (orders, self.axes))
-        self.scale, self.bits = scale, bits
+        self.steps = np.linspace(0, 1, 257)
+        self.knots = [np.quantile(self._points(sample, False) @ m, self.steps, axis=0) for m in self.maps]
 
-    def keys(self, vectors: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-        """Keys of each order; the low 21 bits are a hash of the identifier, so that equal cells still spread over blocks."""
-        low = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
-        out = []
-        for axes, shift in zip(self.maps, self.shifts):
-            # cells of about a third of a standard deviation, shifted by up to one cell
-            cell = np.floor(vectors @ axes / self.scale * 3 + shift).astype(np.int64) + (1 << (self.bits - 1))
-            out.append((hilbert_keys(np.clip(cell, 0, (1 << self.bits) - 1), self.bits) << 21) | low)
-        return out
+    def _points(self, vectors: np.ndarray, asked: bool) -> np.ndarray:
+        """Points of equal length, so that the largest inner product is the nearest point."""
+        square = np.einsum("ij,ij->i", vectors, vectors)
+        if asked:
+            return np.column_stack([vectors * (self.longest / np.sqrt(square))[:, None], np.zeros(len(vectors))])
+        return np.column_stack([vectors, np.sqrt(np.maximum(0, self.longest**2 - square))])
+
+    def keys(self, order: int, vectors: np.ndarray, ids: np.ndarray, asked: bool = False) -> np.ndarray:
+        """Keys of an order; the low bits are a hash of the identifier, so that rows of one cell still spread over ranges."""
+        at = self._points(vectors, asked) @ self.maps[order]
+        even = np.column_stack([np.interp(at[:, k], self.knots[order][:, k], self.steps) for k in range(self.axes)])
+        cell = np.minimum(((even + self.shifts[order]) / 2 * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+        low = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TIE_BITS)).astype(np.int64)
+        return (hilbert_keys(cell, BITS) << TIE_BITS) | low
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of rows that take part: identifier and vector not null, not empty or zero, and all components finite numbers."""
+    kind = vectors.schema["embedding"].dataType.elementType.typeName()
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     nonzero = F.exists("embedding", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if kind == "float" else "array<double>").alias("embedding")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad & nonzero
     )
 
 
-def _matrix(column) -> np.ndarray:
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(values.flatten()).reshape(len(values), -1) if len(values) else np.zeros((0, 0))
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, nearest: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of scores: the ids and scores of its nearest, without its own, ties to smaller ids."""
-    out = []
-    for s, me in zip(scores, own):
-        ok = ids != me
-        s, i = s[ok], ids[ok]
-        if len(s) > nearest:
-            least = np.partition(s, len(s) - nearest)[len(s) - nearest]
-            ok = s >= least
-            s, i = s[ok], i[ok]
-        order = np.lexsort((i, -s))[:nearest]
-        out.append((i[order], s[order]))
-    return out
+def _matrix(column: pa.Array, size: int) -> np.ndarray:
+    """Rows of a list or binary column in double precision."""
+    if pa.types.is_binary(column.type):
+        data = b"".join(column.to_pylist())
+        return np.frombuffer(data, dtype=np.float32 if len(data) == 4 * size * len(column) else np.float64).astype(np.float64).reshape(-1, size)
+    return np.asarray(column.flatten()).astype(np.float64).reshape(-1, size)
 
 
-def _products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+def _products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Inner products in double precision, the same bits for the same two vectors whatever else is in the block."""
-    return np.stack([np.einsum("j,ij->i", q, vectors) for q in queries]) if len(queries) else np.zeros((0, len(vectors)))
-
-
-def search(vectors: DataFrame, nearest: int = NEAREST, modulus: int = QUERY_MODULUS, wanted_recall: float = WANTED_RECALL, block_rows: int = BLOCK_ROWS, orders: int = ORDERS, sample_queries: int = SAMPLE_QUERIES) -> DataFrame:
+    return np.einsum("j,ij->i", query, vectors)
+
+
+HITS = "array<struct<minus: double, vec_id: bigint>>"
+
+
+def _meet(size: int, nearest: int, window: int):
+    """For each query of a range: the nearest + 1 best rows of its window, as (minus score, vec_id)."""
+
+    def meet(there: pa.Table) -> pa.Table:
+        there = there.combine_chunks()
+        asked = np.asarray(there["asked"].to_numpy()).astype(bool)
+        key = there["key"].to_numpy()
+        rows = np.flatnonzero(~asked)
+        rows = rows[np.argsort(key[rows], kind="stable")]
+        queries = np.flatnonzero(asked)
+        queries = queries[np.argsort(key[queries], kind="stable")]
+        ids, at = there["ids"].chunk(0).take(pa.array(rows)) if len(rows) else None, np.searchsorted(key[rows], key[queries])
+        out = {"h1": [], "h2": [], "hits": []}
+        if len(rows) and len(queries):
+            v = _matrix(there["vector"].chunk(0).take(pa.array(rows)), size)
+            q = _matrix(there["vector"].chunk(0).take(pa.array(queries)), size)
+            edges, flat = np.asarray(ids.offsets), np.asarray(ids.flatten())
+            edges = edges - edges[0]
+            for first in range(0, len(queries), 64):
+                some = slice(first, first + 64)
+                low, high = max(0, at[some].min() - window), min(len(rows), at[some].max() + window)
+                # a quick product chooses, with some to spare; the exact one ranks
+                for x, rough in zip(q[some], q[some] @ v[low:high].T):
+                    k = nearest + 1
+                    near = np.arange(len(rough)) if len(rough) <= k else np.flatnonzero(rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * (1 + np.abs(rough).max()))
+                    near += low
+                    score = np.repeat(_products(x, v[near]), edges[near + 1] - edges[near])
+                    found = np.concatenate([flat[edges[i] : edges[i + 1]] for i in near])
+                    order = np.lexsort((found, -score))[:k]
+                    out["hits"].append([{"minus": -s, "vec_id": i} for s, i in zip(score[order].tolist(), found[order].tolist())])
+            out["h1"], out["h2"] = (there[h].to_numpy()[queries] for h in ("h1", "h2"))
+        kinds = {"h1": pa.int64(), "h2": pa.int64(), "hits": pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))}
+        return pa.table({n: pa.array(out[n], t) for n, t in kinds.items()})
+
+    return meet
+
+
+def search(vectors: DataFrame, nearest: int = NEAREST, modulus: int = QUERY_MODULUS, window: int = WINDOW, range_rows: int = RANGE_ROWS, orders: int = ORDERS) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each vector whose vec_id is divisible by modulus.
 
     Vectors that are null, empty, zero or hold null or non-finite components
-    take no part, nor do those of another length than most of the sample's.
-    Rows that repeat a vec_id should repeat its vector; each identifier takes
-    part once. With fewer candidates than nearest, all come. Empty tables give
-    no rows; extra columns are ignored.
+    take no part, nor do those of another length than most. Rows that repeat a
+    vec_id should repeat its vector; each identifier takes part once. With
+    fewer candidates than nearest, all come. Empty tables give no rows; extra
+    columns are ignored.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = materialise(usable(vectors).dropDuplicates(["vec_id"]))
+    rows = materialise(usable(vectors).dropDuplicates(["vec_id"]).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64("embedding", F.lit(SEED))))
     length = rows.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
     if length is None:
         return spark.createDataFrame([], schema)
-    size, total = length[0], length[1]
+    size = length[0]
     rows = rows.where(F.size("embedding") == size)
-    draw = F.xxhash64("vec_id", F.lit(SEED)).cast("double") / 2.0**64 + 0.5
-    drawn = rows.where(draw < min(1.0, 5000 / total)).toPandas()
-    some = np.stack(drawn["embedding"].to_list()) if len(drawn) else np.ones((1, size))
-    curves = spark.sparkContext.broadcast(Curves(size, max(float(np.sqrt((some**2).mean())), 1e-300), orders))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # equal vectors are one point; their smallest identifiers are all that can be among the nearest
+    nth = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
+    equal = rows.withColumn("nth", nth).where(F.col("nth") <= nearest + 1).groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    asked = rows.where(F.col("vec_id") % modulus == 0).select("h1", "h2", F.lit(True).alias("asked")).distinct()
+    points = materialise(equal.join(asked, ["h1", "h2"], "left"))
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    total, longest = points.agg(F.count("*"), F.sqrt(F.max(square))).first()
+    draw = lambda seed: F.xxhash64("h1", "h2", F.lit(seed)).cast("double") / 2.0**64 + 0.5
+    fit = points.where(draw(SEED) < FIT_ROWS / total).select("embedding").toArrow()["embedding"].combine_chunks()
+    fit = fit if len(fit) else points.select("embedding").limit(FIT_ROWS).toArrow()["embedding"].combine_chunks()
+    curves = Curves(_matrix(fit.chunk(0) if isinstance(fit, pa.ChunkedArray) else fit, size), longest, orders)
+    shared = spark.sparkContext.broadcast(curves)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for k, key in enumerate(curves.value.keys(_matrix(batch.column(1)), ids)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k, dtype=np.int32)), pa.array(key), batch.column(0)], names=["curve", "key", "vec_id"])
-
-    keys = materialise(rows.mapInArrow(keyed, "curve int, key long, vec_id long"))
-    # block ends: quantiles of a hash-drawn sample of at most about KEY_SAMPLE keys of all orders
-    n_blocks = max(1, round(total / block_rows))
-    sampled = keys.where(F.xxhash64("vec_id", F.lit(SEED + 1)).cast("double") / 2.0**64 + 0.5 < min(1.0, KEY_SAMPLE / orders / total)).toPandas()
-    ends = {k: np.unique(np.quantile(g["key"], np.arange(1, n_blocks) / n_blocks, method="nearest")) for k, g in sampled.groupby("curve")} if n_blocks > 1 else {}
-    cuts = spark.sparkContext.broadcast(ends)
-
-    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            v, ids = _matrix(batch.column(0), size), np.asarray(batch.column(1))
+            for k in range(orders):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k, dtype=np.int32)), pa.array(shared.value.keys(k, v, ids))], names=["curve", "key"])
+
+    n_ranges, cuts = max(1, round(total / range_rows)), {}
+    if n_ranges > 1:
+        drawn = points.where(draw(SEED + 1) < KEY_SAMPLE / orders / total).select("embedding", F.col("ids")[0].alias("id")).mapInArrow(sampled, "curve int, key long").toPandas()
+        ends, by = np.arange(1, n_ranges) / n_ranges, window / total
+        cuts = {k: np.quantile(g["key"], np.clip(np.stack([ends - by, ends, ends + by]), 0, 1), method="nearest") for k, g in drawn.groupby("curve")}
+    cut = spark.sparkContext.broadcast(cuts)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["curve", "range", "key", "asked", "h1", "h2", "ids", "vector"]
         for batch in batches:
-            curve, key = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            block = np.zeros(len(key), dtype=np.int32)
-            for k, e in cuts.value.items():
-                block[curve == k] = np.searchsorted(e, key[curve == k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(block), batch.column(2)], names=["curve", "block", "vec_id"])
-
-    placed = materialise(keys.mapInArrow(block_of, "curve int, block int, vec_id long"))
-    reach = _needed_reach(rows, placed, nearest, modulus, wanted_recall, sample_queries, total)
-    queries = placed.where(F.col("vec_id") % modulus == 0).withColumn("block", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - reach), F.least(F.lit(n_blocks - 1), F.col("block") + reach))))
-    left = queries.join(rows, "vec_id").select(*[F.col(c).alias(f"q_{c}") for c in ("curve", "block", "vec_id", "embedding")])
-    right = placed.join(rows, "vec_id").select("curve", "block", "vec_id", "embedding")
-
-    def meet(key, asked: pa.Table, there: pa.Table) -> pa.Table:
-        found = {"query_id": [], "vec_id": [], "score": []}
-        if asked.num_rows and there.num_rows:
-            q, v = _matrix(asked["q_embedding"]), _matrix(there["embedding"])
-            own, ids = np.asarray(asked["q_vec_id"]), np.asarray(there["vec_id"])
-            for a in range(0, len(q), 256):
-                # a quick product chooses, with some to spare; the exact one ranks
-                rough = q[a : a + 256] @ v.T
-                for me, x, s in zip(own[a : a + 256], q[a : a + 256], rough):
-                    at = np.arange(len(ids)) if len(ids) <= 2 * nearest else np.flatnonzero(s >= np.partition(s, len(s) - nearest - 1)[len(s) - nearest - 1] - 1e-9 * (1 + np.abs(s).max()))
-                    (i, exact), = _best(_products(x[None], v[at]), ids[at], [me], nearest)
-                    found["query_id"].append(np.full(len(i), me)), found["vec_id"].append(i), found["score"].append(exact)
-        return pa.table({k: pa.array(np.concatenate(x) if x else [], pa.float64() if k == "score" else pa.int64()) for k, x in found.items()})
-
-    met = left.groupBy("q_curve", "q_block").cogroup(right.groupBy("curve", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = F.slice(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, nearest)
-    # at most nearest rows for each of a query's blocks are gathered
-    return met.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "b")).select(
+            h1, h2, ids = (batch.column(k) for k in (0, 1, 3))
+            v, first = _matrix(batch.column(2), size), np.asarray(pc.list_element(ids, 0))
+            kind = np.float32 if pa.types.is_float32(batch.column(2).type.value_type) else np.float64
+            vector = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size * kind().nbytes), len(v), [None, pa.py_buffer(v.astype(kind).tobytes())]).cast(pa.binary())
+            ask = np.flatnonzero(np.asarray(batch.column(4).fill_null(False)))
+            for k in range(orders):
+                key = shared.value.keys(k, v, first)
+                before, end, behind = cut.value.get(k, np.zeros((3, 0), dtype=np.int64))
+                own = np.searchsorted(end, key, side="right")
+                # near a cut, a row also goes to the range beyond it
+                up = np.flatnonzero((own < len(end)) & (key >= np.append(before, 0)[np.minimum(own, len(end))])) if len(end) else ask[:0]
+                down = np.flatnonzero((own > 0) & (key <= behind[np.maximum(own, 1) - 1])) if len(end) else ask[:0]
+                mine = shared.value.keys(k, v[ask], first[ask], True)
+                at = np.concatenate([np.arange(len(key)), up, down, ask])
+                where = np.concatenate([own, own[up] + 1, own[down] - 1, np.searchsorted(end, mine, side="right")])
+                is_query = np.arange(len(at)) >= len(at) - len(ask)
+                index = pa.array(at)
+                values = [pa.array(np.full(len(at), k, dtype=np.int32)), pa.array(where.astype(np.int32)), pa.array(np.concatenate([key[at[: len(at) - len(ask)]], mine])), pa.array(is_query), h1.take(index), h2.take(index), ids.take(index), vector.take(index)]
+                yield pa.RecordBatch.from_arrays(values, names=names)
+
+    spread = points.select("h1", "h2", "embedding", "ids", "asked").mapInArrow(dealt, "curve int, range int, key long, asked boolean, h1 long, h2 long, ids array<long>, vector binary")
+    met = spread.groupBy("curve", "range").applyInArrow(_meet(size, nearest, window), f"h1 long, h2 long, hits {HITS}")
+    # at most nearest + 1 rows for each order are gathered for a query's vector, and one of them may be the query itself
+    best = met.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))), 1, nearest + 1).alias("best"))
+    queries = rows.where(F.col("vec_id") % modulus == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2")
+    others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, nearest)
+    return queries.join(best, ["h1", "h2"]).select("query_id", F.posexplode(others).alias("pos", "b")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score")
     )
-
-
-def _needed_reach(rows: DataFrame, placed: DataFrame, nearest: int, modulus: int, wanted: float, sample: int, total: int) -> int:
-    """Blocks to either side that keep the wanted share of a query sample's exact neighbours in some order."""
-    spark = rows.sparkSession
-    share = min(1.0, sample * modulus / max(total, 1))
-    drawn = rows.where((F.col("vec_id") % modulus == 0) & (F.xxhash64("vec_id", F.lit(SEED + 2)).cast("double") / 2.0**64 + 0.5 < share)).toPandas().head(4 * sample)
-    if drawn.empty:
-        return 0
-    asked = spark.sparkContext.broadcast((drawn["vec_id"].to_numpy(), np.stack(drawn["embedding"].to_list())))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = asked.value
-        for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for me, (i, s) in zip(own, _best(q @ _matrix(batch.column(1)).T if len(ids) else np.zeros((len(q), 0)), ids, own, nearest)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), me)), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    near = rows.mapInArrow(exact, "query_id long, vec_id long, score double").groupBy("query_id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, nearest).alias("best")
-    ).select("query_id", F.explode("best.vec_id").alias("vec_id"))
-    at = placed.select(F.col("vec_id").alias("query_id"), "curve", F.col("block").alias("of_query"))
-    apart = near.join(placed, "vec_id").join(at, ["query_id", "curve"]).groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("block") - F.col("of_query"))).alias("apart"))
-    counted = apart.groupBy("apart").count().toPandas().sort_values("apart")
-    reached = counted["count"].cumsum() / counted["count"].sum()
-    return int(counted["apart"][reached >= wanted].iloc[0]) if len(counted) else 0

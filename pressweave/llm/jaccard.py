@@ -33,6 +33,8 @@ from .packs import PART_BYTES, TOKEN_BITS, Batch, codes, frequencies, pack, tota
 
 #: Operator 1's words of a shingle and percent of shared shingles that links; longest match count; partners above which l goes to 2, 3 and 4.
 WORDS, PERCENT, MOST_MATCHES, COSTS = 3, 90, 4, (16, 64, 256)
+#: Words of 64 parity bits of a set; rows of a list before a row among which its neighbour is chosen.
+PARITY_WORDS, LOOK_BACK = 8, 16
 UNSIGNED_SHIFT = np.uint64(64 - TOKEN_BITS)
 
 
@@ -87,11 +89,11 @@ def _tokens_of(words: int, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([shingles(b, words)[1] >> UNSIGNED_SHIFT for b in batch.blocks()]), return_counts=True)
 
 
-PREFIXES = "doc_id long, n long, h1 long, h2 long, b1 long, b2 long, tokens array<long>, places array<int>, packed binary"
+PREFIXES = "doc_id long, n long, h1 long, h2 long, parity binary, tokens array<long>, places array<int>, packed binary"
 
 
 def _prefixes(words: int, percent: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document: set size n, 128 bits of set hash and 128 parity bits, those prefix shingles for MOST_MATCHES that
+    """For each document: set size n, 128 bits of set hash and PARITY_WORDS of parity bits, those prefix shingles for MOST_MATCHES that
     other documents have, with their places in the global order, and, if there are any, the compressed text."""
     pack_text = zstandard.ZstdCompressor(level=3).compress
     for rows in batches:
@@ -102,10 +104,11 @@ def _prefixes(words: int, percent: int, parts: int, batches: Iterator[pa.RecordB
             every, of = np.unique(token, return_inverse=True)
             often = codes(every, rows.column(4)[r].as_py(), parts)[of]
             n = np.bincount(owner, minlength=k)
-            bit = np.uint64(1) << (g >> np.uint64(58))
-            side = (g >> np.uint64(57)) & np.uint64(1) == 1
             sums = [_sums(mix(g), owner, k), _sums(mix(g ^ np.uint64(0x5851F42D4C957F2D)), owner, k)]
-            sums += [_sums(np.where(x, bit, np.uint64(0)), owner, k, np.bitwise_xor) for x in (side, ~side)]
+            # how often each parity bit is hit, to its last bit
+            hit = np.bincount(owner * 64 * PARITY_WORDS + (g & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=k * 64 * PARITY_WORDS) & 1
+            parity = np.packbits(hit.astype(np.uint8).reshape(k, -1), axis=1).tobytes()
+            parity = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * PARITY_WORDS), k, [None, pa.py_buffer(parity)]).cast(pa.binary())
             # only shingles of several documents need an order of their own: those of one document stand before them
             kept = np.flatnonzero(often > 1)
             kept = kept[np.lexsort((g[kept], often[kept], owner[kept]))]
@@ -117,7 +120,7 @@ def _prefixes(words: int, percent: int, parts: int, batches: Iterator[pa.RecordB
             count = np.bincount(who, minlength=k)
             at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
             texts = [pack_text(batch.data[x:y]) if c else None for x, y, c in zip(batch.starts.tolist(), batch.ends.tolist(), count.tolist())]
-            values = [batch.ids, _long(n), *map(_long, sums), pa.ListArray.from_arrays(at, _long(g[kept])), pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))), pa.array(texts, pa.binary())]
+            values = [batch.ids, _long(n), *map(_long, sums), parity, pa.ListArray.from_arrays(at, _long(g[kept])), pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PREFIXES.split(", ")])
 
 
@@ -146,7 +149,8 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
         if not ready:
             continue
         table = pa.Table.from_batches(ready)
-        found = {c: np.asarray(table[c]) for c in columns}
+        found = {c: np.asarray(table[c]) for c in columns if c != "parity"}
+        found["parity"] = np.frombuffer(b"".join(table["parity"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY_WORDS)
         at = runs(found["token"])
         many = np.repeat(np.diff(at) > 1, np.diff(at))
         if many.any():
@@ -160,9 +164,7 @@ def _may_link(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: i
     before it nothing, if it is the first one shared, else what stands there.
     """
     n, m = x["n"][i], x["n"][j]
-    # as unsigned numbers: bits of a negative one are counted in its absolute value
-    differ = [(x[b][i] ^ x[b][j]).view(np.uint64) for b in ("b1", "b2")]
-    apart = sum(np.bitwise_count(d).astype(np.int64) for d in differ)
+    apart = sum(np.bitwise_count(x["parity"][i, k] ^ x["parity"][j, k]).astype(np.int64) for k in range(PARITY_WORDS))
     need = -(-percent * (n + m) // (100 + percent))
     p, q = x["place"][i].astype(np.int64), x["place"][j].astype(np.int64)
     most = np.where(first, 0, np.minimum(p, q)) + 1 + np.minimum(n - p - 1, m - q - 1)
@@ -193,20 +195,20 @@ def _window(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     return of, first, np.searchsorted(sizes, key + np.minimum(x["n"] * 100 // percent, bound), side="right")
 
 
-COLUMNS = ["token", "doc_id", "n", "b1", "b2", "place"]
+COLUMNS = ["token", "doc_id", "n", "place", "parity", "component"]
 
 
 def _first_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, partners, near, apart): for each row of a list with possible partners, how many its size allows, and the closest among the few rows before it."""
+    """(doc_id, partners, near, apart): for each row of a list with possible partners, how many its size allows, and the closest of another component among the few rows before it."""
     for x in _lists(batches, COLUMNS):
         _, first, end = _window(x, percent)
         partners = end - first - 1
         near, close = np.full(len(partners), -1), np.full(len(partners), 1 << 20)
-        for back in (1, 2, 3):
+        for back in range(1, min(LOOK_BACK, len(partners) - 1) + 1):
             j = np.arange(back, len(partners))
             i = j - back
             ok, apart = _may_link(x, i, j, percent, np.array(False))
-            ok &= (x["token"][i] == x["token"][j]) & (apart < close[j]) & (x["doc_id"][i] != x["doc_id"][j])
+            ok &= (x["token"][i] == x["token"][j]) & (apart < close[j]) & (x["component"][i] != x["component"][j])
             close[j[ok]], near[j[ok]] = apart[ok], x["doc_id"][i[ok]]
         some = partners > 0
         yield pa.RecordBatch.from_arrays([_long(v[some]) for v in (x["doc_id"], partners, near, close)], names=["doc_id", "partners", "near", "apart"])
@@ -214,7 +216,7 @@ def _first_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 def _second_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, asked): pairs of a list that may link and lie in different components, with how many lists they must share."""
-    for x in _lists(batches, [*COLUMNS, "component", "matches"]):
+    for x in _lists(batches, [*COLUMNS, "matches"]):
         of, _, end = _window(x, percent)
         later = end - np.arange(len(of)) - 1
         # lists of few components: all pairs of different ones; else all pairs that sizes allow
@@ -228,7 +230,7 @@ def _second_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         for at, start, stop in plans:
             for i, j in _spans(start, stop):
                 i, j = at[i], at[j]
-                other = (x["component"][i] != x["component"][j]) & (x["doc_id"][i] != x["doc_id"][j])
+                other = x["component"][i] != x["component"][j]
                 i, j = i[other], j[other]
                 asked = np.minimum(x["matches"][i], x["matches"][j])
                 ok, _ = _may_link(x, i, j, percent, asked == 1)
@@ -271,6 +273,22 @@ def _look(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(fn, schema)
 
 
+def _with_component(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    return rows.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, partners, near): over all lists of a document, its possible partners and its closest neighbour of another component."""
+    looked = _look(lists.select(COLUMNS), partial(_first_look, percent), "doc_id long, partners long, near long, apart long")
+    closest = F.min(F.when(F.col("near") >= 0, F.struct("apart", "near")))["near"]
+    return materialise(looked.groupBy("doc_id").agg(F.sum("partners").alias("partners"), closest.alias("near")))
+
+
+def _near_links(seen: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    near = seen.where("near IS NOT NULL").select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct()
+    return materialise(_verified(near, texts, words, percent))
+
+
 def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes: int = PART_BYTES) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
@@ -293,25 +311,22 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes
     # one row for each class that shares a prefix shingle with any document
     posting = materialise(prefixes.where("packed IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("h1", "h2"))
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
-    lists = posting.select("doc_id", "n", "b1", "b2", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", "n", "b1", "b2", F.col("x.places").alias("place"))
-    seen = materialise(
-        _look(lists.where(F.col("place") < base + 1), partial(_first_look, percent), "doc_id long, partners long, near long, apart long")
-        .groupBy("doc_id")
-        .agg(F.sum("partners").alias("partners"), F.min(F.when(F.col("near") >= 0, F.struct("apart", "near")))["near"].alias("near"))
-    )
-    near = seen.where("near IS NOT NULL").select(F.least("doc_id", "near").alias("a"), F.greatest("doc_id", "near").alias("b")).distinct()
-    links = materialise(_verified(near, posting, words, percent))
+    lists = posting.select("doc_id", "n", "parity", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", "n", F.col("x.places").alias("place"), "parity")
+    seen = _neighbours(lists.where(F.col("place") < base + 1).withColumn("component", F.col("doc_id")), percent)
+    links = _near_links(seen, posting, words, percent)
+    joined = components(links)
+    # once more, between components, so that hardly any pair of one group is left for the second look
+    again = _neighbours(_with_component(lists.where(F.col("place") < base + 1), joined), percent)
+    links = links.union(_near_links(again, posting, words, percent))
     joined = components(links)
     matches = F.lit(1) + sum((F.col("partners") > c).cast("int") for c in COSTS)
     open_ = (
-        lists.join(seen.select("doc_id", "partners"), "doc_id")
-        .join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .withColumn("component", F.coalesce("component", "doc_id"))
+        _with_component(lists.join(seen.select("doc_id", "partners"), "doc_id"), joined)
         .withColumn("matches", F.least(matches, F.ceil(F.col("n") * percent / 100)).cast("long"))
         .where(F.col("place") < base + F.col("matches"))
     )
     pairs = (
-        _look(open_.select(*COLUMNS, "component", "matches"), partial(_second_look, percent), "a long, b long, asked long")
+        _look(open_.select(*COLUMNS, "matches"), partial(_second_look, percent), "a long, b long, asked long")
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first("asked").alias("asked"))
         .where("shared >= asked")
@@ -319,7 +334,7 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes
     )
     more = materialise(_verified(pairs, posting, words, percent))
     found = joined if more.isEmpty() else components(links.union(more))
-    for table in (posting, seen, links, more):
+    for table in (posting, seen, again, more):
         discard(table)
     of_class = classes.join(found, F.col("first") == F.col("node"), "left").where("component IS NOT NULL OR first < last")
     of_class = of_class.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "first").alias("component"))

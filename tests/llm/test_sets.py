@@ -30,23 +30,31 @@ def brute(rows, query, nearest=20):
     return [(int(ids[k]), float(score[k])) for k in order]
 
 
-def test_search_recall_and_scores(spark):
-    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+@pytest.mark.parametrize("folder, window, range_rows", [("sf0.01", 64, 100), ("sf0.1", 512, 600), ("check_s", hilbert.WINDOW, 3_000)])
+def test_search_recall_and_scores(spark, folder, window, range_rows):
+    given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in given.collect()]
     found = defaultdict(list)
-    for r in hilbert.search(given, block_rows=32).orderBy("query_id", "rank").collect():
+    for r in hilbert.search(given, window=window, range_rows=range_rows).orderBy("query_id", "rank").collect():
         found[r.query_id].append((r.vec_id, r.score))
     assert set(found) == {i for i, _ in rows if i % 20 == 0}
-    hits = 0
-    by = dict(rows)
+    hits, by = 0, dict(rows)
     for q, got in found.items():
-        want = brute(rows, q)
-        hits += len({i for i, _ in got} & {i for i, _ in want})
+        hits += len({i for i, _ in got} & {i for i, _ in brute(rows, q)})
         assert len(got) == 20 and [s for _, s in got] == sorted((s for _, s in got), reverse=True)
         assert all(s == pytest.approx(float(np.dot(by[q], by[i])), rel=1e-12) for i, s in got)
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_search_with_a_very_common_vector_and_unequal_lengths(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 else (r.normal(size=3) * r.uniform(0.1, 4)).tolist()) for i in range(900)]
+    found = defaultdict(list)
+    for x in hilbert.search(vectors(spark, rows), range_rows=150).orderBy("query_id", "rank").collect():
+        found[x.query_id].append(x.vec_id)
+    assert all(found[q] == [i for i, _ in brute(rows, q)] for q in range(0, 900, 20))
+
+
 def test_search_edges(spark):
     rows = [(20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (40, [0.0, 0.0]), (3, None), (4, [None, 1.0]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (7, [3.0, 1.0]), (20, [1.0, 2.0]), (None, [1.0, 1.0]), (8, [])]
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in hilbert.search(vectors(spark, rows)).orderBy("rank").collect()]
