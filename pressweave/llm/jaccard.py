@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blocks import BLOCK_BYTES, LOWER_KEYS, Block, Hashes, as_bytes, blocks, mix, runs
 from .common import discard, materialise
@@ -89,7 +90,7 @@ def _tokens_of(words: int, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([shingles(b, words)[1] >> UNSIGNED_SHIFT for b in batch.blocks()]), return_counts=True)
 
 
-PREFIXES = "doc_id long, n long, h1 long, h2 long, parity binary, tokens array<long>, places array<int>, packed binary"
+PREFIXES = "batch long, doc_id long, n long, h1 long, h2 long, parity binary, tokens array<long>, places array<int>, packed binary"
 
 
 def _prefixes(words: int, percent: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def _prefixes(words: int, percent: int, parts: int, batches: Iterator[pa.RecordB
             count = np.bincount(who, minlength=k)
             at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
             texts = [pack_text(batch.data[x:y]) if c else None for x, y, c in zip(batch.starts.tolist(), batch.ends.tolist(), count.tolist())]
-            values = [batch.ids, _long(n), *map(_long, sums), parity, pa.ListArray.from_arrays(at, _long(g[kept])), pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))), pa.array(texts, pa.binary())]
+            values = [pa.array(np.full(k, batch.batch)), batch.ids, _long(n), *map(_long, sums), parity, pa.ListArray.from_arrays(at, _long(g[kept])), pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays(values, names=[x.split()[0] for x in PREFIXES.split(", ")])
 
 
@@ -289,27 +290,16 @@ def _near_links(seen: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return materialise(_verified(near, texts, words, percent))
 
 
-def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes: int = PART_BYTES) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
-
-    Sets of shingles of so many words link where they share percent of their
-    union or more; a text of fewer words is one shingle. Null texts and texts without words have no shingles, link with nothing and
-    are their own component. Rows that repeat a doc_id should repeat its text;
-    each gives a row. Rows of null doc_id keep a null component. Empty tables
-    give no rows; extra columns are ignored. Shingles are compared by 64-bit
-    hashes, whole sets by their size and 128 bits.
-    """
-    nameless = docs.where("doc_id IS NULL").select("text")
-    packed = pack(docs.where("doc_id IS NOT NULL"))
+def _linked(packed: DataFrame, words: int, percent: int, part_bytes: int) -> DataFrame:
+    """(batch, doc_id, n_shingles, component_id) of the documents of a packed table."""
     parts = max(1, total_bytes(packed) // part_bytes)
     told = packed.join(frequencies(packed, partial(_tokens_of, words), parts), "batch", "left").select("batch", "ids", "sizes", "texts", "parts")
     prefixes = materialise(told.mapInArrow(partial(_prefixes, words, percent, parts), PREFIXES))
-    discard(packed)
-    signed = prefixes.select("doc_id", "n", "h1", "h2")
+    signed = prefixes.select("batch", "doc_id", "n", "h1", "h2")
     classes = materialise(signed.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
     firsts = classes.select(F.col("first").alias("doc_id"))
     # one row for each class that shares a prefix shingle with any document
-    posting = materialise(prefixes.where("packed IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("h1", "h2"))
+    posting = materialise(prefixes.where("packed IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("batch", "h1", "h2"))
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
     lists = posting.select("doc_id", "n", "parity", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", "n", F.col("x.places").alias("place"), "parity")
     seen = _neighbours(lists.where(F.col("place") < base + 1).withColumn("component", F.col("doc_id")), percent)
@@ -339,6 +329,42 @@ def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes
     of_class = classes.join(found, F.col("first") == F.col("node"), "left").where("component IS NOT NULL OR first < last")
     of_class = of_class.select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.coalesce("component", "first").alias("component"))
     same = (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
-    out = signed.join(of_class, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    none = F.lit(None).cast("long")
+    return signed.join(of_class, same, "left").select("batch", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def link(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id.
+
+    Sets of shingles of so many words link where they share percent of their
+    union or more; a text of fewer words is one shingle. Null texts and texts without words have no shingles, link with nothing and
+    are their own component. Rows that repeat a doc_id should repeat its text;
+    each gives a row. Rows of null doc_id keep a null component. Empty tables
+    give no rows; extra columns are ignored. Shingles are compared by 64-bit
+    hashes, whole sets by their size and 128 bits.
+    """
+    packed = pack(docs.where("doc_id IS NOT NULL"))
+    out = _linked(packed, words, percent, part_bytes).drop("batch")
+    discard(packed)
+    nameless, none = docs.where("doc_id IS NULL").select("text"), F.lit(None).cast("long")
     return out.union(nameless.mapInArrow(partial(_set_sizes, words), "n long").select(none, F.col("n"), none)) if not nameless.isEmpty() else out
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each batch but those listed: doc_id, text and row."""
+    for rows in batches:
+        for r, batch in enumerate(unpacked(rows)):
+            keep = ~np.isin(np.asarray(batch.ids), rows.column(4)[r].as_py() or [])
+            texts = pa.array([t.decode() for t, k in zip(batch.texts(), keep) if k], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.ids.filter(pa.array(keep)), texts, rows.column(5)[r].values.filter(pa.array(keep))], names=["doc_id", "text", "row"])
+
+
+def first_of_each(docs: DataFrame, words: int, percent: int, keep: tuple[str, ...], part_bytes: int = PART_BYTES) -> DataFrame:
+    """doc_id, text (null as empty) and a struct ``row`` of the columns that keep names, of the document of smallest doc_id in each component of link().
+
+    doc_id must tell all rows apart; rows of null doc_id are left out. Texts travel in packed batches; only the identifiers of documents that go are sent to them.
+    """
+    packed = pack(docs.where("doc_id IS NOT NULL"), keep)
+    linked = _linked(packed, words, percent, part_bytes)
+    gone = linked.where(F.col("component_id") != F.col("doc_id")).groupBy("batch").agg(F.collect_list("doc_id").alias("gone"))
+    schema = T.StructType().add("doc_id", "long").add("text", "string").add("row", packed.schema["rows"].dataType.elementType)
+    return packed.join(gone, "batch", "left").select("batch", "ids", "sizes", "texts", "gone", "rows").mapInArrow(_without, schema)

@@ -2,9 +2,9 @@
 
 A batch holds the texts of some documents as one compressed value, so that a
 text travels at a fraction of its size and a few hundred rows stand for
-hundreds of thousands. Tokens are 48-bit hashes. Each batch sends its distinct
-tokens once, six bytes each, to the parts of the token space; a part adds up
-the documents over all batches and answers with one byte for each token. The
+hundreds of thousands. Tokens are 44-bit hashes. Each batch sends its distinct
+tokens once, as gaps of four bytes, to the parts of the token space; a part adds
+up the documents over all batches and answers with one byte for each token. The
 answer costs no join on tokens, and a token of very many documents costs a
 row for each batch, not for each document.
 """
@@ -26,7 +26,7 @@ from .blocks import Block, as_bytes, blocks, runs
 from .common import bounded_batches, materialise
 
 #: Bytes of text in a batch (one longer text makes a batch of its own), and bytes of text for each part of the token space.
-BATCH_BYTES, PART_BYTES, TOKEN_BITS = 4 << 20, 16 << 20, 48
+BATCH_BYTES, PART_BYTES, TOKEN_BITS = 4 << 20, 16 << 20, 44
 
 
 class Batch:
@@ -97,13 +97,25 @@ def _edges(tokens: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(tokens, np.array([(p << TOKEN_BITS) // parts for p in range(parts)] + [1 << TOKEN_BITS], dtype=np.uint64))
 
 
+def _gaps(tokens: np.ndarray, low: int) -> bytes:
+    """Sorted tokens as differences from low on, four bytes each, or six where one doesn't fit."""
+    gaps = np.diff(tokens, prepend=np.uint64(low)).astype("<u8")
+    return gaps.view(np.uint8).reshape(-1, 8)[:, : 4 if gaps.max() < 1 << 32 else 6].tobytes()
+
+
+def _from_gaps(x: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((n, 8), dtype=np.uint8)
+    wide[:, : len(x) // n] = np.frombuffer(x, dtype=np.uint8).reshape(n, -1)
+    return np.cumsum(wide.view("<u8").ravel())
+
+
 def _by_part(tokens_of: Callable, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for batch in unpacked(rows):
             tokens, n = tokens_of(batch)
-            at, six = _edges(tokens, parts), tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            at = _edges(tokens, parts)
             some = np.flatnonzero(np.diff(at)).tolist()
-            values = [[six[at[p] : at[p + 1]].tobytes() for p in some], [compressed(n[at[p] : at[p + 1]].astype("<u4")) for p in some]]
+            values = [[_gaps(tokens[at[p] : at[p + 1]], (p << TOKEN_BITS) // parts) for p in some], [compressed(n[at[p] : at[p + 1]].astype("<u4")) for p in some]]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([batch.batch] * len(some), pa.int64()), *(pa.array(v, pa.binary()) for v in values)], names=["part", "batch", "tokens", "counts"])
 
 
@@ -113,14 +125,9 @@ def code_of(n: np.ndarray) -> np.ndarray:
 
 
 def _count(part: pa.Table) -> pa.Table:
-    tokens = []
-    for x in part["tokens"].to_pylist():
-        wide = np.zeros((len(x) // 6, 8), dtype=np.uint8)
-        wide[:, :6] = np.frombuffer(x, dtype=np.uint8).reshape(-1, 6)
-        tokens.append(wide.view("<u8").ravel())
-    sizes = [len(x) for x in tokens]
-    n = np.concatenate([decompressed(x, "<u4") for x in part["counts"].to_pylist()]).astype(np.int64)
-    tokens = np.concatenate(tokens)
+    counts = [decompressed(x, "<u4") for x in part["counts"].to_pylist()]
+    sizes, n = [len(x) for x in counts], np.concatenate(counts).astype(np.int64)
+    tokens = np.concatenate([_from_gaps(x, k) for x, k in zip(part["tokens"].to_pylist(), sizes)])
     order = np.argsort(tokens, kind="stable")
     at = runs(tokens[order])
     del tokens
