@@ -36,9 +36,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     the operator, rows of null doc_id link with nothing, so that all of them stay.
     """
     rows = numbered(docs)
-    known = rows.where("doc_id IS NOT NULL")
-    kept = jaccard.link(known.select(F.col("row").alias("doc_id"), "text"), words=5, percent=80).where(F.col("component_id") == F.col("doc_id"))
-    return known.join(kept.select(F.col("doc_id").alias("row")), "row", "left_semi").select(COLUMNS).union(docs.where("doc_id IS NULL").select(COLUMNS))
+    known = rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("of"), "lang", "source", "n_chars", F.col("text").isNull().alias("bare")).where("of IS NOT NULL")
+    kept = jaccard.first_of_each(known, 5, 80, ("of", "lang", "source", "n_chars", "bare"))
+    text = F.when(~F.col("row.bare"), F.col("text")).alias("text")
+    return kept.select(F.col("row.of").alias("doc_id"), text, "row.lang", "row.source", "row.n_chars").union(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +48,11 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     Earlier is a smaller doc_id; rows of one doc_id are in the order of a hash. As in
     the operator, rows of null doc_id are compared with nothing and keep their text.
     """
-    rows = numbered(docs)
-    known, word = rows.where("doc_id IS NOT NULL"), F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    rest = suffixes.deduplicate(known.select(F.col("row").alias("doc_id"), "text"), keep_text=True).select(F.col("doc_id").alias("row"), F.col("kept_text").alias("text")).where(word)
-    kept = known.drop("text").join(rest, "row").unionByName(rows.where(F.col("doc_id").isNull() & word))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    rows, word = numbered(docs), F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    known = rows.select(F.col("row").alias("doc_id"), "text", F.col("doc_id").alias("of"), "lang", "source").where("of IS NOT NULL")
+    rest = suffixes.deduplicate(known, keep_text=True, keep=("of", "lang", "source"))
+    kept = rest.select(F.col("row.of").alias("doc_id"), F.col("kept_text").alias("text"), "row.lang", "row.source").unionByName(rows.where("doc_id IS NULL").select("doc_id", "text", "lang", "source"))
+    return kept.where(word).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
