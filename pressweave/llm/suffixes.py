@@ -298,18 +298,25 @@ def _settle(group: pa.Table) -> pa.Table:
 def _finish(keep_text: bool, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         for k, batch in enumerate(unpacked(rows)):
-            n = len(batch.data)
             a, b = np.concatenate([np.zeros((2, 0), dtype=np.int64), *(decompressed(x, np.int64).reshape(2, -1) for x in rows.column(4)[k].as_py() or ())], axis=1)
-            gone = np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:-1] > 0
-            before = np.concatenate([[False], gone[:-1]])
-            before[batch.starts[batch.starts < n]] = False
-            sums, rises = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, gone & ~before))
-            size = batch.ends - batch.starts
-            removed = sums[batch.ends] - sums[batch.starts]
+            # narrow arrays and no running sums besides one: a batch's bytes stand in memory a few times only
+            edge = np.zeros(len(batch.data) + 1, dtype=np.int32)
+            np.add.at(edge, a, 1)
+            np.add.at(edge, b, -1)
+            gone = np.cumsum(edge, out=edge)[:-1] > 0
+            at, size = np.flatnonzero(gone), batch.ends - batch.starts
+            removed = np.searchsorted(at, batch.ends) - np.searchsorted(at, batch.starts)
+            begins = np.ones(len(at), dtype=bool)
+            begins[1:] = at[1:] != at[:-1] + 1
+            # a run also begins where a document does
+            own = np.searchsorted(at, batch.starts)
+            begins[own[own < len(at)]] = True
+            rises = at[begins]
+            spans = np.searchsorted(rises, batch.ends) - np.searchsorted(rises, batch.starts)
             data = np.frombuffer(batch.data, dtype=np.uint8)[~gone].tobytes()
             ends = np.cumsum(size - removed)
             rest = [data[a:b] for a, b in zip((ends - size + removed).tolist(), ends.tolist())]
-            columns = [batch.ids, *(pa.array(x, pa.int64()) for x in (size, removed, rises[batch.ends] - rises[batch.starts]))]
+            columns = [batch.ids, *(pa.array(x, pa.int64()) for x in (size, removed, spans))]
             columns += [pa.array([hashlib.sha256(x).hexdigest() for x in rest], pa.string()), pa.array([x.decode("utf-8", "ignore") if keep_text else None for x in rest], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
             yield pa.RecordBatch.from_arrays([*columns, *([rows.column(5)[k].values] if keep else [])], names=[*names, *(["row"] if keep else [])])
