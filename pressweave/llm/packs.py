@@ -26,7 +26,7 @@ from .blocks import Block, as_bytes, blocks, runs
 from .common import bounded_batches, materialise
 
 #: Bytes of text in a batch (one longer text makes a batch of its own), and bytes of text for each part of the token space.
-BATCH_BYTES, PART_BYTES, TOKEN_BITS = 2 << 20, 16 << 20, 44
+BATCH_BYTES, PART_BYTES, TOKEN_BITS = 2 << 20, 8 << 20, 44
 
 
 class Batch:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from .blocks import Block, Hashes, mix, runs
 from .packs import PART_BYTES, TOKEN_BITS, Batch, codes, compressed, decompressed, frequencies, pack, total_bytes, unpacked
 
-SIZE, K, GROUP_BYTES = 50, 16, 8 << 20
+SIZE, K, GROUP_BYTES = 50, 16, 4 << 20
 
 
 def suffix_array(text: np.ndarray, depth: int = SIZE, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -45,17 +45,19 @@ def suffix_array(text: np.ndarray, depth: int = SIZE, wanted: np.ndarray | None
         return np.zeros(0, dtype=np.int64)
     # a suffix is smaller than its successor if its next different byte is larger
     change = np.flatnonzero(text[1:] != text[:-1])
-    following = np.searchsorted(change, np.arange(n))
     rises = np.concatenate([text[change + 1] > text[change], [False]])
-    small = rises[following]
+    small = np.repeat(rises, np.diff(change, prepend=-1, append=n - 1))
     if wanted is None:
         needed = np.ones(n, dtype=bool)
     else:
         # a larger suffix is induced from its successor, and so on up to a smaller one or the end
-        last = np.maximum.accumulate(np.where(wanted, np.arange(n), -1))
-        since = np.maximum.accumulate(np.where(small, np.arange(n), -1))
-        before = np.concatenate([[-1], since[:-1]])
-        needed = wanted | ((last >= 0) & (before < last))
+        place = np.arange(n, dtype=np.int32)
+        last = np.maximum.accumulate(np.where(wanted, place, np.int32(-1)))
+        since = np.maximum.accumulate(np.where(small, place, np.int32(-1)))
+        needed = last >= 0
+        needed[1:] &= since[:-1] < last[1:]
+        needed |= wanted
+        del place, last, since
     direct = np.flatnonzero(small & needed)
     if len(direct):
         direct = _sorted(direct, _words(text, depth), depth)
@@ -144,7 +146,7 @@ def repeated(fragments: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.n
     sizes = np.array([len(f) for f in fragments], dtype=np.int64)
     ends = np.cumsum(sizes + 1) - 1
     first = ends - sizes
-    room = np.repeat(ends, sizes + 1) - np.arange(len(text))
+    room = np.repeat(ends.astype(np.int32), sizes + 1) - np.arange(len(text), dtype=np.int32)
     sa = suffix_array(text, SIZE, room >= SIZE)
     sa = sa[room[sa] >= SIZE]
     if not len(sa):
