@@ -1,3 +1,3 @@
 """Query plans by theme; importing this package registers them all."""
 
-from . import clusters, feeds, streams, texts  # noqa: F401
+from . import clusters, feeds, selection, streams, texts  # noqa: F401

@@ -94,18 +94,18 @@ def near_duplicate_pairs(spark, sf_dir):
     return shared.where(2 * F.col("shared") >= union).select("a", "b", "shared", F.round(F.col("shared") / union, 6).alias("jaccard"))
 
 
-@query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b([A-Z][a-z’''-]{2,}(?:\s+[A-Z][a-z’''-]{2,})*)\b', 1), lambda w: lower(w))) AS names FROM documents WHERE lang = 'en')
+@query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b([A-Z][a-z’''-]{2,}(?:\s+[A-Z][a-z’''-]{2,})*)\b', 1), lambda w: lower(w))) AS names FROM documents)
 SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(names) AS name FROM n) WHERE name NOT IN """ + STOP_SQL + " GROUP BY name HAVING count(*) >= 3", False)
 def entity_counts(spark, sf_dir):
-    """Names by number of English articles."""
-    names = documents(spark, sf_dir).where("lang = 'en'").select(F.explode(T.names(F.col("text"))).alias("name"))
+    """Names by number of articles."""
+    names = documents(spark, sf_dir).select(F.explode(T.names(F.col("text"))).alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents WHERE lang = 'en'", False)
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents", False)
 def slugify(spark, sf_dir):
     """T8 over first lines."""
-    return documents(spark, sf_dir).where("lang = 'en'").select("doc_id", T.slug(F.split("text", "\n", 2)[0]).alias("slug"))
+    return documents(spark, sf_dir).select("doc_id", T.slug(F.split("text", "\n", 2)[0]).alias("slug"))
 
 
 @query("WITH " + TOKENS_SQL + " SELECT doc_id, array_to_string(list_sort(w)[1:12], '.') AS fingerprint FROM toks", False)
@@ -114,10 +114,10 @@ def title_fingerprint(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.fingerprint(T.tokens(F.col("text"))).alias("fingerprint"))
 
 
-@query(f"""WITH s AS (SELECT source, date_trunc('day', TIMESTAMP '2024-01-01' + to_minutes(doc_id * 30)) AS day, trim(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 4)), '{T.PERIODIC}', ' ', 'g'), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS shape FROM documents)
+@query(f"""WITH s AS (SELECT source, date_trunc('day', TIMESTAMP '2024-01-01' + to_minutes(doc_id * 30)) AS day, trim(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '{T.PERIODIC}', ' ', 'g'), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS shape FROM documents)
 SELECT source, shape, count(DISTINCT day) AS days FROM s GROUP BY 1, 2 HAVING count(DISTINCT day) >= 3""", False)
 def routine_shapes(spark, sf_dir):
-    """Opening shapes that an outlet repeats on three days and more."""
+    """Shapes of first lines that an outlet repeats on three days and more."""
     day = F.to_date(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 1800))
-    shapes = documents(spark, sf_dir).select("source", day.alias("day"), T.signature(F.substring("text", 1, 4)).alias("shape"))
+    shapes = documents(spark, sf_dir).select("source", day.alias("day"), T.signature(F.split("text", "\n", 2)[0]).alias("shape"))
     return shapes.groupBy("source", "shape").agg(F.count_distinct("day").alias("days")).where("days >= 3")
