@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -160,7 +161,44 @@ def test_every_user_turn_is_a_call(spark):
     for (conv, turn), r in rows.items():
         answer = turns.get((conv, turn + 1))
         assert r.result_turn == (turn + 1 if answer and answer.role == "assistant" else None)
-        assert json.loads(r.canonical)["arguments"]["question"] == turns[conv, turn].text
+        text, asks = turns[conv, turn].text, bool(re.search(r"\?\s*$", turns[conv, turn].text or ""))
+        arguments = json.loads(r.canonical)["arguments"]
+        assert (r.name, arguments["question" if asks else "statement"]) == ("ask" if asks else "tell", text)
+        # needs point two turns back, so a call's level is the number of user turns that lead up to it without a gap
+        assert r.level == (rows[conv, turn - 2].level + 1 if (conv, turn - 2) in rows else 0)
+        assert r.valid == (2 <= len(text) <= 2000 if asks else 1 <= len(text) <= 20000)
+
+
+def test_levels_are_longest_chains(spark):
+    """Both ways of ordering against a search of every chain, with cycles, repeated and unknown needs."""
+    rng = random.Random(7)
+    needs = {(conv, c): [rng.randrange(12) for _ in range(rng.randrange(3))] if conv % 3 else [x for x in range(c) if rng.random() < 0.3] for conv in range(30) for c in range(10)}
+
+    def level(conv, c, above=()):
+        if c in above:
+            return None
+        below = [level(conv, n, (*above, c)) for n in needs[conv, c] if n < 10]
+        return None if None in below else 1 + max(below, default=-1)
+
+    expected = {k: level(*k) for k in needs}
+    rows = [(conv, c, None, [(str(c), "add", '{"a":1}', [str(x) for x in n])], None, "x", "x") for (conv, c), n in needs.items()]
+    table = spark.createDataFrame(rows, MESSAGES)
+    ways = []
+    for group_edges in (4, 1000):
+        got = {(r.conv_id, int(r.call_id)): (r.level, r.status) for r in chat.link(table, SCHEMAS, group_edges).collect()}
+        for (conv, c), want in expected.items():
+            top = max((expected[conv, x] for x in range(10) if expected[conv, x] is not None), default=0)
+            assert got[conv, c] == ((want, "no_result") if want is not None else (top + 1, "cyclic"))
+        ways.append(got)
+    assert ways[0] == ways[1] and len({x for x in expected.values()}) > 3
+
+
+def test_hostile_arguments_are_errors_of_their_row(spark):
+    hostile = {"s": '{"a":"\\ud800"}', "n": '{"a":NaN}', "i": '{"a":1e999}', "d": '{"a":' + "[" * 200_000 + "]" * 200_000 + "}", "f": '{"a":1}'}
+    table = spark.createDataFrame([(1, 1, None, [(k, "add", v, None) for k, v in hostile.items()], None, "x", "x")], MESSAGES)
+    got = {r.call_id: r for r in chat.link(table, SCHEMAS).collect()}
+    assert got["s"].errors == ["arguments: no Unicode text"] and got["n"].errors == got["i"].errors == ["arguments: no JSON"]
+    assert got["d"].errors == ["arguments: nested too deeply"] and got["f"].valid and not any(got[k].valid for k in "snid")
 
 
 def test_pipeline_stages(spark):
