@@ -3,12 +3,13 @@
 Each language has a codeword of bits. For every bit a binary classifier over
 hashed byte n-grams (log-odds of the languages with the bit set against the
 others) gives a margin; a language's loss is the sum of its bits' logistic
-losses, each weighted by how far its classifier gets training rows right. The
+losses, each weighted by how far its classifier gets rows right that it hasn't seen. The
 language of least loss wins; a small lead over the next one is flagged.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -86,40 +87,63 @@ def held_out():
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
     """Fit on a hash-drawn sample of about train_rows labelled rows of each language that aren't held out.
 
-    Languages and their rows are counted over all of docs; only rows of at most
-    train_bytes bytes are drawn, so what reaches the driver is bounded by
-    languages * train_rows * train_bytes.
+    Languages and their rows are counted over all of docs. Rows of at most
+    train_bytes bytes are drawn; a language that has none is learned from its
+    shortest row, whole. So what reaches the driver is bounded by languages *
+    (train_rows * train_bytes + one such row). A bit's weight is the log-odds
+    of its accuracy on the half of the sample that its classifier wasn't fitted
+    on; the final classifiers are fitted on both halves.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= train_bytes))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("short", F.octet_length("text") <= train_bytes)
+    seen = usable.groupBy("lang").agg(F.count_if("short").alias("n"), F.min(F.when(~F.col("short"), F.octet_length("text"))).alias("shortest")).collect()
+    counts = {r["lang"]: r["n"] for r in seen}
     names = sorted(counts)
     codes = codewords(len(names))
     n_bits, n_buckets = codes.shape[1], len(GRAMS) << BUCKET_BITS
     if not names:
         return Model([], codes, np.zeros((n_buckets, 1)), np.ones(1))
-    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, train_rows / counts[k])))])[F.col("lang")]
-    drawn = usable.where(F.xxhash64("doc_id", F.lit(4)).cast("double") / 2.0**64 + 0.5 < share)
+    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, train_rows / max(1, counts[k]))))])[F.col("lang")]
+    drawn = usable.where(F.col("short") & (F.xxhash64("doc_id", F.lit(4)).cast("double") / 2.0**64 + 0.5 < share)).select("lang", "text")
+    for r in seen:
+        if not r["n"]:
+            long_ones = usable.where((F.col("lang") == r["lang"]) & (F.octet_length("text") == r["shortest"]))
+            drawn = drawn.unionByName(long_ones.groupBy("lang").agg(F.min("text").alias("text")))
     rows = drawn.select("lang", F.col("text").cast("binary").alias("text")).toArrow().sort_by("lang")
     langs = np.array([names.index(x) for x in rows["lang"].to_pylist()], dtype=np.int64)
     texts = rows["text"].to_pylist()
-    counted = np.full((len(names), n_buckets), SMOOTHING)
+    # two folds by text, so that equal texts are in one
+    fold = np.array([zlib.crc32(x) & 1 for x in texts], dtype=np.int64)
+    folds = [[[texts[i] for i in np.flatnonzero(fold == f)], langs[fold == f]] for f in (0, 1)]
+    counted = [_count(*x, len(names)) for x in folds]
+    right = np.zeros(n_bits)
+    for (fold_texts, fold_langs), others in zip(folds, counted[::-1]):
+        model = Model(names, codes, _log_odds(others, codes), np.ones(n_bits))
+        for b in blocks(fold_texts):
+            right += (model.margins(b) * codes[fold_langs[b.first : b.last]] > 0).sum(axis=0)
+    accuracy = np.maximum((right + 1) / (len(texts) + 2), 0.5)
+    weights = np.log(accuracy / (1 - accuracy))
+    weights = weights / weights.sum() * n_bits if weights.sum() > 0 else np.ones(n_bits)
+    return Model(names, codes, _log_odds(sum(counted), codes), weights)
+
+
+def _count(texts: list[bytes], langs: np.ndarray, n: int) -> np.ndarray:
+    """N-grams by language and bucket."""
+    counted = np.zeros((n, len(GRAMS) << BUCKET_BITS))
     for b in blocks(texts):
         for bucket, doc in features(b):
             np.add.at(counted, (langs[b.first : b.last][doc], bucket), 1)
-    # every language counts alike, however many rows it has
-    counted /= counted.sum(axis=1, keepdims=True)
+    return counted
+
+
+def _log_odds(counted: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Log-odds of each bucket for each bit; every language counts alike, however many rows it has."""
+    p = counted + SMOOTHING
+    p /= p.sum(axis=1, keepdims=True)
     set_, clear = (codes > 0).astype(float), (codes < 0).astype(float)
-    odds = np.log(np.maximum(set_.T @ counted / np.maximum(set_.sum(0), 1)[:, None], 1e-12)) - np.log(
-        np.maximum(clear.T @ counted / np.maximum(clear.sum(0), 1)[:, None], 1e-12)
+    odds = np.log(np.maximum(set_.T @ p / np.maximum(set_.sum(0), 1)[:, None], 1e-12)) - np.log(
+        np.maximum(clear.T @ p / np.maximum(clear.sum(0), 1)[:, None], 1e-12)
     )
-    model = Model(names, codes, np.ascontiguousarray((odds if len(names) > 1 else np.ones_like(odds)).T), np.ones(n_bits))
-    right = np.zeros(n_bits)
-    for b in blocks(texts):
-        right += (model.margins(b) * codes[langs[b.first : b.last]] > 0).sum(axis=0)
-    accuracy = np.clip(right / max(1, len(texts)), 0.5, 1 - 1e-3)
-    weights = np.log(accuracy / (1 - accuracy))
-    model.bit_weights = weights / weights.sum() * n_bits if weights.sum() > 0 else np.ones(n_bits)
-    return model
+    return np.ascontiguousarray((odds if len(codes) > 1 else np.ones_like(odds)).T)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())])

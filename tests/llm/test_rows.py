@@ -82,6 +82,23 @@ def test_language_never_reads_the_label_of_its_row(spark):
     assert a == b
 
 
+def test_bits_weigh_by_unseen_rows(spark):
+    """Two labels that can't be told apart make the bits that part them weigh less than the one that doesn't."""
+    rng = np.random.default_rng(5)
+    words = {"a": ["red", "green", "blue", "grey"], "b": ["zwei", "drei", "vier", "acht"], "c": ["zwei", "drei", "vier", "acht"]}
+    rows = [(i, " ".join(rng.choice(words[k], 8)), k) for i, k in enumerate(rng.choice(list("abc"), 600).tolist())]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    apart = model.codes[1] != model.codes[2]
+    assert apart.any() and not apart.all() and model.bit_weights[apart].max() < model.bit_weights[~apart].min()
+
+
+def test_language_of_long_rows_only_is_learned(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(40)] + [(100 + i, "das haus und der garten " * (1000 + i), "de") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(docs).where("doc_id >= 100").collect()} == {"de"}
+    assert {r.lang_pred for r in language_id.identify(docs).where("doc_id < 100").collect()} == {"en"}
+
+
 def test_language_edges(spark):
     got = {r.doc_id: r.lang_pred for r in language_id.identify(fixtures.documents(spark)).collect()}
     assert got[0] == got[1] == got[2] == "und" and got[3] == "en" and got[73] == "en"
