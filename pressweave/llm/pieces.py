@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 SPACE_MARK = "▁"
-#: Entries kept of each cache of a task's process, which bounds its memory.
-CACHE_ENTRIES = 600_000
+#: Entries kept of each cache of a task's process, and the longest text that is kept: both bound its memory.
+CACHE_ENTRIES, CACHE_LENGTH = 600_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -44,12 +44,14 @@ def vocabulary(path: str) -> tuple[tuple[str, float, int], ...]:
 
 
 class _Made(dict):
-    """A bounded cache of two generations: values are made on first use; when the young half is full, the old half goes."""
+    """A bounded cache of two generations: values are made on first use; when the young half is full, the old half goes. Texts over CACHE_LENGTH are made anew each time."""
 
     def __init__(self, make):
         self.make, self.old = make, {}
 
     def __missing__(self, key):
+        if isinstance(key, str) and len(key) > CACHE_LENGTH:
+            return self.make(key)
         if len(self) >= CACHE_ENTRIES // 2:
             self.old = dict(self)
             self.clear()
@@ -77,6 +79,7 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         self.inside: set[str] = set()
         self.size = [len(x[0]) for x in pieces]
+        self.longest = max(map(len, self.id))
         for p, i in self.id.items():
             # a piece that no sequence of merges makes can't come up
             if len(p) == 1 or self.merge(p) == [p]:
@@ -116,15 +119,16 @@ class Pieces:
         """Ids of a text between two cuts, so that each of its characters is a piece, or it is one character."""
         if len(text) == 1 and text not in self.id:
             return [self.byte_id[b] for b in text.encode()]
-        n, many, size, fits, longest, shorter = len(text), len(self.pieces), self.size, self.fits, self.automaton.iter_long, self.shorter
-        failed = 0  # bit i: from position i on, nothing fits
+        n, many, size, most, fits, longest, shorter = len(text), len(self.pieces), self.size, self.longest, self.fits, self.automaton.iter_long, self.shorter
+        failed = None  # once there is one, bit i: from position i on, nothing fits
         out: list[int] = []
         pos, left, piece = 0, -1, -1
         while pos < n:
-            piece = next(longest(text, pos))[1] if piece < 0 else shorter[piece]
+            # the automaton copies what it is given, so it gets no more than a piece can span
+            piece = next(longest(text[pos : pos + most]))[1] if piece < 0 else shorter[piece]
             while piece >= 0:
                 end = pos + size[piece]
-                if not (failed and failed >> end & 1) and (left < 0 or fits[left * many + piece]):
+                if not (failed and failed[end >> 3] >> (end & 7) & 1) and (left < 0 or fits[left * many + piece]):
                     break
                 piece = shorter[piece]
             if piece >= 0:
@@ -133,7 +137,8 @@ class Pieces:
             else:
                 # nothing fits here: mark the position, and go on with the shorter matches of the piece before,
                 # of which there is always one, as the merge rule gives some encoding
-                failed |= 1 << pos
+                failed = failed or bytearray((n >> 3) + 1)
+                failed[pos >> 3] |= 1 << (pos & 7)
                 piece = out.pop()
                 pos -= size[piece]
                 left = out[-1] if out else -1

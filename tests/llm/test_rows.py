@@ -107,6 +107,15 @@ def test_language_edges(spark):
     assert language_id.identify(unlabelled).first().lang_pred == "und"
 
 
+@pytest.mark.parametrize("text", ["ab" * 500_000, "a" * 50_001, " " * 10_001, "erungschkeit" * 9_000 + "\u2603", "0123456789abcdef" * 9_000])
+def test_pieces_of_long_unbroken_words(text):
+    """Time in proportion to the length, and the library's ids."""
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    p = pieces.process_pieces(pieces.vocabulary(MODEL))
+    assert p.encode(text) == np.array([library.bos_id(), *library.encode(text), library.eos_id()], dtype="<u4").tobytes()
+    assert not any(len(k) > pieces.CACHE_LENGTH for cache in (p.units, p.done) for k in (*cache, *cache.old))
+
+
 def phrases(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     at, labels = [], set()
