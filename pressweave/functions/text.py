@@ -1,4 +1,4 @@
-"""Text functions as column expressions, all inside whole-stage code generation."""
+"""Text functions as column expressions."""
 
 from __future__ import annotations
 
@@ -13,15 +13,15 @@ these they this those to up was we were what when where which who will with woul
 PERIODIC = r"\b(january|february|march|april|may|june|july|august|september|october|november|december|monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b"
 #: A word's edge counting only ASCII letters, digits and the underscore as word characters, which Java's own doesn't.
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: What a word and what a name is.
 TOKEN, NAME = r"[a-z][a-z'’-]{2,}", rf"{EDGE}([A-Z][a-z’'-]{{2,}}(?:\s+[A-Z][a-z’'-]{{2,}})*){EDGE}"
 HALF_SHINGLE, SHINGLE = 0.5, 5
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of three letters and more, without possessives and stop words, in order, with repeats."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    bare = F.transform(found, lambda w: F.regexp_replace(w, "['’]s$", ""))
-    return F.filter(bare, lambda w: (F.length(w) > 2) & ~w.isin(STOP))
+    bare = F.regexp_replace(F.lower(text), "['’]s(?![a-z'’-])", "")
+    return F.filter(F.regexp_extract_all(bare, F.lit(TOKEN), F.lit(0)), lambda w: ~w.isin(STOP))
 
 
 def names(text: Column) -> Column:

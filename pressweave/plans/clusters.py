@@ -95,13 +95,17 @@ def earliest_article(spark, sf_dir):
     return News(spark, sf_dir).full_articles().groupBy("cluster_id").agg(F.min_by("id", F.struct("published_at", "id")).alias("first_id"))
 
 
-@query(""", d AS (SELECT source_id, CAST(published_at AS DATE) AS day, count(*) AS n FROM full_articles GROUP BY 1, 2),
-s AS (SELECT source_id, CAST(sum(n) AS BIGINT) AS total, avg(n) AS mean FROM d GROUP BY 1) SELECT source_id, total, CAST(CASE WHEN total >= 10 AND mean < 3 THEN 15 ELSE 30 END AS BIGINT) AS allowance FROM s""")
+@query(""", r AS (SELECT DISTINCT s.id, a.source_id, s.importance, s.age_hours FROM live s JOIN articles a ON a.cluster_id = s.id WHERE s.source_count = 1),
+n AS (SELECT source_id, count(*) FILTER (age_hours <= 240) AS today, avg(importance) AS mean, count(*) AS n FROM r GROUP BY source_id)
+SELECT source_id, today, greatest(0, CASE WHEN n >= 10 AND mean < 3 THEN 15 ELSE 30 END - today) AS allowance FROM n""")
 def source_allowance(spark, sf_dir):
-    """An outlet's quota, halved where its stories stay thin."""
-    days = News(spark, sf_dir).full_articles().groupBy("source_id", F.to_date("published_at").alias("day")).agg(F.count("*").alias("n"))
-    per = days.groupBy("source_id").agg(F.sum("n").alias("total"), F.avg("n").alias("mean"))
-    return per.select("source_id", "total", F.when((F.col("total") >= 10) & (F.col("mean") < 3), 15).otherwise(30).cast("long").alias("allowance"))
+    """What is left of an outlet's 30 single stories a day (ten days here), or of 15 where ten and more of the last week (60 days) were rated below 3 on average."""
+    n = News(spark, sf_dir)
+    single = n.live().where("source_count = 1").select(F.col("id").alias("cluster_id"), "importance", "age_hours")
+    rated = n.articles().select("cluster_id", "source_id").distinct().join(single, "cluster_id")
+    per = rated.groupBy("source_id").agg(F.count_if(F.col("age_hours") <= 240).alias("today"), F.avg("importance").alias("mean"), F.count("*").alias("n"))
+    share = F.when((F.col("n") >= 10) & (F.col("mean") < 3), 15).otherwise(30)
+    return per.select("source_id", "today", F.greatest(F.lit(0).cast("long"), share - F.col("today")).alias("allowance"))
 
 
 @query("""SELECT source_id, id FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY prominent DESC, published_at DESC, id) AS r FROM full_articles WHERE body_length > 800) WHERE r <= 3""")
@@ -111,25 +115,33 @@ def quota_topk(spark, sf_dir):
     return News(spark, sf_dir).full_articles().where("body_length > 800").withColumn("r", F.row_number().over(w)).where("r <= 3").select("source_id", "id")
 
 
-@query("""SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'delete' ELSE 'update' END AS op
-FROM (SELECT id, category, importance FROM clusters WHERE id % 7 <> 0) a FULL JOIN (SELECT id, CASE WHEN id % 5 = 0 THEN NULL ELSE category END AS category, importance FROM clusters WHERE id % 11 <> 0) b ON a.id = b.id
+@query(""", old AS (SELECT id, category, importance FROM clusters, as_of WHERE last_seen < t - INTERVAL 30 DAY),
+new AS (SELECT id, CASE WHEN written THEN category END AS category, importance FROM clusters, (SELECT min(o_orderdate) AS first FROM orders) WHERE last_seen >= first + INTERVAL 30 DAY)
+SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'insert' WHEN b.id IS NULL THEN 'delete' ELSE 'update' END AS op FROM old a FULL JOIN new b ON a.id = b.id
 WHERE a.id IS NULL OR b.id IS NULL OR a.category IS DISTINCT FROM b.category OR a.importance IS DISTINCT FROM b.importance""")
 def changed_rows_nullsafe(spark, sf_dir):
-    """The changed rows between two snapshots, nulls compared as values."""
+    """The changed rows between the store of 30 days ago and today's, which has pruned its first 30 days and lost the categories of unwritten clusters; nulls compare as values."""
     from ..operators.sync import changes
 
-    c = News(spark, sf_dir).clusters().select("id", "category", "importance")
-    new = c.where("id % 11 <> 0").withColumn("category", F.when(F.col("id") % 5 != 0, F.col("category")))
-    return changes(c.where("id % 7 <> 0"), new, ["id"]).select("id", "op")
+    n = News(spark, sf_dir)
+    c = n.clusters()
+    first = n.table("orders").agg(F.min("o_orderdate").alias("first"))
+    kept = c.crossJoin(F.broadcast(first)).where(F.col("last_seen") >= F.col("first") + F.expr("INTERVAL 30 DAYS"))
+    old = c.where(F.col("last_seen") < n.as_of() - F.expr("INTERVAL 30 DAYS")).select("id", "category", "importance")
+    return changes(old, kept.select("id", F.when(F.col("written"), F.col("category")).alias("category"), "importance"), ["id"]).select("id", "op")
 
 
-@query("""SELECT coalesce(d.id, h.id) AS id, coalesce(d.weight, h.weight) AS weight FROM (SELECT id, weight FROM clusters WHERE id % 3 <> 0) h
-FULL JOIN (SELECT id, weight + 1 AS weight FROM clusters WHERE id % 2 = 0) d ON d.id = h.id""")
+@query(""", held AS (SELECT id, weight FROM clusters, as_of WHERE last_seen < t - INTERVAL 20 DAY),
+delta AS (SELECT id, weight + 1 AS weight FROM clusters, as_of WHERE last_seen >= t - INTERVAL 30 DAY)
+SELECT id, coalesce(d.weight, h.weight) AS weight FROM held h FULL JOIN delta d USING (id) JOIN (SELECT id FROM live) USING (id)""")
 def delta_merge(spark, sf_dir):
-    """Held rows and a delta, in which the delta wins."""
-    c = News(spark, sf_dir).clusters().select("id", "weight")
-    held, delta = c.where("id % 3 <> 0"), c.where("id % 2 = 0").select("id", (F.col("weight") + 1).alias("changed"))
-    return held.join(delta, "id", "full_outer").select("id", F.coalesce("changed", "weight").alias("weight"))
+    """Rows held since 20 days ago and a delta of the last 30, in which the delta wins; only ids that the orderings name, the live stories, stay."""
+    n = News(spark, sf_dir)
+    live = n.clusters().where("written").where(F.col("last_seen") >= n.as_of() - F.expr("INTERVAL 1440 HOURS")).select("id")
+    c = n.clusters().select("id", "weight", "last_seen")
+    held = c.where(F.col("last_seen") < n.as_of() - F.expr("INTERVAL 20 DAYS")).select("id", "weight")
+    delta = c.where(F.col("last_seen") >= n.as_of() - F.expr("INTERVAL 30 DAYS")).select("id", (F.col("weight") + 1).alias("changed"))
+    return held.join(delta, "id", "full_outer").join(live, "id", "left_semi").select("id", F.coalesce("changed", "weight").alias("weight"))
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, count(*) AS n FROM events GROUP BY user_id", False)

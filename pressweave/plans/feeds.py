@@ -10,11 +10,17 @@ from ..sources.adapter import News
 from .registry import query
 
 PICKED, HOME = ["AUTOMOBILE", "BUILDING"], "ASIA"
-RANK = """0.5 ** (age_hours / 480) * (0.5 + 0.1 * importance) * greatest(CASE WHEN category IN ('AUTOMOBILE', 'BUILDING') THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END,
- CASE WHEN country = 'ASIA' THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END) * (1 + 0.5 * least(1.0::DOUBLE, prominence / 2.0::DOUBLE))"""
+#: Place ids a reader has picked, with all that lie inside; desks that weigh more or less; the lens of stories that move markets.
+INSIDE, DESKS, MACRO = [8, 9, 12], {"MACHINERY": 2.0, "BUILDING": 2.0, "FURNITURE": 0.2}, ["nation_1", "nation_4", "nation_9"]
+MACRO_PATTERN = f"(?:^|[^a-z0-9])(?:{'|'.join(MACRO)})(?:[^a-z0-9]|$)"
+RANK = f"""0.5 ** (age_hours / 480) * (0.5 + 0.1 * importance) * CASE WHEN place_id IN {tuple(INSIDE)} THEN 1.15::DOUBLE ELSE
+ greatest(CASE WHEN category IN {tuple(PICKED)} THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END, CASE WHEN country = '{HOME}' THEN 0.95::DOUBLE ELSE 0.0::DOUBLE END) END
+ * (1 + 0.5 * least(1.0::DOUBLE, prominence / 2.0::DOUBLE)) * CASE WHEN regexp_matches(lower(topic), '{MACRO_PATTERN}') THEN 1 + 0.25 * least(1.0::DOUBLE, source_count / 6.0::DOUBLE) ELSE 1 END
+ * CASE category {" ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in DESKS.items())} ELSE 1 END"""
 BREADTH = "(0.35::DOUBLE + 0.65::DOUBLE * least(1.0::DOUBLE, ln(1 + source_count) / ln(25)))"
 POOL = "pool AS (SELECT * FROM live ORDER BY last_seen DESC, id LIMIT 150)"
 
+
 def newest() -> list:
     """Latest first, ties by id; a function, as columns can't be made before there is a session."""
     return [F.desc("last_seen"), F.asc("id")]
@@ -22,16 +28,16 @@ def newest() -> list:
 
 @query(f", {POOL} SELECT id, category, round({RANK}, 6) AS score FROM pool")
 def feed_rank(spark, sf_dir):
-    """F1 without macro lift, desk weight and the place interest of 1.15, O1: the ranked feed of the latest 150 live stories."""
+    """F1, O1: the ranked feed of the latest 150 live stories."""
     pool = News(spark, sf_dir).live().orderBy(*newest()).limit(CANDIDATES)
-    return pool.select("id", "category", F.round(rank(PICKED, HOME), 6).alias("score")).orderBy(F.desc("score"), "id")
+    return pool.select("id", "category", F.round(rank(PICKED, HOME, INSIDE, MACRO_PATTERN, DESKS), 6).alias("score")).orderBy(F.desc("score"), "id")
 
 
 @query(f", {POOL} SELECT id, round({RANK} * {BREADTH}, 6) AS score FROM pool")
 def feed_cold_start(spark, sf_dir):
     """rank times breadth, for readers without known categories."""
     pool = News(spark, sf_dir).live().orderBy(*newest()).limit(CANDIDATES)
-    return pool.select("id", F.round(rank(PICKED, HOME) * breadth(F.col("source_count")), 6).alias("score"))
+    return pool.select("id", F.round(rank(PICKED, HOME, INSIDE, MACRO_PATTERN, DESKS) * breadth(F.col("source_count")), 6).alias("score"))
 
 
 @query("SELECT id FROM live ORDER BY last_seen DESC, id LIMIT 150")
@@ -64,11 +70,12 @@ def section_hidden(spark, sf_dir):
     return (rows.where(~F.col("category").isin(hidden)) if hidden else rows).select("id", "category")
 
 
-@query(f"SELECT id, round(0.5 ** (age_hours / 480) * (0.5 + 0.1 * importance) * {BREADTH}, 6) AS score FROM live WHERE article_count > 1")
+@query(f"SELECT id, article_count > 1 AS pictured, round(0.5 ** (age_hours / 480) * (0.5 + 0.1 * importance) * {BREADTH}, 6) AS score FROM live ORDER BY pictured DESC, score DESC, id LIMIT 60")
 def reels(spark, sf_dir):
-    """decayed score of stories with more than one picture source."""
+    """sixty stories, those with a picture (a second article here) first, then by decayed score."""
     score = recency(F.col("age_hours")) * (0.5 + 0.1 * F.col("importance")) * breadth(F.col("source_count"))
-    return News(spark, sf_dir).live().where("article_count > 1").select("id", F.round(score, 6).alias("score"))
+    rows = News(spark, sf_dir).live().select("id", (F.col("article_count") > 1).alias("pictured"), F.round(score, 6).alias("score"))
+    return rows.orderBy(F.desc("pictured"), F.desc("score"), "id").limit(60)
 
 
 @query("SELECT s.id, a.id AS article_id, a.name FROM live s JOIN full_articles a ON a.cluster_id = s.id WHERE s.source_count = 1 AND a.body_length > 800")
@@ -107,17 +114,21 @@ def outlets_per_cluster(spark, sf_dir):
 
 
 @query(""", b AS (SELECT DISTINCT cluster_id, name, bias FROM full_articles),
+corpus AS (SELECT count(*) FILTER (bias = 'left') AS c_left, count(*) FILTER (bias = 'centre') AS c_centre, count(*) FILTER (bias = 'right') AS c_right FROM sources WHERE tier <> 'title'),
 n AS (SELECT cluster_id, count(*) FILTER (bias = 'left') AS n_left, count(*) FILTER (bias = 'centre') AS n_centre, count(*) FILTER (bias = 'right') AS n_right, count(*) AS rated FROM b GROUP BY cluster_id)
-SELECT *, CASE WHEN rated < 5 THEN NULL WHEN n_left / rated >= 0.75 THEN 'left' WHEN n_centre / rated >= 0.75 THEN 'centre' WHEN n_right / rated >= 0.75 THEN 'right' END AS dominant,
- rated >= 5 AND n_left = 0 AS no_left, rated >= 5 AND n_centre = 0 AS no_centre, rated >= 5 AND n_right = 0 AS no_right FROM n""")
+SELECT n.*, CASE WHEN rated < 5 THEN NULL WHEN n_left / rated >= 0.75 THEN 'left' WHEN n_centre / rated >= 0.75 THEN 'centre' WHEN n_right / rated >= 0.75 THEN 'right' END AS dominant,
+ rated >= 5 AND n_left = 0 AND c_left >= 5 AS no_left, rated >= 5 AND n_centre = 0 AND c_centre >= 5 AS no_centre, rated >= 5 AND n_right = 0 AND c_right >= 5 AS no_right FROM n, corpus""")
 def coverage_split(spark, sf_dir):
-    """Outlets by side, the dominant side and the sides that are silent."""
-    outlets = News(spark, sf_dir).full_articles().select("cluster_id", "name", "bias").distinct()
+    """Outlets by side, the dominant side, and the sides that are silent though five and more outlets of theirs are read."""
+    news = News(spark, sf_dir)
+    outlets = news.full_articles().select("cluster_id", "name", "bias").distinct()
     sides = ["left", "centre", "right"]
     n = outlets.groupBy("cluster_id").agg(*[F.count(F.when(F.col("bias") == s, 1)).alias(f"n_{s}") for s in sides], F.count("*").alias("rated"))
     enough = F.col("rated") >= 5
     dominant = F.coalesce(*[F.when(enough & (F.col(f"n_{s}") / F.col("rated") >= 0.75), s) for s in sides])
-    return n.withColumns({"dominant": dominant} | {f"no_{s}": enough & (F.col(f"n_{s}") == 0) for s in sides})
+    corpus = news.sources().where("tier <> 'title'").agg(*[F.count_if(F.col("bias") == s).alias(f"c_{s}") for s in sides])
+    silent = {f"no_{s}": enough & (F.col(f"n_{s}") == 0) & (F.col(f"c_{s}") >= 5) for s in sides}
+    return n.crossJoin(F.broadcast(corpus)).withColumns({"dominant": dominant} | silent).drop(*[f"c_{s}" for s in sides])
 
 
 @query(""", v AS (SELECT cluster_id, source_country, count(*) AS n, min(id) AS first_id FROM full_articles GROUP BY 1, 2)

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators.ranking import rank
 from ..sources.adapter import News
-from .feeds import HOME, PICKED, RANK, newest
+from .feeds import DESKS as DESK_WEIGHT
+from .feeds import HOME, INSIDE, MACRO_PATTERN, PICKED, RANK, newest
 from .registry import query
 from .texts import STOP_SQL, TOKENS_SQL, documents, term_counts
 
@@ -123,4 +124,4 @@ def country_backfill(spark, sf_dir):
 def local_feed_subtree(spark, sf_dir):
     """the latest 200 live stories of all places under one root, ranked as feed_rank ranks them."""
     pool = News(spark, sf_dir).live().where(F.col("country") == HOME).orderBy(*newest()).limit(NEARBY)
-    return pool.select("id", F.round(rank(PICKED, HOME), 6).alias("score")).orderBy(F.desc("score"), "id")
+    return pool.select("id", F.round(rank(PICKED, HOME, INSIDE, MACRO_PATTERN, DESK_WEIGHT), 6).alias("score")).orderBy(F.desc("score"), "id")

@@ -30,8 +30,9 @@ def vectors(docs: DataFrame) -> DataFrame:
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", (1 + F.log("n")) * T.idf(F.col("total"), F.col("df"))).where("w > 0")
-    norms = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l2"))
-    return raw.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("l2")).alias("w"))
+    # a window over one document's terms, which are no more than its words
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / length).alias("w"))
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -44,11 +45,11 @@ def tokenise_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
 
 
-@query("WITH " + TOKENS_SQL + " SELECT term, df, round(ln((total.n + 1) / (df + 0.5)), 6) AS idf FROM df, total WHERE df >= 5", False)
+@query("WITH " + TOKENS_SQL + " SELECT term, df, round(ln((total.n + 1) / (df + 0.5)), 6) AS idf FROM df, total", False)
 def doc_freq_idf(spark, sf_dir):
     """A1."""
     docs = documents(spark, sf_dir)
-    df = term_counts(docs).groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
+    df = term_counts(docs).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("total")))).select("term", "df", F.round(T.idf(F.col("total"), F.col("df")), 6).alias("idf"))
 
 
@@ -95,11 +96,11 @@ def near_duplicate_pairs(spark, sf_dir):
 
 
 @query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b([A-Z][a-z’''-]{2,}(?:\s+[A-Z][a-z’''-]{2,})*)\b', 1), lambda w: lower(w))) AS names FROM documents)
-SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(names) AS name FROM n) WHERE name NOT IN """ + STOP_SQL + " GROUP BY name HAVING count(*) >= 3", False)
+SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(names) AS name FROM n) WHERE name NOT IN """ + STOP_SQL + " GROUP BY name", False)
 def entity_counts(spark, sf_dir):
     """Names by number of articles."""
     names = documents(spark, sf_dir).select(F.explode(T.names(F.col("text"))).alias("name"))
-    return names.groupBy("name").agg(F.count("*").alias("n")).where("n >= 3")
+    return names.groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug FROM documents", False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,19 +46,36 @@ class News:
         outlets = self.sources().where("tier <> 'title'").select(F.col("id").alias("of"), "name", "bias", F.col("country").alias("source_country"))
         return self.articles().join(outlets, F.col("source_id") == F.col("of")).drop("of")
 
+    def counts(self, of: DataFrame | None = None) -> DataFrame:
+        """Distinct texts, outlets and front-page outlets of each cluster, or of the clusters in of only, in one pass over the articles."""
+        outlets = self.sources().select(F.col("id").alias("of"), (F.col("tier") != "title").alias("full"))
+        rows = self.articles()
+        if of is not None:
+            rows = rows.join(of.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+        rows = rows.join(outlets, F.col("source_id") == F.col("of"), "left")
+        return rows.groupBy("cluster_id").agg(
+            F.count_distinct(F.when(F.col("full"), F.col("content"))).alias("article_count"),
+            F.count_distinct(F.when(F.col("full"), F.col("source_id"))).alias("source_count"),
+            F.count_distinct(F.when(F.col("prominent"), F.col("source_id"))).alias("prominence"),
+        )
+
+    def as_of(self) -> Column:
+        """The latest cluster's time as a literal, so that filters on ages reach the scan; null if there is no cluster."""
+        orders = self.table("orders")
+        latest = orders.agg(F.max("o_orderdate").cast("string")).first()[0]
+        return F.lit(latest).cast(orders.schema["o_orderdate"].dataType)
+
+    def _counted(self, clusters: DataFrame, counts: DataFrame) -> DataFrame:
+        rows = clusters.join(counts, clusters.id == counts.cluster_id, "left").drop("cluster_id").fillna(0, ["article_count", "source_count", "prominence"])
+        return rows.withColumn("age_hours", F.timestamp_diff("SECOND", F.col("last_seen"), self.as_of()) / 3600)
+
     def stories(self) -> DataFrame:
         """Clusters with their counts and their age in hours."""
-        counts = self.full_articles().groupBy("cluster_id").agg(F.count_distinct("content").alias("article_count"), F.count_distinct("source_id").alias("source_count"))
-        prominence = self.articles().where("prominent").groupBy("cluster_id").agg(F.count_distinct("source_id").alias("prominence"))
-        c = self.clusters()
-        now = self.table("orders").agg(F.max("o_orderdate").alias("now"))
-        return (
-            c.join(counts, c.id == counts.cluster_id, "left").drop("cluster_id").join(prominence, c.id == prominence.cluster_id, "left").drop("cluster_id")
-            .fillna(0, ["article_count", "source_count", "prominence"])
-            .crossJoin(F.broadcast(now))
-            .withColumn("age_hours", F.timestamp_diff("SECOND", F.col("last_seen"), F.col("now")) / 3600)
-            .drop("now")
-        )
+        return self._counted(self.clusters(), self.counts())
 
     def live(self) -> DataFrame:
-        return self.stories().where("written AND age_hours <= 1440")
+        """Written stories of the last 60 days; only their articles are counted."""
+        recent = F.col("last_seen") >= self.as_of() - F.expr("INTERVAL 1440 HOURS")
+        clusters = self.clusters().where("written").where(recent)
+        ids = self.table("orders").where((F.col("o_orderstatus") != "P") & (F.col("o_orderdate") >= self.as_of() - F.expr("INTERVAL 1440 HOURS"))).select(F.col("o_orderkey").alias("id"))
+        return self._counted(clusters, self.counts(ids))
