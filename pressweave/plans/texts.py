@@ -66,35 +66,6 @@ def tfidf_top_keys(spark, sf_dir):
     return vectors(documents(spark, sf_dir)).withColumn("r", F.row_number().over(w)).where("r <= 6").select("doc_id", "term")
 
 
-@query("WITH " + TOKENS_SQL + """, k AS (SELECT * FROM vec WHERE term IN (SELECT term FROM df WHERE df <= 20)), p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS sim, max(a.w * b.w) AS top FROM k a JOIN k b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, round(sim, 6) AS sim, round(sim - top, 6) AS residual FROM p WHERE round(sim, 6) >= 0.16 AND round(sim - top, 6) >= 0.04""", False)
-def cosine_residual_pairs(spark, sf_dir):
-    """Cosine and what is left without the best term, over the terms of at most 20 documents."""
-    docs = documents(spark, sf_dir)
-    rare = term_counts(docs).groupBy("term").agg(F.count("*").alias("df")).where("df <= 20").select("term")
-    v = vectors(docs).join(rare, "term", "left_semi")
-    left, right = v.select("term", F.col("doc_id").alias("a"), F.col("w").alias("wa")), v.select("term", F.col("doc_id").alias("b"), F.col("w").alias("wb"))
-    product = F.col("wa") * F.col("wb")
-    pairs = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(product).alias("sim"), F.max(product).alias("top"))
-    return pairs.select("a", "b", F.round("sim", 6).alias("sim"), F.round(F.col("sim") - F.col("top"), 6).alias("residual")).where("sim >= 0.16 AND residual >= 0.04")
-
-
-@query("WITH " + TOKENS_SQL + """, s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM toks),
-e AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT a, b, shared, round(shared / (len(x.s) + len(y.s) - shared), 6) AS jaccard FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 2 * shared >= len(x.s) + len(y.s) - shared""", False)
-def near_duplicate_pairs(spark, sf_dir):
-    """Pairs of Jaccard similarity 0.5 and more on 5-word shingles, through an inverted index; C6's choice of texts to keep isn't made, and each pair of a group of copies is listed."""
-    # each array passes through explode, so that what follows reads it as a column and doesn't compute it again
-    words = documents(spark, sf_dir).select("doc_id", F.explode(F.array(T.tokens(F.col("text")))).alias("w"))
-    sets = words.select("doc_id", F.explode(F.array(T.shingles(F.col("w")))).alias("s"))
-    sized = sets.select("doc_id", F.size("s").alias("n"), F.explode(F.transform("s", lambda x: F.xxhash64(x))).alias("g"))
-    left, right = sized.select("g", F.col("doc_id").alias("a"), F.col("n").alias("na")), sized.select("g", F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    close = left.join(right, "g").where((F.col("a") < F.col("b")) & (2 * F.least("na", "nb") >= F.greatest("na", "nb")))
-    shared = close.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return shared.where(2 * F.col("shared") >= union).select("a", "b", "shared", F.round(F.col("shared") / union, 6).alias("jaccard"))
-
-
 @query(r"""WITH n AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '\b([A-Z][a-z’''-]{2,}(?:\s+[A-Z][a-z’''-]{2,})*)\b', 1), lambda w: lower(w))) AS names FROM documents)
 SELECT name, count(*) AS n FROM (SELECT doc_id, unnest(names) AS name FROM n) WHERE name NOT IN """ + STOP_SQL + " GROUP BY name", False)
 def entity_counts(spark, sf_dir):
