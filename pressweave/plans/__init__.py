@@ -1,3 +1,3 @@
 """Query plans by theme; importing this package registers them all."""
 
-from . import clusters, feeds, grouping, queues, selection, streams, texts  # noqa: F401
+from . import clusters, feeds, grouping, ingest, queues, readers, selection, streams, texts  # noqa: F401
