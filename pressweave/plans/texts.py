@@ -27,7 +27,8 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def vectors(docs: DataFrame) -> DataFrame:
     """(doc_id, term, w): TF-IDF weights of unit length; terms of idf 0 and less are left out."""
     tf = term_counts(docs)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # counts n, so that both sides of the join read the same exchange: without n the texts would be counted twice
+    df = tf.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     raw = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", (1 + F.log("n")) * T.idf(F.col("total"), F.col("df"))).where("w > 0")
     # a window over one document's terms, which are no more than its words
