@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fertility, hilbert, jaccard, language_id, licenses, mixing, pieces, sharding, suffixes
+from . import chat, fertility, hilbert, jaccard, language_id, licenses, manifest, mixing, pieces, recipes, sharding, spelling, suffixes
 from .common import read
 
 
@@ -58,8 +58,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(read(spark, sf_dir, "documents"), manifest.lowered_text())
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op13_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.deduplicate(read(spark, sf_dir, "documents")).drop("n_chunks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_fertility, op3_suffix_dedup, op4_language_id, op5_hilbert_search, op6_mixing, op7_chat_tool_calls, op8_license_scan, op9_pieces, op10_sharding)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_quality_fertility, op3_suffix_dedup, op4_language_id, op5_hilbert_search, op6_mixing, op7_chat_tool_calls, op8_license_scan, op9_pieces, op10_sharding, op11_merkle_manifest, op12_spelling_variants, op13_chunk_recipes)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_chunk_recipes": """WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256 FROM d WINDOW w AS (PARTITION BY t)""",
+}

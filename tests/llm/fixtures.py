@@ -36,7 +36,7 @@ def texts() -> list[tuple[int, str | None]]:
 def documents(spark, rows=None, repeat: bool = True):
     """texts() as a documents table; two of its rows twice, one row without doc_id."""
     rows = texts() if rows is None else rows
-    data = [(i, t, None if i % 7 == 0 else "en", None if i % 5 == 0 else f"s{i % 3}", len(t or "")) for i, t in rows]
+    data = [(i, t, None if (i or 0) % 7 == 0 else "en", None if (i or 0) % 5 == 0 else f"s{i % 3}", len(t or "")) for i, t in rows]
     if repeat:
         data += [r for r in data if r[0] in (21, 100)] + [(None, "a row without identifier", None, None, None)]
     return spark.createDataFrame([(*r, "x", "x", "x", "x", "x", "x", "x") for r in data], SCHEMA).repartition(4)
