@@ -1,7 +1,10 @@
-"""One grouping pass over the articles of one cycle."""
+"""One grouping pass over the articles of one cycle, or of one connected component of it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from math import log2, sqrt
+
 import numpy as np
 import pandas as pd
 
@@ -9,83 +12,138 @@ import pandas as pd
 THRESHOLD, GROWTH, RESIDUAL, NAMELESS, CENTRE, GROUP_CENTRE = 0.16, 0.25, 0.04, 0.52, 0.10, 0.30
 
 
-def _one_hot(lists: pd.Series, weights: pd.Series | None = None) -> np.ndarray:
-    """A row for each list, a column for each different value; 1 or the value's weight where a row has it."""
-    at = {x: k for k, x in enumerate(dict.fromkeys(x for row in lists for x in row))}
-    out = np.zeros((len(lists), max(len(at), 1)))
-    for i, row in enumerate(lists):
-        out[i, [at[x] for x in row]] = 1.0 if weights is None else weights.iloc[i]
-    return out
+class Group:
+    """Articles in the order in which they joined, their names, and the sum of their vectors; frozen has the id of a written story, whose members never leave."""
+
+    def __init__(self, frozen: str | None = None):
+        self.frozen, self.members, self.names, self.sum = frozen, [], set(), {}
+
+    def length(self) -> float:
+        return sqrt(sum(w * w for w in self.sum.values())) or 1.0
 
 
 class Pass:
-    """Similarities of one cycle's articles and the groups they are in; ties go to the older group."""
+    """Groups of rows (terms, weights, keys, names, also, frozen), in the order of the rows, written stories first.
 
-    def __init__(self, rows: pd.DataFrame):
-        self.vectors = _one_hot(rows["terms"], rows["weights"])
-        self.names, keys = _one_hot(rows["names"]), _one_hot(rows["keys"])
-        self.meets, self.same_name = keys @ keys.T > 0, self.names @ self.names.T > 0
-        self.group = np.full(len(rows), -1)
+    also has the names that stand for any of a row's own. Only what shares a
+    key is compared, by postings of terms. Ties go to what is met first.
+    """
 
-    def members(self, g: int) -> np.ndarray:
-        return np.flatnonzero(self.group == g)
+    def __init__(self, rows: pd.DataFrame):
+        self.vectors = [dict(zip(t, w)) for t, w in zip(rows["terms"], rows["weights"])]
+        self.keys, self.names = [list(dict.fromkeys(k)) for k in rows["keys"]], [set(x) for x in rows["names"]]
+        self.means = [mine | set(also) for mine, also in zip(self.names, rows["also"])]
+        self.frozen = [None if pd.isna(x) else x for x in rows["frozen"]]
+        postings: dict[str, tuple[list[int], list[float]]] = {}
+        for i, vector in enumerate(self.vectors):
+            for term, w in vector.items():
+                where, weights = postings.setdefault(term, ([], []))
+                where.append(i)
+                weights.append(w)
+        self.postings = {t: (np.array(where), np.array(weights)) for t, (where, weights) in postings.items() if len(where) > 1}
+        self.groups: list[Group] = []
+        self.by_key: dict[str, dict[int, None]] = {}
 
     def similar(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Of article i to every article: similarity, and what is left of it without its best term."""
-        products = self.vectors * self.vectors[i]
-        total = products.sum(axis=1)
-        return total, total - products.max(axis=1)
+        total, best = np.zeros(len(self.vectors)), np.zeros(len(self.vectors))
+        for term, w in self.vectors[i].items():
+            if term in self.postings:
+                where, weights = self.postings[term]
+                product = w * weights
+                total[where] += product
+                best[where] = np.maximum(best[where], product)
+        return total, total - best
+
+    def met(self, articles: Iterable[int]) -> Iterable[int]:
+        """Groups that share a key with one of the articles, each once."""
+        return dict.fromkeys(g for i in articles for k in self.keys[i] for g in self.by_key.get(k, ()) if self.groups[g].members)
 
-    def best_group(self, i: int) -> int:
+    def best_group(self, i: int, own: int = -1) -> int:
         """The group other than its own that article i fits best, or -1."""
-        sims, rests = self.similar(i)
-        best, most = -1, 0.0
-        for g in np.unique(self.group[self.meets[i] & (self.group >= 0) & (self.group != self.group[i])]):
-            inside = self.members(g)
-            nearest = inside[np.argmax(sims[inside])]
-            sim, centre = sims[nearest], self.vectors[inside].sum(axis=0)
-            if rests[nearest] < RESIDUAL or sim <= most or sim < THRESHOLD * (1 + GROWTH * np.log2(len(inside))):
+        (sims, rests), best, most = self.similar(i), -1, 0.0
+        for g in self.met([i]):
+            group = self.groups[g]
+            nearest = group.members[int(np.argmax(sims[group.members]))]
+            sim = sims[nearest]
+            if g == own or rests[nearest] < RESIDUAL or sim <= most or sim < THRESHOLD * (1 + GROWTH * log2(len(group.members))):
                 continue
-            if sim < NAMELESS and not self.same_name[i, inside].any():
+            if sim < NAMELESS and not self.means[i] & group.names:
                 continue
-            if self.vectors[i] @ centre >= CENTRE * np.linalg.norm(centre):
+            if sum(w * group.sum.get(t, 0.0) for t, w in self.vectors[i].items()) >= CENTRE * group.length():
                 best, most = g, sim
         return best
 
     def best_neighbour(self, g: int) -> int:
-        """The group, no smaller, that all of group g fits best, or -1."""
-        mine = self.members(g)
-        mean = self.vectors[mine].sum(axis=0)
-        looks = [self.similar(i) for i in mine]
-        best, most = -1, 0.0
-        for h in np.unique(self.group[self.meets[mine].any(axis=0) & (self.group != g)]):
-            theirs = self.members(h)
-            other = self.vectors[theirs].sum(axis=0)
-            if len(theirs) < len(mine) or not self.same_name[np.ix_(mine, theirs)].any():
+        """The group, written or no smaller, that all of group g fits best, or -1."""
+        mine, best, most = self.groups[g], -1, 0.0
+        looks, means = [self.similar(i) for i in mine.members], set().union(*(self.means[i] for i in mine.members))
+        for h in self.met(mine.members):
+            other = self.groups[h]
+            if h == g or (not other.frozen and len(other.members) < len(mine.members)) or not means & other.names:
                 continue
-            if mean @ other < GROUP_CENTRE * np.linalg.norm(mean) * np.linalg.norm(other):
+            if sum(w * other.sum.get(t, 0.0) for t, w in mine.sum.items()) < GROUP_CENTRE * mine.length() * other.length():
                 continue
-            sim = max((s[theirs][r[theirs] >= RESIDUAL].max(initial=0.0) for s, r in looks), default=0.0)
+            sim = max(s[other.members][r[other.members] >= RESIDUAL].max(initial=0.0) for s, r in looks)
             if sim >= THRESHOLD and sim > most:
                 best, most = h, sim
         return best
 
-    def run(self) -> np.ndarray:
-        for i in range(len(self.group)):
-            fits = self.best_group(i)
-            self.group[i] = fits if fits >= 0 else self.group.max() + 1
-        for g in range(self.group.max() + 1):
+    def join(self, i: int, g: int) -> None:
+        group = self.groups[g]
+        group.members.append(i)
+        group.names |= self.names[i]
+        for term, w in self.vectors[i].items():
+            group.sum[term] = group.sum.get(term, 0.0) + w
+        for key in self.keys[i]:
+            self.by_key.setdefault(key, {})[g] = None
+
+    def open(self, i: int, frozen: str | None = None) -> None:
+        self.groups.append(Group(frozen))
+        self.join(i, len(self.groups) - 1)
+
+    def run(self) -> list[Group]:
+        written: dict[str, int] = {}
+        for i, frozen in enumerate(self.frozen):
+            if frozen is not None and frozen in written:
+                self.join(i, written[frozen])
+            elif frozen is not None:
+                written[frozen] = len(self.groups)
+                self.open(i, frozen)
+            elif (fits := self.best_group(i)) >= 0:
+                self.join(i, fits)
+            else:
+                self.open(i)
+        for g, group in enumerate(self.groups):
             # an article that came first may fit a group that formed after it
-            if len(inside := self.members(g)) == 1 and (fits := self.best_group(inside[0])) >= 0:
-                self.group[inside] = fits
-        for g in range(self.group.max() + 1):
-            if len(inside := self.members(g)) and (fits := self.best_neighbour(g)) >= 0:
-                self.group[inside] = fits
-        return self.group
+            if not group.frozen and len(group.members) == 1 and (fits := self.best_group(group.members[0], g)) >= 0:
+                self.join(group.members[0], fits)
+                group.members = []
+        for g, group in enumerate(self.groups):
+            if not group.frozen and group.members and (fits := self.best_neighbour(g)) >= 0:
+                for i in group.members:
+                    self.join(i, fits)
+                group.members = []
+        return [group for group in self.groups if group.members]
+
+
+def group_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """(id, founder, place, size, frozen) of each row that is no anchor, for rows (id, turn, frozen, terms, weights, keys, names, also).
+
+    Rows are taken by turn, anchors (rows with frozen) first. founder is the row
+    that a group began with, place a row's number in its group.
+    """
+    rows = rows.assign(late=rows["frozen"].isna()).sort_values(["late", "turn", "id"]).reset_index(drop=True)
+    ids, out = rows["id"].tolist(), []
+    for group in Pass(rows).run():
+        out += [(ids[i], ids[group.members[0]], k, len(group.members), group.frozen) for k, i in enumerate(group.members) if rows["late"][i]]
+    return pd.DataFrame(out, columns=["id", "founder", "place", "size", "frozen"])
 
 
 def group_cycle(rows: pd.DataFrame) -> pd.DataFrame:
-    """(doc_id, cluster_id) of one cycle's articles in the order of doc_id; a group is named by its first member."""
-    rows = rows.sort_values("doc_id").reset_index(drop=True)
-    group = pd.Series(Pass(rows).run())
-    return pd.DataFrame({"doc_id": rows["doc_id"], "cluster_id": "c_" + rows["doc_id"].groupby(group).transform("min").astype(str)})
+    """(doc_id, cluster_id) of one cycle's articles in the order of doc_id, without written stories and aliases; a group is named by its first member."""
+    given = rows.rename(columns={"doc_id": "id"}).assign(turn=0, frozen=None)
+    given["also"] = [[] for _ in range(len(given))]
+    out = group_rows(given)
+    first = out.groupby("founder")["id"].transform("min")
+    return pd.DataFrame({"doc_id": out["id"], "cluster_id": "c_" + first.astype(str)}).sort_values("doc_id").reset_index(drop=True)

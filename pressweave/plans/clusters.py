@@ -14,9 +14,8 @@ FROM stories s LEFT JOIN (SELECT cluster_id, max(published_at) AS latest FROM fu
 def recount_frozen(spark, sf_dir):
     """A5: counts move for all clusters, timestamps for unwritten ones only."""
     n = News(spark, sf_dir)
-    latest = n.full_articles().groupBy("cluster_id").agg(F.max("published_at").alias("latest"))
     seen = F.when(F.col("written"), F.unix_millis(F.col("last_seen").cast("timestamp"))).otherwise(F.coalesce(F.unix_millis(F.col("latest").cast("timestamp")), F.lit(0)))
-    return n.stories().join(latest, F.col("id") == F.col("cluster_id"), "left").select("id", seen.alias("seen"), "article_count", "source_count", "prominence")
+    return n.stories().select("id", seen.alias("seen"), "article_count", "source_count", "prominence")
 
 
 @query("SELECT id FROM clusters WHERE id NOT IN (SELECT cluster_id FROM articles)")

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text as T
 from ..operators.ranking import rank
 from ..sources.adapter import News
 from .feeds import DESKS as DESK_WEIGHT
 from .feeds import HOME, INSIDE, MACRO_PATTERN, PICKED, RANK, newest
 from .registry import query
-from .texts import STOP_SQL, TOKENS_SQL, documents, term_counts
+from .texts import TOKENS_SQL, documents, term_counts
 
-#: Phrases that trend elsewhere; a story matches one by two of its words, or by its only one.
-TRENDS = ["night train", "water street market", "season", "early morning children"]
+#: Fixed value: words too common to say that two headlines share a subject.
+FILLER = ["with", "from", "after", "over", "into", "about", "amid", "says", "their", "this", "that", "have", "will", "what", "when", "more", "than", "first", "new"]
+#: A trend is what so many characters of an item of the benchmark say; an item stands for a line that trends elsewhere.
+TREND_CHARS = 40
+TREND_WORDS_SQL = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9''-]{{3,}}')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in FILLER) + "))"
 #: Outlets' desks that are categories of their own; any other becomes Others.
 DESKS = ["src0", "src1", "src2", "src3"]
 LEAST_CRUX, LEAST_BODY, PER_SOURCE, QUEUE, RING, NEARBY = 40, 800, 3, 36, 60, 200
@@ -30,19 +32,26 @@ def term_freq(spark, sf_dir):
 def trend_words(text: Column) -> Column:
     """Distinct lower-cased words of four characters and more that carry a topic."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9'-]{3,}"), F.lit(0))
-    return F.array_except(found, F.array(*map(F.lit, T.STOP)))
+    return F.array_except(found, F.array(*map(F.lit, FILLER)))
 
 
-@query(f"""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9''-]{{3,}}')), lambda x: x NOT IN {STOP_SQL}) AS w FROM documents)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS words, {" OR ".join(f"len(list_intersect(w, {[x for x in t.split() if len(x) > 3]})) >= {min(2, len(t.split()))}" for t in TRENDS)} AS trending FROM w""", False)
+def trending(titles: DataFrame, trends: DataFrame) -> DataFrame:
+    """(doc_id) of titles (doc_id, w: words) that share two words, or the only one, with one of trends (trend, w: words); they meet by word."""
+    wanted = trends.select("trend", F.least(F.lit(2), F.size("w")).alias("need"), F.explode("w").alias("word"))
+    met = titles.select("doc_id", F.explode("w").alias("word")).join(wanted, "word").groupBy("doc_id", "trend", "need").agg(F.count("*").alias("n"))
+    return met.where("n >= need").select("doc_id").distinct()
+
+
+@query(f"""WITH w AS (SELECT doc_id, {TREND_WORDS_SQL.format("left(split_part(coalesce(text, ''), chr(10), 1), 90)")} AS w FROM documents),
+t AS (SELECT {TREND_WORDS_SQL.format(f"left(text, {TREND_CHARS})")} AS t FROM benchmark), hit AS (SELECT DISTINCT doc_id FROM w JOIN t ON len(t) > 0 AND len(list_intersect(w, t)) >= least(2, len(t)))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS words, doc_id IN (SELECT doc_id FROM hit) AS trending FROM w""", False)
 def trend_match(spark, sf_dir):
-    """Stories that share two words, or the only one, with a trend; null texts have no words."""
-    words = documents(spark, sf_dir).select("doc_id", F.explode(F.array(trend_words(F.coalesce("text", F.lit(""))))).alias("w"))
-    trends = [t.split() for t in TRENDS]
-    hit = F.lit(False)
-    for t in trends:
-        hit = hit | (F.size(F.array_intersect("w", F.array(*map(F.lit, t)))) >= min(2, len(t)))
-    return words.select("doc_id", F.size("w").cast("long").alias("words"), hit.alias("trending"))
+    """Headlines that share two words, or the only one, with what trends; null texts have no words."""
+    title = F.left(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), F.lit(90))
+    titles = documents(spark, sf_dir).select("doc_id", F.explode(F.array(trend_words(title))).alias("w"))
+    trends = News(spark, sf_dir).table("benchmark").select(F.col("item_id").alias("trend"), F.explode(F.array(trend_words(F.left("text", F.lit(TREND_CHARS))))).alias("w"))
+    hits = trending(titles, trends).withColumn("hit", F.lit(True))
+    return titles.join(hits, "doc_id", "left").select("doc_id", F.size("w").cast("long").alias("words"), F.coalesce("hit", F.lit(False)).alias("trending"))
 
 
 @query("""WITH c AS (SELECT l_orderkey AS id, l_suppkey AS source, l_shipdate, l_returnflag, min(l_shipdate) OVER (PARTITION BY l_orderkey) AS first_at FROM lineitem),

@@ -24,16 +24,20 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
-def vectors(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, w): TF-IDF weights of unit length; terms of idf 0 and less are left out."""
+def weights(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, w): TF-IDF weights; terms of idf 0 and less are left out."""
     tf = term_counts(docs)
     # counts n, so that both sides of the join read the same exchange: without n the texts would be counted twice
     df = tf.groupBy("term").agg(F.count_if(F.col("n") > 0).alias("df"))
     total = docs.agg(F.count("*").alias("total"))
-    raw = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("w", (1 + F.log("n")) * T.idf(F.col("total"), F.col("df"))).where("w > 0")
+    return tf.join(df, "term").crossJoin(F.broadcast(total)).select("doc_id", "term", ((1 + F.log("n")) * T.idf(F.col("total"), F.col("df"))).alias("w")).where("w > 0")
+
+
+def vectors(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, w): weights of unit length."""
     # a window over one document's terms, which are no more than its words
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "term", (F.col("w") / length).alias("w"))
+    return weights(docs).select("doc_id", "term", (F.col("w") / length).alias("w"))
 
 
 def documents(spark, sf_dir) -> DataFrame:
@@ -57,7 +61,8 @@ def doc_freq_idf(spark, sf_dir):
 @query("WITH " + TOKENS_SQL + " SELECT doc_id, count(*) AS terms, round(max(w), 6) AS heaviest FROM vec GROUP BY doc_id", False)
 def tfidf_norms(spark, sf_dir):
     """T2, T3."""
-    return vectors(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.max("w"), 6).alias("heaviest"))
+    longest = F.max("w") / F.sqrt(F.sum(F.col("w") * F.col("w")))
+    return weights(documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(longest, 6).alias("heaviest"))
 
 
 @query("WITH " + TOKENS_SQL + " SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS r FROM vec) WHERE r <= 6", False)

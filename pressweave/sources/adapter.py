@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,10 +59,15 @@ class News:
             F.count_distinct(F.when(F.col("full"), F.col("content"))).alias("article_count"),
             F.count_distinct(F.when(F.col("full"), F.col("source_id"))).alias("source_count"),
             F.count_distinct(F.when(F.col("prominent"), F.col("source_id"))).alias("prominence"),
+            F.max(F.when(F.col("full"), F.col("published_at"))).alias("latest"),
         )
 
     def as_of(self) -> Column:
-        """The latest cluster's time as a literal, so that filters on ages reach the scan; null if there is no cluster."""
+        """The latest cluster's time as a literal, so that filters on ages reach the scan; null if there is no cluster. Read once."""
+        return self._latest
+
+    @cached_property
+    def _latest(self) -> Column:
         orders = self.table("orders")
         latest = orders.agg(F.max("o_orderdate").cast("string")).first()[0]
         return F.lit(latest).cast(orders.schema["o_orderdate"].dataType)
