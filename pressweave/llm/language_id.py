@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER_KEYS, Block, Hashes, as_bytes, blocks
-from .common import bounded_batches
+from .common import bounded_batches, materialise
 
 #: Rows of each language and bytes of a row that training takes at most: the bound of the training sample.
 TRAIN_ROWS, TRAIN_BYTES = 800, 20_000
@@ -84,31 +84,41 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(lang, text): about train_rows different labelled texts of each language whose rows aren't held out.
+
+    Languages and their rows are counted over all of docs. Texts of at most
+    train_bytes bytes are drawn by a hash of their own, so that null or repeated
+    doc_ids change nothing, and each once; a language of which none is drawn is
+    learned from its shortest text, whole.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text", (F.octet_length("text") <= train_bytes).alias("short"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count_if("short").alias("n")).collect()}
+    if not counts:
+        return usable.select("lang", "text")
+    share = F.create_map(*[x for k in sorted(counts) for x in (F.lit(k), F.lit(min(1.0, train_rows / max(1, counts[k]))))])[F.col("lang")]
+    drawn = materialise(usable.where(F.col("short") & (F.xxhash64("text", F.lit(4)).cast("double") / 2.0**64 + 0.5 < share)).select("lang", "text").distinct())
+    missing = sorted(set(counts) - {r["lang"] for r in drawn.select("lang").distinct().collect()})
+    if missing:
+        left = usable.where(F.col("lang").isin(missing)).groupBy("lang").agg(F.min_by("text", F.struct(F.octet_length("text"), "text")).alias("text"))
+        drawn = drawn.unionByName(left)
+    return drawn
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Fit on a hash-drawn sample of about train_rows labelled rows of each language that aren't held out.
-
-    Languages and their rows are counted over all of docs. Rows of at most
-    train_bytes bytes are drawn; a language that has none is learned from its
-    shortest row, whole. So what reaches the driver is bounded by languages *
-    (train_rows * train_bytes + one such row). A bit's weight is the log-odds
-    of its accuracy on the half of the sample that its classifier wasn't fitted
-    on; the final classifiers are fitted on both halves.
+    """Fit on sample(docs): what reaches the driver is bounded by languages * (train_rows * train_bytes + one text).
+
+    A bit's weight is the log-odds of its accuracy on the half of the sample
+    that its classifier wasn't fitted on; the final classifiers are fitted on
+    both halves.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("short", F.octet_length("text") <= train_bytes)
-    seen = usable.groupBy("lang").agg(F.count_if("short").alias("n"), F.min(F.when(~F.col("short"), F.octet_length("text"))).alias("shortest")).collect()
-    counts = {r["lang"]: r["n"] for r in seen}
-    names = sorted(counts)
+    drawn = sample(docs, train_rows, train_bytes)
+    rows = drawn.select("lang", F.col("text").cast("binary").alias("text")).toArrow().sort_by("lang")
+    names = sorted(set(rows["lang"].to_pylist()))
     codes = codewords(len(names))
     n_bits, n_buckets = codes.shape[1], len(GRAMS) << BUCKET_BITS
     if not names:
         return Model([], codes, np.zeros((n_buckets, 1)), np.ones(1))
-    share = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(min(1.0, train_rows / max(1, counts[k]))))])[F.col("lang")]
-    drawn = usable.where(F.col("short") & (F.xxhash64("doc_id", F.lit(4)).cast("double") / 2.0**64 + 0.5 < share)).select("lang", "text")
-    for r in seen:
-        if not r["n"]:
-            long_ones = usable.where((F.col("lang") == r["lang"]) & (F.octet_length("text") == r["shortest"]))
-            drawn = drawn.unionByName(long_ones.groupBy("lang").agg(F.min("text").alias("text")))
-    rows = drawn.select("lang", F.col("text").cast("binary").alias("text")).toArrow().sort_by("lang")
     langs = np.array([names.index(x) for x in rows["lang"].to_pylist()], dtype=np.int64)
     texts = rows["text"].to_pylist()
     # two folds by text, so that equal texts are in one
