@@ -74,6 +74,18 @@ def test_language_of_held_out_rows(spark):
     assert np.mean([r.ambiguous for r in rows]) < 0.05
 
 
+def test_language_is_learned_from_rows_without_or_with_repeated_identifiers(spark):
+    english = [f"the committee met on day {i} and discussed what the members had said about number {i * 7}" for i in range(3_000)]
+    german = [f"der Ausschuss hat am Tag {i} getagt und über die Zahl {i * 7} gesprochen" for i in range(40)]
+    rows = [(None, t, "en") for t in english] + [(k, t, "de") for k, t in enumerate(german)] + [(9, "le comité", "fr")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(docs, train_rows=100)
+    assert model.languages == ["de", "en", "fr"]
+    got = {(r.lang, r.lang_pred) for r in language_id.predict(docs, model, keep=("lang",)).select("row.lang", "lang_pred").collect()}
+    assert {("en", "en"), ("de", "de")} <= got and ("en", "de") not in got
+    assert language_id.sample(docs, 100).count() < 400
+
+
 def test_language_never_reads_the_label_of_its_row(spark):
     docs = spark.read.parquet(f"{fixtures.SF}/documents.parquet").limit(80)
     model = language_id.train(docs)
@@ -157,15 +169,18 @@ def test_license_labels(spark):
     assert licenses.scan(fixtures.documents(spark)).where("doc_id = 21").count() == 2
 
 
-def templates(text):
-    """Labels and score of a text, from the places of all templates at every offset."""
+def templates(text, df, n):
+    """Labels and score of a text, from the places of all templates at every offset; df counts the n files that have a word."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     labels, score = set(filter(None, phrases(text)[4].split(","))), 0.0
     for label, template, key in licenses.TEMPLATES:
-        places = [(i, x) for i, x in enumerate(template.split()) if x not in licenses.COMMON]
-        share = max((sum(0 <= o + i < len(w) and w[o + i] == x for i, x in places) / len(places) for o in range(-len(places) - 20, len(w))), default=0)
-        if share >= licenses.LEAST_SHARE and f" {key} " in f" {' '.join(w)} ":
-            labels, score = labels | {label}, max(score, share)
+        t, k = template.split(), key.split()
+        rare = sorted(range(len(t)), key=lambda i: (-np.log((n + 1) / (df[t[i]] + 0.5)), t[i], i))[: -(-len(t) // 2)]
+        at = next(i for i in range(len(t)) if t[i : i + len(k)] == k)
+        for o in range(-len(t), len(w)):
+            share = sum(0 <= o + i < len(w) and w[o + i] == t[i] for i in rare) / len(rare)
+            if share >= licenses.LEAST_SHARE and o + at >= 0 and w[o + at : o + at + len(k)] == k:
+                labels, score = labels | {label}, max(score, share)
     return ",".join(sorted(labels)), score
 
 
@@ -174,6 +189,8 @@ def test_license_labels_of_texts_of_many_licenses(spark):
     vocabulary = " ".join(sorted({w for text in every for w in text.split()}))
     rows = [(1, " and ".join(every)), (2, vocabulary + " x " + every[10]), (3, " ".join(every[k] for k in (12, 2, 10))), (4, vocabulary)]
     rows += [(10 + k, "license version public") for k in range(30)]
+    # the key phrase elsewhere in the file, more than once, and twice in a row
+    rows += [(50, "mit license text here and elsewhere in the file released under the bla bla license"), (51, "mit license mit license released under the mit license"), (52, "released under the mit license released under the mit license"), (53, "apache license apache license licensed under the apache license version 2 0")]
     # near the least share: words taken from the end, the start and the middle of each template
     for k, text in enumerate(every):
         w = text.split()
@@ -181,11 +198,19 @@ def test_license_labels_of_texts_of_many_licenses(spark):
     rows += every_row(spark)[-200:]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(fixtures.documents(spark, rows, repeat=False)).collect()}
     assert set(got[1][0].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | {"gpl", "reserved", "cc-by"}
+    assert got[50][0] == "" and got[51][0] == got[52][0] == "mit"
+    df = Counter(w for _, text in rows for w in set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))))
     for doc, text in dict(rows).items():
-        labels, score = templates(text)
+        labels, score = templates(text, df, len(rows))
         assert (got[doc][0], got[doc][1]) == (labels, pytest.approx(score)), doc
 
 
+def test_license_labels_of_rows_without_or_with_a_repeated_identifier(spark):
+    docs = spark.createDataFrame([(None, "Released under the MIT license"), (None, "all rights reserved"), (4, "Released under the MIT license"), (4, "nothing"), (4, None), (5, "released, under the MIT license!")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.labels, r.score) for r in licenses.scan(docs).collect())
+    assert got == sorted([("None", "mit", 1.0), ("None", "reserved", 1.0), ("4", "mit", 1.0), ("4", "", 0.0), ("4", "", 0.0), ("5", "mit", 1.0)])
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)

@@ -31,9 +31,13 @@ def brute(rows, query, nearest=20):
     return [(int(ids[k]), float(score[k])) for k in order]
 
 
-@pytest.mark.parametrize("folder, window, range_rows", [("sf0.01", 64, 100), ("sf0.1", 512, 600), ("check_s", hilbert.WINDOW, 3_000)])
+@pytest.mark.parametrize("folder, window, range_rows", [("sf0.01", 64, 100), ("sf0.1", 512, 600), (None, hilbert.WINDOW, 3_000)])
 def test_search_recall_and_scores(spark, folder, window, range_rows):
-    given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    if folder:
+        given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    else:
+        v = np.random.default_rng(7).normal(size=(10_000, 64)).astype(np.float32)
+        given = spark.createDataFrame(list(enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())), "vec_id long, embedding array<float>").repartition(8)
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in given.collect()]
     found = defaultdict(list)
     for r in hilbert.search(given, window=window, range_rows=range_rows).orderBy("query_id", "rank").collect():
