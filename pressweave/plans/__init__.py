@@ -1,3 +1,3 @@
 """Query plans by theme; importing this package registers them all."""
 
-from . import clusters, feeds, grouping, ingest, places, queues, readers, selection, stories, streams, texts  # noqa: F401
+from . import clusters, feeds, grouping, ingest, places, queues, readers, selection, stories, streams, sync, texts  # noqa: F401
