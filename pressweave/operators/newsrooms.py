@@ -14,21 +14,20 @@ from .tables import written
 SHORT = 240
 
 
-def independent(articles: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """(cluster, outlets, source_count) of articles (id, cluster, source_id, tier, body, published_at).
+def longest(articles: DataFrame, cluster: str) -> DataFrame:
+    """articles with ``size``, of each outlet of a cluster the one of the longest body, ties by time and id."""
+    first = Window.partitionBy(cluster, "source_id").orderBy(F.desc("size"), F.col("published_at").asc_nulls_last(), "id")
+    sized = articles.withColumn("size", F.length(F.coalesce("body", F.lit(""))))
+    return sized.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r")
 
-    A4: front-page listings (tier ``title``) don't count. Each outlet has its
-    longest body, ties by time and id. Of bodies over SHORT characters, longest
-    first, one counts if it is under half alike (shingles of five words) to each
-    that counted before; the others count each. A null tier is a full one. Only
-    texts of one cluster meet, as shingles are named with their cluster.
+
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """(id) of texts (cluster, id, size, text) that stay: in each cluster from the largest size on, ties by id, each that is under half alike to every one kept before.
+
+    C6 inside clusters: shingles are named with their cluster, so only texts of
+    one cluster meet. A text without words is like no other and stays.
     """
-    full = articles.where(F.coalesce("tier", F.lit("full")) != "title").where(F.col(cluster).isNotNull())
-    size = F.length(F.coalesce("body", F.lit("")))
-    longest = Window.partitionBy(cluster, "source_id").orderBy(F.desc("size"), F.col("published_at").asc_nulls_last(), "id")
-    one = full.withColumn("size", size).withColumn("r", F.row_number().over(longest)).where("r = 1")
-    one = written(one.select(F.col(cluster).alias("cluster"), F.col("id").alias("doc_id"), "size", F.when(F.col("size") > SHORT, F.col("body")).alias("body")))
-    words = one.where("body IS NOT NULL").select("cluster", "doc_id", "size", F.explode(F.array(T.tokens(F.col("body")))).alias("w"))
+    words = texts.select("cluster", F.col("id").alias("doc_id"), "size", F.explode(F.array(T.tokens(F.col("text")))).alias("w"))
     named = F.array_sort(F.transform(T.shingles(F.col("w")), lambda x: F.xxhash64(F.col("cluster"), x)))
     sets = written(words.select("doc_id", "size", F.explode(F.array(named)).alias("s")).withColumn("n", F.size("s")))
     different = classes(sets)
@@ -36,10 +35,23 @@ def independent(articles: DataFrame, cluster: str = "cluster_id") -> DataFrame:
     pairs = close_pairs(different).select("a", "b").join(sizes.toDF("a", "size_a"), "a").join(sizes.toDF("b", "size_b"), "b")
     first = (F.col("size_a") > F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("a") < F.col("b")))
     lost = keep_first(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later")))
-    # a text without words is like no other; of equal sets only the first one is in a class
-    kept = different.select("doc_id").join(lost.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").union(sets.where("n = 0").select("doc_id")).withColumn("counts", F.lit(True))
-    counts = F.col("body").isNull() | F.col("counts").isNotNull()
-    return one.join(kept, "doc_id", "left").groupBy("cluster").agg(F.count("*").alias("outlets"), F.count_if(counts).alias("source_count")).withColumnRenamed("cluster", cluster)
+    # of equal sets only the first one is in a class
+    kept = different.select("doc_id").join(lost.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").union(sets.where("n = 0").select("doc_id"))
+    return kept.withColumnRenamed("doc_id", "id")
+
+
+def independent(articles: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """(cluster, outlets, source_count) of articles (id, cluster, source_id, tier, body, published_at).
+
+    A4: front-page listings (tier ``title``) don't count. Each outlet has its
+    longest body. Of bodies over SHORT characters those that distinct_texts()
+    keeps count; the others count each. A null tier is a full one.
+    """
+    full = articles.where(F.coalesce("tier", F.lit("full")) != "title").where(F.col(cluster).isNotNull())
+    one = written(longest(full, cluster).select(F.col(cluster).alias("cluster"), "id", "size", F.when(F.col("size") > SHORT, F.col("body")).alias("body")))
+    kept = distinct_texts(one.where("body IS NOT NULL").withColumnRenamed("body", "text")).withColumn("kept", F.lit(True))
+    counts = F.col("body").isNull() | F.col("kept").isNotNull()
+    return one.join(kept, "id", "left").groupBy("cluster").agg(F.count("*").alias("outlets"), F.count_if(counts).alias("source_count")).withColumnRenamed("cluster", cluster)
 
 
 def recount(articles: DataFrame, clusters: DataFrame) -> DataFrame:
