@@ -149,8 +149,13 @@ def related_six(spark, sf_dir):
 
 @query("SELECT id, lead(id) OVER (PARTITION BY category ORDER BY last_seen DESC, id) AS next_id FROM live")
 def next_story(spark, sf_dir):
-    """W7."""
-    return News(spark, sf_dir).live().select("id", F.lead("id").over(Window.partitionBy("category").orderBy(*newest())).alias("next_id"))
+    """W7. A category's stories are sorted day by day, and the last of a day is followed by the first of the next day that has one, so that no task holds a category."""
+    live = News(spark, sf_dir).live().select("id", "category", "last_seen", F.to_date("last_seen").alias("day"))
+    inside = F.lead("id").over(Window.partitionBy("category", "day").orderBy(*newest()))
+    firsts = live.groupBy("category", "day").agg(F.max_by("id", F.struct("last_seen", -F.col("id"))).alias("first"))
+    # a row for each day of a category
+    ahead = firsts.select("category", "day", F.lead("first").over(Window.partitionBy("category").orderBy(F.desc("day"))).alias("ahead"))
+    return live.withColumn("inside", inside).join(ahead, ["category", "day"]).select("id", F.coalesce("inside", "ahead").alias("next_id"))
 
 
 @query(""", s AS (SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY importance DESC, last_seen DESC, id) AS pos FROM live),
@@ -174,9 +179,11 @@ def world_delta(spark, sf_dir):
 @query("""SELECT id, CASE WHEN pos = 1 THEN 'lead' WHEN importance >= 3 THEN 'stack' ELSE 'row' END AS variant
 FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY last_seen DESC, id) AS pos FROM live)""")
 def card_variant(spark, sf_dir):
-    """P19."""
-    pos = F.row_number().over(Window.partitionBy("category").orderBy(*newest()))
-    return News(spark, sf_dir).live().select("id", F.when(pos == 1, "lead").when(F.col("importance") >= 3, "stack").otherwise("row").alias("variant"))
+    """P19. Only the first story of a category is looked for, by a partial aggregate; no category is sorted in one task."""
+    live = News(spark, sf_dir).live().select("id", "category", "importance", "last_seen")
+    first = live.groupBy(F.col("category").alias("of")).agg(F.max_by("id", F.struct("last_seen", -F.col("id"))).alias("lead"))
+    variant = F.when(F.col("id") == F.col("lead"), "lead").when(F.col("importance") >= 3, "stack").otherwise("row")
+    return live.join(first, F.col("category").eqNullSafe(F.col("of"))).select("id", variant.alias("variant"))
 
 
 @query(""", n AS (SELECT topic, count(*) AS n, max(last_seen) AS latest FROM live GROUP BY topic) SELECT CASE WHEN n >= 2 THEN topic ELSE 'Also today' END AS band, CAST(sum(n) AS BIGINT) AS n FROM n GROUP BY 1""")

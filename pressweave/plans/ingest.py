@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.robots import verdicts
 from ..sources.adapter import News
 from .grouping import CYCLE, cycle
 from .registry import query
@@ -46,28 +46,11 @@ def robots_verdict(spark, sf_dir):
     The first group that names us counts, else the first for all; of its rules that match a path the longest
     decides, allowing ones first among equals. What isn't an http address is refused. Lines are grouped inside one host's policy.
     """
+    pages = News(spark, sf_dir).table("pages").select("page_id", "url")
     host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
-    path = F.regexp_replace(F.regexp_extract("url", "^https?://[^/?#]+([^#]*)", 1), r"^([?]|$)", "/$1")
-    pages = News(spark, sf_dir).table("pages").select("page_id", host.alias("host"), path.alias("path"))
     text = F.element_at(F.array(*map(F.lit, POLICIES)), F.length("host") % 5 + 1)
-    lines = pages.select("host").where("host <> ''").distinct().select("host", F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    line = F.trim(F.split_part("raw", F.lit("#"), F.lit(1)))
-    pairs = lines.select("host", "pos", line.alias("line")).where(F.instr("line", ":") > 0)
-    pairs = pairs.select("host", "pos", F.lower(F.trim(F.split_part("line", F.lit(":"), F.lit(1)))).alias("key"), F.trim(F.expr("substr(line, instr(line, ':') + 1)")).alias("val"))
-    order, agent = Window.partitionBy("host").orderBy("pos"), F.col("key") == "user-agent"
-    begins = agent & ~F.coalesce(F.lag(agent).over(order), F.lit(False))
-    groups = pairs.withColumn("begins", begins.cast("int")).withColumn("g", F.sum("begins").over(order))
-    named = agent & (F.col("val") != "*") & F.lit(AGENT).contains(F.lower("val"))
-    chosen = groups.groupBy("host").agg(F.coalesce(F.min(F.when(named, F.col("g"))), F.min(F.when(agent & (F.col("val") == "*"), F.col("g")))).alias("g"))
-    rules = groups.join(chosen, ["host", "g"])
-    seconds = F.expr("try_cast(val AS DOUBLE)")
-    delay = rules.where((F.col("key") == "crawl-delay") & (seconds > 0)).groupBy("host").agg(F.max_by(F.least(seconds, F.lit(30.0)) * 1000, "pos").alias("delay_ms"))
-    escaped = F.replace(F.regexp_replace(F.regexp_replace("val", r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit(".*"))
-    pattern = F.concat(F.lit("^"), escaped, F.when(F.col("val").endswith("$"), "$").otherwise(""))
-    patterns = rules.where("key IN ('allow', 'disallow') AND val <> ''").select("host", F.length("val").alias("len"), (F.col("key") == "allow").alias("rule_allows"), pattern.alias("pattern"))
-    matched = pages.join(patterns, "host").where(F.rlike("path", F.col("pattern"))).groupBy("page_id").agg(F.max_by("rule_allows", F.struct("len", "rule_allows")).alias("found"))
-    rows = pages.join(matched, "page_id", "left").join(delay, "host", "left")
-    return rows.select("page_id", ((F.col("host") != "") & F.coalesce("found", F.lit(True))).alias("allowed"), F.coalesce("delay_ms", F.lit(0)).cast("long").alias("delay_ms"))
+    policies = pages.select(host.alias("host")).where("host <> ''").distinct().select("host", F.lit(200).alias("status"), text.alias("text"))
+    return verdicts(pages, policies, AGENT)
 
 
 def _quoted(text: str) -> str:

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+from ..functions.headlines import BRIEF, BUNDLE, CHORE
+from ..operators import selecting
 from ..operators.ranking import rank
 from ..sources.adapter import News
 from .feeds import DESKS as DESK_WEIGHT
 from .feeds import HOME, INSIDE, MACRO_PATTERN, PICKED, RANK, newest
+from .grouping import NAME_SQL
 from .registry import query
+from .stories import articles as story_articles
 from .texts import TOKENS_SQL, documents, term_counts
 
 #: Fixed value: words too common to say that two headlines share a subject.
@@ -18,6 +23,8 @@ FILLER = ["with", "from", "after", "over", "into", "about", "amid", "says", "the
 #: A trend is what so many characters of an item of the benchmark say; an item stands for a line that trends elsewhere.
 TREND_CHARS = 40
 TREND_WORDS_SQL = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9''-]{{3,}}')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in FILLER) + "))"
+#: What makes a headline a chore in RE2's terms, postings aside, which no first line here is.
+CHORE_SQL = "|".join((CHORE, BRIEF, BUNDLE)).replace("'", "''")
 #: Outlets' desks that are categories of their own; any other becomes Others.
 DESKS = ["src0", "src1", "src2", "src3"]
 LEAST_CRUX, LEAST_BODY, PER_SOURCE, QUEUE, RING, NEARBY = 40, 800, 3, 36, 60, 200
@@ -134,3 +141,35 @@ def local_feed_subtree(spark, sf_dir):
     """the latest 200 live stories of all places under one root, ranked as feed_rank ranks them."""
     pool = News(spark, sf_dir).live().where(F.col("country") == HOME).orderBy(*newest()).limit(NEARBY)
     return pool.select("id", F.round(rank(PICKED, HOME, INSIDE, MACRO_PATTERN, DESK_WEIGHT), 6).alias("score")).orderBy(F.desc("score"), "id")
+
+
+#: Hours of the queue of single stories over documents that come every ten minutes.
+FRESH, SETTLED, HEAT, SHARE = 120, 12, 160, 5
+SINGLES_SQL = rf"""arts AS (SELECT doc_id AS id, source, left(split_part(coalesce(text, ''), chr(10), 1), 90) AS title, CASE WHEN length(text) > 240 THEN left(text, 8000) END AS body, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 10) AS t FROM documents),
+now AS (SELECT max(t) AS t FROM arts), state AS (SELECT arts.id, coalesce(quality, 0) = 1 AS written, 3 * coalesce(toxic, 0) AS attempts FROM arts LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = arts.id),
+shaped AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '{T.PERIODIC}', ' ', 'g'), '[^a-z ]+', ' ', 'g'), ' +', ' ', 'g')) AS shape FROM arts),
+shapes AS (SELECT source, shape FROM shaped, now WHERE shaped.t >= now.t - INTERVAL 7 DAY GROUP BY 1, 2 HAVING count(DISTINCT shaped.t::DATE) >= 3),
+named AS (SELECT id, source, t, unnest({NAME_SQL.format("title")}) AS name FROM arts), outs AS (SELECT DISTINCT name, source FROM named, now WHERE named.t >= now.t - INTERVAL {HEAT} HOUR),
+w AS (SELECT id, {TREND_WORDS_SQL.format("title")} AS w FROM arts), tr AS (SELECT {TREND_WORDS_SQL.format(f"left(text, {TREND_CHARS})")} AS t FROM benchmark),
+hot AS (SELECT DISTINCT id FROM w JOIN tr ON len(t) > 0 AND len(list_intersect(w, t)) >= least(2, len(t))),
+spent AS (SELECT source, count(*) AS n FROM arts JOIN state USING (id), now WHERE written AND arts.t >= now.t - INTERVAL 24 HOUR GROUP BY source),
+cand AS (SELECT s.id, s.source, s.t, hot.id IS NOT NULL AS hot, coalesce((SELECT count(DISTINCT o.source) FROM named a JOIN outs o ON o.name = a.name WHERE a.id = s.id AND o.source <> s.source), 0) AS heat
+ FROM shaped s JOIN state USING (id) JOIN now ON s.t >= now.t - INTERVAL {FRESH} HOUR AND s.t <= now.t - INTERVAL {SETTLED} HOUR LEFT JOIN hot ON hot.id = s.id
+ WHERE NOT written AND attempts < 3 AND length(coalesce(body, '')) > 800 AND NOT regexp_matches(title, '{CHORE_SQL}') AND (source, shape) NOT IN (SELECT (source, shape) FROM shapes))"""
+
+
+@query(f"""WITH {SINGLES_SQL}, r AS (SELECT cand.*, row_number() OVER (PARTITION BY cand.source ORDER BY hot DESC, heat DESC, t DESC, id) AS r, greatest(0, {SHARE} - coalesce(n, 0)) AS allowance FROM cand LEFT JOIN spent USING (source))
+SELECT row_number() OVER (ORDER BY hot DESC, heat DESC, t DESC, id) AS position, id, source, hot, heat FROM r WHERE r <= allowance ORDER BY position LIMIT 36""", False)
+def worth_writing_queue(spark, sf_dir):
+    """Stories of one outlet to be written up next. Documents are stories of their own; labelled good ones are written, toxic ones were tried three times."""
+    labels = News(spark, sf_dir).table("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = story_articles(spark, sf_dir).withColumn("cluster_id", F.col("id").cast("string"))
+    state = rows.select("id", "cluster_id", "source_id", "published_at").join(labels, F.col("id") == F.col("doc_id"), "left")
+    clusters = state.select(F.col("cluster_id").alias("id"), (F.coalesce("quality", F.lit(0)) == 1).alias("written"), F.lit(1).alias("source_count"), (3 * F.coalesce("toxic", F.lit(0))).alias("attempts"))
+    now = F.lit(rows.agg(F.max("published_at")).first()[0]).cast("timestamp")
+    trends = News(spark, sf_dir).table("benchmark").select(F.col("item_id").alias("trend"), F.explode(F.array(trend_words(F.left("text", F.lit(TREND_CHARS))))).alias("w"))
+    hot = trending(rows.select(F.col("id").alias("doc_id"), F.explode(F.array(trend_words(F.col("title")))).alias("w")), trends).withColumnRenamed("doc_id", "id")
+    spent = state.where((F.col("quality") == 1) & selecting.ago(now, 24)).groupBy("source_id").agg(F.count("*").alias("n"))
+    allowance = rows.select("source_id").distinct().join(spent, "source_id", "left").select("source_id", F.greatest(F.lit(0).cast("long"), SHARE - F.coalesce("n", F.lit(0))).alias("allowance"))
+    queue = selecting.worth_writing(rows, clusters, hot, allowance, now, FRESH, SETTLED, HEAT)
+    return queue.select("position", "id", F.col("source_id").alias("source"), "hot", "heat")

@@ -8,18 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.headlines import BRIEF, BUNDLE, CHORE, NOT_POSTING, POSTING
 from ..sources.adapter import News
 from .registry import query
 from .texts import STOP_SQL, documents
 
 #: Parameters of an address that only track its reader.
 TRACKING = "utm_|fbclid|gclid|ref|cmp|at_|ito|smid|partner|traffic_source"
-#: Headline shapes of chores, briefs, bundles and trade postings, and what isn't a posting after all.
-CHORE = r"(?i)^(how to|q&a|watch:|live updates|\d+ things)\b|\b(hints and answers|team of the week|daily quiz|horoscope)\b"
-BRIEF = r"(?i)^.{0,24}\b(morning|evening|daily|weekly)\s+(brief|briefing|digest|wrap|rundown|roundup)\b"
-BUNDLE = r"(?i)&\s*more\s*$"
-POSTING = r"^[A-Z][\w.'’-]+(\s+[A-Z][\w.'’-]+){1,3}\s+(Appointed|Named|Promoted [Tt]o|Elevated [Tt]o|Joins [Aa]s)\s+[^:]{0,60}?\b(VP|SVP|EVP|Vice President|President|Managing Director|Director|Head|Editor|Chief|Partner|Officer)\b"
-NOT_POSTING = r"\b(CEO|Chief Executive)\b"
 #: Letters with marks and what stands for them.
 MARKED, PLAIN = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 #: A lens's words; a story may be in several lenses.
