@@ -2,15 +2,19 @@
 
 Vectors are projected on random orthonormal axes, once for each order, made
 uniform along every axis, shifted and put in Hilbert order. Each order is cut
-into ranges at sampled quantiles of its keys. A range also gets the rows of
-its neighbours that stand within WINDOW rows of the cut, so a query meets its
-window, WINDOW rows to either side by rank, in the one task of its range. The
-best of all windows are merged; scores are exact inner products.
-
-A window has the same number of rows however large the table is. Largest
-inner products are nearest points once vectors get one more component that
-brings them to equal length, which is what the curves see. Equal vectors are
-one point with their smallest identifiers, so ties are exact.
+into ranges at sampled keys whose ranks are counted over all rows. A range also
+gets the rows of its neighbours that stand within a window of the cut, so a
+query meets its window, so many rows to either side by rank, in the one task of
+its range. The best of all windows are merged; scores are exact inner products.
+
+How wide a window must be depends on the vectors: where they spread evenly in
+many dimensions, a fixed one loses neighbours as the table grows. So the true
+neighbours of PROBES queries are found over all rows, their ranks in every
+order are counted, and the window is the least one that holds the share RECALL
+of them in one order at least. Largest inner products are nearest points once
+vectors get one more component that brings them to equal length, which is what
+the curves see. Equal vectors are one point with their smallest identifiers, so
+ties are exact.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from .common import materialise
 ORDERS, AXES, BITS, WINDOW, RANGE_ROWS, NEAREST, QUERY_MODULUS, SEED = 16, 8, 6, 2048, 16_384, 20, 20, 5
 #: Rows that the axes' distributions are fitted on, and keys of all orders that cuts are taken from: the bounds of what reaches the driver.
 FIT_ROWS, KEY_SAMPLE, TIE_BITS = 5_000, 400_000, 15
+#: Queries whose neighbours are found over all rows, and the share of these that the window is to hold; it is WINDOW at least.
+PROBES, RECALL = 48, 0.96
+#: Products that a task holds at once.
+MEET_CELLS = 8 << 20
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -130,8 +138,9 @@ def _meet(size: int, nearest: int, window: int):
             q = _matrix(there["vector"].chunk(0).take(pa.array(queries)), size)
             edges, flat = np.asarray(ids.offsets), np.asarray(ids.flatten())
             edges = edges - edges[0]
-            for first in range(0, len(queries), 64):
-                some = slice(first, first + 64)
+            step = max(1, min(64, MEET_CELLS // (2 * window + 1)))
+            for first in range(0, len(queries), step):
+                some = slice(first, first + step)
                 low, high = max(0, at[some].min() - window), min(len(rows), at[some].max() + window)
                 # a quick product chooses, with some to spare; the exact one ranks
                 for x, rough in zip(q[some], q[some] @ v[low:high].T):
@@ -149,14 +158,78 @@ def _meet(size: int, nearest: int, window: int):
     return meet
 
 
-def search(vectors: DataFrame, nearest: int = NEAREST, modulus: int = QUERY_MODULUS, window: int = WINDOW, range_rows: int = RANGE_ROWS, orders: int = ORDERS) -> DataFrame:
+def _top(rough: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest, or all."""
+    return np.arange(len(rough)) if len(rough) <= k else np.argpartition(rough, len(rough) - k)[len(rough) - k :]
+
+
+def neighbour_keys(points: DataFrame, probes: np.ndarray, shared, size: int, orders: int, nearest: int) -> np.ndarray:
+    """(probe, neighbour, order) keys of the nearest points of each probe, itself left out, found over all points; missing ones are -1."""
+    spark = points.sparkSession
+    asked = spark.sparkContext.broadcast(probes)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros((0, orders), dtype=np.int64))] * len(asked.value)
+        for batch in batches:
+            v, ids = _matrix(batch.column(0), size), np.asarray(batch.column(1))
+            products = asked.value @ v.T
+            same = np.stack([(v == q).all(axis=1) for q in asked.value])
+            products[same] = -np.inf
+            near = [_top(x, nearest) for x in products]
+            some = np.unique(np.concatenate(near)) if near else np.zeros(0, dtype=np.int64)
+            keys = np.stack([shared.value.keys(k, v[some], ids[some]) for k in range(orders)], axis=1) if len(some) else np.zeros((0, orders), dtype=np.int64)
+            for p, (score, held) in enumerate(best):
+                score = np.concatenate([score, products[p][near[p]]])
+                held = np.concatenate([held, keys[np.searchsorted(some, near[p])]])
+                keep = _top(score, nearest)
+                best[p] = score[keep], held[keep]
+        for p, (score, held) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), p, dtype=np.int32)), pa.array(-score), pa.array(list(held), pa.list_(pa.int64()))], names=["probe", "minus", "keys"])
+
+    found = points.select("embedding", F.col("ids")[0].alias("id")).mapInArrow(look, "probe int, minus double, keys array<long>")
+    nth = F.row_number().over(Window.partitionBy("probe").orderBy("minus", F.col("keys")[0]))
+    rows = found.where("minus < double('Infinity')").withColumn("nth", nth).where(F.col("nth") <= nearest).collect()
+    out = np.full((len(probes), nearest, orders), -1, dtype=np.int64)
+    for r in rows:
+        out[r["probe"], r["nth"] - 1] = r["keys"]
+    return out
+
+
+def counted_ranks(points: DataFrame, marks: list[np.ndarray], shared, size: int, orders: int) -> list[np.ndarray]:
+    """For each order, how many points have a key below each of its sorted marks: one pass over all points, added up by order and mark."""
+    given = points.sparkSession.sparkContext.broadcast(marks)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(m) + 1, dtype=np.int64) for m in given.value]
+        for batch in batches:
+            v, ids = _matrix(batch.column(0), size), np.asarray(batch.column(1))
+            for k in range(orders):
+                n[k] += np.bincount(np.searchsorted(given.value[k], shared.value.keys(k, v, ids), side="right"), minlength=len(n[k]))
+        for k, x in enumerate(n):
+            some = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, dtype=np.int32)), pa.array(some.astype(np.int32)), pa.array(x[some])], names=["curve", "mark", "n"])
+
+    rows = points.select("embedding", F.col("ids")[0].alias("id")).mapInArrow(count, "curve int, mark int, n long").groupBy("curve", "mark").agg(F.sum("n").alias("n")).toPandas()
+    out = []
+    for k, m in enumerate(marks):
+        n = np.zeros(len(m) + 1, dtype=np.int64)
+        mine = rows[rows["curve"] == k]
+        n[mine["mark"].to_numpy()] = mine["n"].to_numpy()
+        out.append(np.cumsum(n)[:-1])
+    return out
+
+
+def search(vectors: DataFrame, nearest: int = NEAREST, modulus: int = QUERY_MODULUS, window: int = WINDOW, range_rows: int = RANGE_ROWS, orders: int = ORDERS, recall: float | None = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each vector whose vec_id is divisible by modulus.
 
     Vectors that are null, empty, zero or hold null or non-finite components
     take no part, nor do those of another length than most. Rows that repeat a
     vec_id should repeat its vector; each identifier takes part once. With
     fewer candidates than nearest, all come. Empty tables give no rows; extra
-    columns are ignored.
+    columns are ignored. window is the least one; with recall it is widened
+    until it holds that share of the probes' true neighbours. A range has at
+    least as many rows as the window, so a row goes to three ranges of an order
+    at most, and a task holds three windows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -185,11 +258,35 @@ def search(vectors: DataFrame, nearest: int = NEAREST, modulus: int = QUERY_MODU
             for k in range(orders):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), k, dtype=np.int32)), pa.array(shared.value.keys(k, v, ids))], names=["curve", "key"])
 
-    n_ranges, cuts = max(1, round(total / range_rows)), {}
-    if n_ranges > 1:
+    cuts: dict[int, np.ndarray] = {}
+    if total > 2 * window or total > range_rows:
         drawn = points.where(draw(SEED + 1) < KEY_SAMPLE / orders / total).select("embedding", F.col("ids")[0].alias("id")).mapInArrow(sampled, "curve int, key long").toPandas()
-        ends, by = np.arange(1, n_ranges) / n_ranges, window / total
-        cuts = {k: np.quantile(g["key"], np.clip(np.stack([ends - by, ends, ends + by]), 0, 1), method="nearest") for k, g in drawn.groupby("curve")}
+        keys = [np.unique(drawn["key"][drawn["curve"] == k].to_numpy()) for k in range(orders)]
+        probes, near = np.zeros((0, size)), np.zeros((0, nearest, orders), dtype=np.int64)
+        if recall and total > 2 * window:
+            few = points.where("asked").orderBy(draw(SEED + 2), "h1", "h2").limit(PROBES).select("embedding", F.col("ids")[0].alias("id")).toPandas()
+            probes, probe_ids = np.array([np.asarray(x, dtype=np.float64) for x in few["embedding"]]).reshape(-1, size), few["id"].to_numpy()
+        if len(probes):
+            near = neighbour_keys(points, probes, shared, size, orders, nearest)
+            own = np.stack([curves.keys(k, probes, probe_ids, True) for k in range(orders)], axis=1)
+            keys = [np.unique(np.concatenate([x, own[:, k], near[:, :, k].ravel()])) for k, x in enumerate(keys)]
+        ranks = counted_ranks(points, keys, shared, size, orders)
+        if len(probes):
+            rank_of = lambda k, x: ranks[k][np.searchsorted(keys[k], x)]
+            apart = np.min([np.abs(rank_of(k, near[:, :, k]) - rank_of(k, own[:, k])[:, None]) for k in range(orders)], axis=0)
+            needed = np.quantile(apart[near[:, :, 0] >= 0], recall, method="higher") if (near >= 0).any() else 0
+            window = max(window, int(needed) + 1)
+        # a tenth more than a window, as cuts lie at marks: no window reaches beyond the next range
+        n_ranges = max(1, min(int(total // max(range_rows, 1.1 * window)), min(map(len, keys)) // 4))
+        if n_ranges > 1:
+            for k in range(orders):
+                ends = np.unique(np.searchsorted(ranks[k], total * np.arange(1, n_ranges) // n_ranges, side="left").clip(0, len(ranks[k]) - 1))
+                # by counted ranks: at least a window of rows lies between these keys and the cut
+                before = np.searchsorted(ranks[k], ranks[k][ends] - window, side="right") - 1
+                behind = np.searchsorted(ranks[k], ranks[k][ends] + window, side="left")
+                low = np.where(before >= 0, keys[k][before.clip(0)], np.iinfo(np.int64).min)
+                high = np.where(behind < len(keys[k]), keys[k][behind.clip(0, len(keys[k]) - 1)], np.iinfo(np.int64).max)
+                cuts[k] = np.stack([low, keys[k][ends], high])
     cut = spark.sparkContext.broadcast(cuts)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

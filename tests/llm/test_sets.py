@@ -10,6 +10,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -31,13 +33,18 @@ def brute(rows, query, nearest=20):
     return [(int(ids[k]), float(score[k])) for k in order]
 
 
+def isotropic(spark, tmp_path, n, size=64):
+    """Unit vectors without any nearness to find, the hardest case of a curve."""
+    v = np.random.default_rng(7).normal(size=(n, size)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), size).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), f"{tmp_path}/v.parquet", row_group_size=n // 8)
+    return spark.read.parquet(f"{tmp_path}/v.parquet").repartition(8), v.astype(np.float64)
+
+
 @pytest.mark.parametrize("folder, window, range_rows", [("sf0.01", 64, 100), ("sf0.1", 512, 600), (None, hilbert.WINDOW, 3_000)])
-def test_search_recall_and_scores(spark, folder, window, range_rows):
-    if folder:
-        given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
-    else:
-        v = np.random.default_rng(7).normal(size=(10_000, 64)).astype(np.float32)
-        given = spark.createDataFrame(list(enumerate((v / np.linalg.norm(v, axis=1, keepdims=True)).tolist())), "vec_id long, embedding array<float>").repartition(8)
+def test_search_recall_and_scores(spark, tmp_path, folder, window, range_rows):
+    given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet") if folder else isotropic(spark, tmp_path, 10_000)[0]
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in given.collect()]
     found = defaultdict(list)
     for r in hilbert.search(given, window=window, range_rows=range_rows).orderBy("query_id", "rank").collect():
@@ -51,6 +58,30 @@ def test_search_recall_and_scores(spark, folder, window, range_rows):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_search_recall_beyond_twenty_windows_as_registered(spark, tmp_path):
+    given, v = isotropic(spark, tmp_path, 20 * 2 * hilbert.WINDOW + 5_000)
+    found = defaultdict(set)
+    for r in hilbert.search(given, modulus=400).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(v), 400):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(score, -20)[-20:].tolist()))
+    assert hits / (20 * len(found)) >= 0.9
+
+
+def test_search_of_clustered_vectors_keeps_its_window(spark):
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(60, 8)) * 9
+    rows = [(i, (centres[i % 60] + r.normal(size=8) * 0.1).tolist()) for i in range(3_000)]
+    found = defaultdict(set)
+    for x in hilbert.search(vectors(spark, rows), window=60, range_rows=200).collect():
+        found[x.query_id].add(x.vec_id)
+    hits = sum(len(found[q] & {i for i, _ in brute(rows, q)}) for q in range(0, 3_000, 20))
+    assert hits / (20 * 150) >= 0.9
+
+
 def test_search_with_a_very_common_vector_and_unequal_lengths(spark):
     r = np.random.default_rng(3)
     rows = [(i, [1.0, 2.0, 3.0] if i % 3 else (r.normal(size=3) * r.uniform(0.1, 4)).tolist()) for i in range(900)]
