@@ -44,7 +44,8 @@ def merge_twins(clusters: DataFrame, df: DataFrame, since: datetime, as_of: date
     order = F.struct("first_seen", "id")
     nodes = live.join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select("id", F.when(fresh, order).alias("turn"), order.alias("place"), F.struct("source_count", (-F.unix_micros("first_seen")).alias("age")).alias("strength"))
     if pairs.isEmpty():
-        return clusters.sparkSession.createDataFrame([], "loser string, keeper string")
+        kind = clusters.schema["id"].dataType.simpleString()
+        return clusters.sparkSession.createDataFrame([], f"loser {kind}, keeper {kind}")
     merged = merge_in_order(nodes, edges)
     # who kept another one may lose in its own turn
     while not (again := merged.select("loser", F.col("keeper").alias("through")).join(merged.select(F.col("loser").alias("through"), F.col("keeper").alias("at")), "through")).isEmpty():

@@ -85,3 +85,16 @@ def twin_pairs(spark, sf_dir):
     named = docs.select("doc_id", F.explode(F.array(T.names(F.col("title")))).alias("names"))
     both = pairs.join(named.toDF("a", "names_a"), "a").join(named.toDF("b", "names_b"), "b").where(F.arrays_overlap("names_a", "names_b"))
     return both.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def twin_merge(spark, sf_dir):
+    """Of the written stories of the last two days (documents here, with as many newsrooms as have their headline), those of the last day look for a twin: which is folded into which."""
+    rows = articles(spark, sf_dir)
+    carried = rows.groupBy(F.col("title").alias("headline")).agg(F.count_distinct("source_id").alias("source_count"))
+    at = F.col("published_at")
+    stories = rows.select("id", F.col("title").alias("headline"), at.alias("first_seen"), at.alias("last_seen"), at.alias("summarised_at")).join(carried, "headline")
+    now = rows.agg(F.max("published_at")).first()[0]
+    if now is None:
+        return spark.createDataFrame([], "loser long, keeper long")
+    return twins.merge_twins(stories, cycles.corpus(rows, now), now - timedelta(days=1), now)

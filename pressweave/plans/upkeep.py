@@ -43,11 +43,11 @@ def missing_sources(spark, sf_dir):
 
 
 @query(f"""WITH u AS (SELECT ts::DATE AS day, event_type AS kind, count(*) AS calls, sum(value) AS used FROM events GROUP BY 1, 2)
-SELECT day, kind, calls, round(used, 4) AS used, round(used / a, 6) AS share, coalesce(used / a > 1, FALSE) AS over FROM (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN {a}::DOUBLE" for k, a in ALLOWED.items())} END AS a FROM u)""", False)
+SELECT day, kind, calls, round(used, 4) AS used, round(used / a, 9) AS share, coalesce(used / a > 1, FALSE) AS over FROM (SELECT *, CASE kind {" ".join(f"WHEN '{k}' THEN {a}::DOUBLE" for k, a in ALLOWED.items())} END AS a FROM u)""", False)
 def usage_totals(spark, sf_dir):
     """What each kind of event used a day, against what it may."""
     calls = News(spark, sf_dir).table("events").select("ts", F.col("event_type").alias("kind"), F.col("value").alias("used"))
-    return upkeep.usage(calls, ALLOWED).select("day", "kind", "calls", F.round("used", 4).alias("used"), F.round("share", 6).alias("share"), "over")
+    return upkeep.usage(calls, ALLOWED).select("day", "kind", "calls", F.round("used", 4).alias("used"), F.round("share", 9).alias("share"), "over")
 
 
 @query("""SELECT strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d_%H-%M') AS run, count(*) AS n FROM events, (SELECT max(ts) AS latest FROM events) WHERE ts >= latest - INTERVAL 3 DAY GROUP BY 1""", False)
