@@ -20,6 +20,10 @@ def test_rows_of_sql(spark, name):
     assert not list((rows - want).items())[:3] and not list((want - rows).items())[:3]
 
 
+#: Rows of the queries without SQL over the smallest tables; what the rows say is tested beside their operators.
+ROWS = {"story_cycles": 200, "clusters_greedy": 200, "distinct_by_text": 200, "prompt_assembly": 2, "twin_merge": 23, "feed_interleave": 270, "actions_fold": 15}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs_without_sql(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() >= 0
+    assert registry.QUERIES[name](spark, SF).count() == ROWS[name]
