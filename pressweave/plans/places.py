@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.gazetteer import cascade, resolve
 from ..sources.adapter import News
 from .registry import query
 
@@ -16,6 +17,17 @@ ALIASES_SQL = """aliases AS (SELECT 'nation ' || n_nationkey AS alias, CASE WHEN
  UNION ALL SELECT 'p ' || n_nationkey % 10, r_name, 'N' || n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT lower(r_name), '', 'R' || r_regionkey, r_name FROM region)"""
 
 
+def filed(news):
+    """Aliases as ALIASES_SQL has them."""
+    places, region, nation = news.places(), F.col("r_name"), F.col("n_nationkey")
+    name = F.concat(F.lit("N"), nation)
+    return (
+        places.select(F.concat(F.lit("nation "), nation).alias("alias"), F.when(nation < 10, "").otherwise(region).alias("filed"), name.alias("place"), region.alias("country"))
+        .union(places.select(F.concat(F.lit("p "), nation % 10), region, name, region))
+        .union(news.table("region").select(F.lower(region), F.lit(""), F.concat(F.lit("R"), F.col("r_regionkey")), region))
+    )
+
+
 @query(f"""WITH {SAID_SQL}, {ALIASES_SQL},
 parts AS (SELECT *, list_filter(list_transform(string_split(said, ','), lambda x: trim(x)), lambda x: x <> '') AS segments FROM said WHERE trim(coalesce(said, '')) <> ''),
 hint AS (SELECT p.*, coalesce(given, CASE WHEN len(segments) > 1 THEN r_name END) AS hinted FROM parts p LEFT JOIN region ON lower(segments[-1]) = lower(r_name)),
@@ -32,12 +44,7 @@ def place_resolve(spark, sf_dir):
     news = News(spark, sf_dir)
     places = news.places()
     region, nation = F.col("r_name"), F.col("n_nationkey")
-    name = F.concat(F.lit("N"), nation)
-    aliases = (
-        places.select(F.concat(F.lit("nation "), nation).alias("alias"), F.when(nation < 10, "").otherwise(region).alias("filed"), name.alias("place"), region.alias("country"))
-        .union(places.select(F.concat(F.lit("p "), nation % 10), region, name, region))
-        .union(news.table("region").select(F.lower(region), F.lit(""), F.concat(F.lit("R"), F.col("r_regionkey")), region))
-    )
+    aliases = filed(news)
     kind = F.col("s_suppkey") % 6
     short = (nation % 10).cast("string")
     said = F.when(kind == 0, F.col("n_name")).when(kind == 1, F.concat(F.lit("Old Quarter, "), "n_name", F.lit(", "), region)).when(kind == 2, F.concat(F.lit("P "), short))
@@ -45,27 +52,28 @@ def place_resolve(spark, sf_dir):
     stories = news.table("supplier").join(places, F.col("s_nationkey") == nation).select(
         F.col("s_suppkey").alias("id"), said.alias("said"), F.when(F.col("s_suppkey") % 7 == 0, region).alias("given"), F.when(F.col("s_suppkey") % 2 == 0, region).alias("prefer")
     )
-    segments = F.filter(F.transform(F.split("said", ","), lambda x: F.trim(x)), lambda x: x != "")
-    parts = stories.where(F.trim("said") != "").withColumn("segments", segments)
-    named = news.table("region").select(F.lower(region).alias("last"), region.alias("named"))
-    hinted = parts.withColumn("last", F.when(F.size("segments") > 1, F.lower(F.element_at("segments", -1)))).join(named, "last", "left").withColumn("hinted", F.coalesce("given", "named"))
-    whole = F.array("said")
-    tried = hinted.select("id", "hinted", "prefer", F.posexplode(F.when(F.size("segments") > 1, F.concat(whole, "segments")).otherwise(whole)).alias("pos", "c"))
-    tried = tried.withColumn("alias", F.trim(F.regexp_replace(F.lower("c"), "[^a-z0-9]+", " ")))
-    scope = F.when(F.col("filed") == F.col("hinted"), 0).when(F.col("filed") == "", 1)
-    hits = tried.join(aliases, "alias").groupBy("id", "pos", "place", "country", "prefer").agg(F.min(scope).alias("scope"))
-    hit, own = F.struct("place", "country"), F.col("country") == F.col("prefer")
-    by_part = hits.groupBy("id", "pos").agg(
-        F.min(F.when(F.col("scope").isNotNull(), F.struct("scope", "place", "country"))).alias("scoped"),
-        F.count("*").alias("n"), F.min(hit).alias("only"), F.count_if(own).alias("n_own"), F.min(F.when(own, hit)).alias("own"),
-    )
-    rest = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_own") == 1, F.col("own"))
-    found = by_part.withColumn("rest", rest).groupBy("id").agg(
-        F.min_by("scoped", F.when(F.col("scoped").isNotNull(), F.col("pos"))).alias("scoped"), F.min_by("rest", F.when(F.col("rest").isNotNull(), F.col("pos"))).alias("rest")
+    countries = news.table("region").select(F.lower(region).alias("alias"), region.alias("named"))
+    return resolve(stories, aliases, countries)
+
+
+@query(f"""WITH {ALIASES_SQL}, c AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'Nation ' || c_nationkey END AS city, CASE WHEN c_custkey % 3 = 0 THEN 'p-' || c_nationkey % 10 END AS region, CASE WHEN c_custkey % 5 < 2 THEN 'Somewhere' ELSE r_name END AS place,
+ CASE WHEN c_custkey % 7 = 0 THEN r_name END AS given, CASE WHEN c_custkey % 2 = 0 THEN r_name END AS prefer FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+cand AS (SELECT id, given, prefer, k, {NORMAL_SQL.format("x")} AS alias FROM (SELECT id, given, prefer, unnest([0, 1, 2]) AS k, unnest([city, region, place]) AS x FROM c) WHERE x IS NOT NULL AND x <> 'null'),
+hits AS (SELECT id, k, place, country, given, prefer, min(CASE WHEN filed = given THEN 0 WHEN filed = '' THEN 1 END) AS scope FROM cand JOIN aliases USING (alias) GROUP BY ALL),
+per AS (SELECT id, k, arg_min((place, country), (scope, place)) FILTER (scope IS NOT NULL) AS scoped, CASE WHEN count(*) = 1 THEN min((place, country)) WHEN count(*) FILTER (country = prefer) = 1 THEN min((place, country)) FILTER (country = prefer) END AS rest FROM hits GROUP BY id, k),
+best AS (SELECT id, arg_min(coalesce(scoped, rest), k) AS hit FROM per WHERE coalesce(scoped, rest) IS NOT NULL GROUP BY id)
+SELECT c.id, hit[1] AS place, coalesce(given, hit[2], prefer) AS country FROM c LEFT JOIN best USING (id)""", False)
+def place_cascade(spark, sf_dir):
+    """The place of a story by its city, else its region, else its place, under the country given or the outlets' own; without any, the outlets' country."""
+    news = News(spark, sf_dir)
+    key, region = F.col("c_custkey"), F.col("r_name")
+    city = F.when(key % 4 == 0, "null").when(key % 4 == 1, F.concat(F.lit("Nation "), "c_nationkey"))
+    rows = news.table("customer").join(news.places(), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("id"), city.alias("city"), F.when(key % 3 == 0, F.concat(F.lit("p-"), F.col("c_nationkey") % 10)).alias("region"), F.when(key % 5 < 2, "Somewhere").otherwise(region).alias("place"),
+        F.when(key % 7 == 0, region).alias("given"), F.when(key % 2 == 0, region).alias("prefer"),
     )
-    place, country = F.coalesce("scoped.place", "rest.place"), F.coalesce("scoped.country", "rest.country")
-    rows = stories.join(hinted.select("id", "hinted"), "id", "left").join(found, "id", "left")
-    return rows.select("id", place.alias("place"), F.when(place.isNull(), F.col("given")).otherwise(F.coalesce("hinted", country)).alias("country"))
+    countries = news.table("region").select(F.lower(region).alias("alias"), region.alias("named"))
+    return cascade(rows, filed(news), countries)
 
 
 @query(""", sides AS (SELECT cluster_id, count(DISTINCT bias) AS n, bool_or(bias = 'left') AS l, bool_or(bias = 'centre') AS c, bool_or(bias = 'right') AS r FROM full_articles GROUP BY cluster_id),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pressweave.functions import text as T
 from pressweave.functions.headlines import chore
-from pressweave.operators import cycles, robots, selecting
+from pressweave.operators import cycles, gazetteer, robots, selecting
 from pressweave.operators.grouping import THRESHOLD, group_cycle
 from pressweave.operators.vectors import alike
 from pressweave.operators.world import Sub, Topic, bodies, pages, pills
@@ -142,3 +142,34 @@ def test_the_price_of_joining_a_group():
 
 def test_names_miss_short_ones(spark):
     assert values(spark, T.names, "Xi meets BRICS in New Delhi as The Hague waits") == [["new delhi", "the hague"]]
+
+
+FILED = [("delhi", "IN", "c:del", "IN"), ("india", "", "n:in", "IN"), ("hyderabad", "", "c:hyd", "IN"), ("hyderabad", "IN", "c:hyd", "IN"), ("london", "GB", "c:lon", "GB"), ("london", "CA", "c:ldn", "CA"), ("sao paulo", "BR", "c:sp", "BR"), ("karnataka", "IN", "a:ka", "IN")]
+
+
+def found(spark, *texts, ends=False):
+    """Place and country of (said, given, prefer)."""
+    aliases = spark.createDataFrame(FILED, "alias string, filed string, place string, country string")
+    countries = spark.createDataFrame([("india", "IN")], "alias string, named string")
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "id int, said string, given string, prefer string")
+    return [(r.place, r.country) for r in gazetteer.resolve(rows, aliases, countries, ends).orderBy("id").collect()]
+
+
+def test_a_city_is_the_same_with_its_country_behind_it(spark):
+    assert found(spark, ("Delhi", None, None), ("Delhi, India", None, None), ("New Town, Delhi, India", None, None)) == [("c:del", "IN")] * 3
+    # the last part first, if the ends are asked
+    assert found(spark, ("Delhi, India", None, None), ends=True) == [("n:in", "IN")]
+
+
+def test_a_name_of_several_countries(spark):
+    assert found(spark, ("Hyderabad", None, None), ("Hyderabad", "IN", None), ("Hyderabad", "PK", None)) == [("c:hyd", "IN"), ("c:hyd", "IN"), ("c:hyd", "PK")]
+    assert found(spark, ("London", None, None), ("London", None, "CA"), ("London", "GB", "CA"), ("London", "FR", None)) == [(None, None), ("c:ldn", "CA"), ("c:lon", "GB"), (None, "FR")]
+    assert found(spark, ("São  Paulo!", None, None), ("", "IN", None), (None, None, "IN"), (" , ", "GB", None)) == [("c:sp", "BR"), (None, "IN"), (None, None), (None, "GB")]
+
+
+def test_countries_and_placeholders(spark):
+    assert values(spark, gazetteer.iso, " uk", "in", "IND", "", None) == ["GB", "IN", None, None, None]
+    aliases = spark.createDataFrame(FILED, "alias string, filed string, place string, country string")
+    rows = [(1, "Delhi", "Karnataka", "London", None, "CA"), (2, "null", "Karnataka", "London", None, "CA"), (3, " N/A ", None, "London", None, "CA"), (4, "Nowhere", None, None, None, "CA"), (5, None, None, None, "FR", "CA")]
+    got = gazetteer.cascade(spark.createDataFrame(rows, "id int, city string, region string, place string, given string, prefer string"), aliases, spark.createDataFrame([("india", "IN")], "alias string, named string"))
+    assert [(r.place, r.country) for r in got.orderBy("id").collect()] == [("c:del", "IN"), ("a:ka", "IN"), ("c:ldn", "CA"), (None, "CA"), (None, "FR")]
