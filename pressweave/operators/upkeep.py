@@ -65,3 +65,22 @@ def typed(labels: DataFrame, places: DataFrame, held: DataFrame) -> DataFrame:
     covered = held.join(names.select("place_id", "said"), "place_id").select("reader", "said").distinct()
     hits = few.join(covered, ["reader", "said"], "left_anti").join(names, "said")
     return hits.groupBy("reader", "said").agg(F.min_by("place_id", F.struct(-F.coalesce("population", F.lit(0)), "place_id")).alias("place_id")).select("reader", "place_id").distinct()
+
+
+def agreement(ratings: DataFrame) -> DataFrame:
+    """(band, n, exact, near, kappa) of ratings (band, a, b) on a scale of whole numbers, band null for all together.
+
+    A24: the shares of equal ratings and of those at most one apart, and Cohen's
+    kappa, null where chance alone agrees. Ratings that lack a side don't count;
+    they meet as counts of (band, a, b), not as rows.
+    """
+    rated = ratings.where("a IS NOT NULL AND b IS NOT NULL")
+    each = F.explode(F.array(F.col("band").cast("string"), F.lit(None).cast("string"))).alias("band")
+    pairs = rated.where("band IS NOT NULL").select(each, "a", "b").union(rated.where("band IS NULL").select(F.lit(None).cast("string"), "a", "b")).groupBy("band", "a", "b").agg(F.count("*").alias("n"))
+    total = pairs.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"), F.sum(F.when(F.abs(F.col("a") - F.col("b")) <= 1, F.col("n")).otherwise(0)).alias("close"))
+    by = lambda side: pairs.groupBy("band", F.col(side).alias("value")).agg(F.sum("n").alias(f"n_{side}"))
+    of_b = by("b").select(F.col("band").alias("band_b"), F.col("value").alias("value_b"), "n_b")
+    chance = by("a").join(of_b, F.col("band").eqNullSafe(F.col("band_b")) & (F.col("value") == F.col("value_b"))).groupBy(F.col("band").alias("of")).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("met"))
+    rows = total.join(chance, F.col("band").eqNullSafe(F.col("of")), "left")
+    exact, expected = F.col("same") / F.col("n"), F.coalesce("met", F.lit(0)) / (F.col("n") * F.col("n"))
+    return rows.select("band", "n", exact.alias("exact"), (F.col("close") / F.col("n")).alias("near"), F.when(expected < 1, (exact - expected) / (1 - expected)).alias("kappa"))

@@ -132,3 +132,15 @@ def place_line(spark, sf_dir):
     homes = news.table("region").select(F.col("r_regionkey").alias("home"), F.col("r_name").alias("country"))
     rows = held.join(places, F.col("signed") % 40 == F.col("at"), "left").join(homes, F.col("reader") % 5 == F.col("home"), "left")
     return rows.select("reader", F.coalesce("named", F.concat(F.lit("typed "), F.col("clicked") % 100), "country").alias("line"))
+
+
+@query("""WITH r AS (SELECT o_orderstatus AS band, 6 - CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS a, least(5, 1 + CAST(floor(o_totalprice / 100000) AS BIGINT)) AS b FROM orders), x AS (SELECT * FROM r UNION ALL SELECT NULL, a, b FROM r),
+t AS (SELECT band, count(*) AS n, count(*) FILTER (a = b) AS same, count(*) FILTER (abs(a - b) <= 1) AS close FROM x GROUP BY band), pa AS (SELECT band, a AS v, count(*) AS n FROM x GROUP BY 1, 2), pb AS (SELECT band, b AS v, count(*) AS n FROM x GROUP BY 1, 2),
+c AS (SELECT pa.band, sum(pa.n * pb.n)::DOUBLE AS met FROM pa JOIN pb ON pa.band IS NOT DISTINCT FROM pb.band AND pa.v = pb.v GROUP BY pa.band)
+SELECT t.band, n, round(same / n, 6) AS exact, round(close / n, 6) AS near, round((same / n - coalesce(met, 0) / (n * n)) / (1 - coalesce(met, 0) / (n * n)), 6) AS kappa FROM t LEFT JOIN c ON t.band IS NOT DISTINCT FROM c.band""", False)
+def rater_agreement(spark, sf_dir):
+    """How a desk's priority and a story's size agree on a scale of five, by band and together."""
+    orders = News(spark, sf_dir).table("orders")
+    rows = orders.select(F.col("o_orderstatus").alias("band"), (6 - F.substring("o_orderpriority", 1, 1).cast("long")).alias("a"), F.least(F.lit(5).cast("long"), 1 + F.floor(F.col("o_totalprice") / 100000)).alias("b"))
+    found = upkeep.agreement(rows)
+    return found.select("band", "n", *[F.round(c, 6).alias(c) for c in ("exact", "near", "kappa")])

@@ -173,3 +173,13 @@ def test_countries_and_placeholders(spark):
     rows = [(1, "Delhi", "Karnataka", "London", None, "CA"), (2, "null", "Karnataka", "London", None, "CA"), (3, " N/A ", None, "London", None, "CA"), (4, "Nowhere", None, None, None, "CA"), (5, None, None, None, "FR", "CA")]
     got = gazetteer.cascade(spark.createDataFrame(rows, "id int, city string, region string, place string, given string, prefer string"), aliases, spark.createDataFrame([("india", "IN")], "alias string, named string"))
     assert [(r.place, r.country) for r in got.orderBy("id").collect()] == [("c:del", "IN"), ("a:ka", "IN"), ("c:ldn", "CA"), (None, "CA"), (None, "FR")]
+
+
+def test_agreement_of_two_raters(spark):
+    from pressweave.operators.upkeep import agreement
+
+    rows = [("x", 1, 1), ("x", 2, 2), ("x", 1, 2), ("x", 3, 1), ("y", 4, 4), ("y", 4, 4), (None, 5, 1), ("x", None, 1)]
+    got = {r.band: (r.n, r.exact, r.near, r.kappa) for r in agreement(spark.createDataFrame(rows, "band string, a int, b int")).collect()}
+    # by hand: chance is (2*2 + 1*2 + 1*0) / 16 in x; in y all agree by chance alone
+    assert got["x"] == (4, 0.5, 0.75, pytest.approx((0.5 - 0.375) / 0.625)) and got["y"] == (2, 1.0, 1.0, None)
+    assert got[None][0] == 7 and got[None][1] == pytest.approx(4 / 7)
