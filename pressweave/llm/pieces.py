@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 SPACE_MARK = "▁"
-#: Entries kept of each cache of a task's process, and the longest text that is kept: both bound its memory.
-CACHE_ENTRIES, CACHE_LENGTH = 600_000, 64
+#: Entries kept of a process's caches of pairs of pieces, texts between cuts and parts, and the longest text that is kept. They bound the
+#: memory of a Python worker, which keeps its caches after its tasks: a part takes some 300 bytes, and most texts between cuts come once.
+PAIRS_KEPT, UNITS_KEPT, PARTS_KEPT, CACHE_LENGTH = 400_000, 40_000, 300_000, 64
 
 
 @lru_cache(maxsize=2)
@@ -46,13 +47,13 @@ def vocabulary(path: str) -> tuple[tuple[str, float, int], ...]:
 class _Made(dict):
     """A bounded cache of two generations: values are made on first use; when the young half is full, the old half goes. Texts over CACHE_LENGTH are made anew each time."""
 
-    def __init__(self, make):
-        self.make, self.old = make, {}
+    def __init__(self, make, entries: int):
+        self.make, self.half, self.old = make, entries // 2, {}
 
     def __missing__(self, key):
         if isinstance(key, str) and len(key) > CACHE_LENGTH:
             return self.make(key)
-        if len(self) >= CACHE_ENTRIES // 2:
+        if len(self) >= self.half:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -93,9 +94,9 @@ class Pieces:
         # a space mark after another character starts a piece in any such vocabulary; else texts stay in one part
         whole = any(b[1] == SPACE_MARK and b[0] != SPACE_MARK for b in self.inside)
         self.parts = re.compile("(?s).+" if whole else f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
-        self.fits = _Made(self._fits)
-        self.units = _Made(self.backtrack)
-        self.done = _Made(self._part)
+        self.fits = _Made(self._fits, PAIRS_KEPT)
+        self.units = _Made(self.backtrack, UNITS_KEPT)
+        self.done = _Made(self._part, PARTS_KEPT)
 
     def _fits(self, pair: int) -> bool:
         """Whether merging the characters of two pieces anew gives the two; pair: left id * number of pieces + right id."""
