@@ -13,8 +13,9 @@ from pressweave.operators import cycles, gazetteer, robots, selecting
 from pressweave.operators.grouping import THRESHOLD, group_cycle
 from pressweave.operators.vectors import alike
 from pressweave.operators.world import Sub, Topic, bodies, pages, pills
-from pressweave.plans import selection
+from pressweave.plans import registry, selection
 
+from .compare import of_duckdb, of_spark
 from .test_grouping import article as words_of
 
 START = datetime(2024, 1, 10)
@@ -183,3 +184,12 @@ def test_agreement_of_two_raters(spark):
     # by hand: chance is (2*2 + 1*2 + 1*0) / 16 in x; in y all agree by chance alone
     assert got["x"] == (4, 0.5, 0.75, pytest.approx((0.5 - 0.375) / 0.625)) and got["y"] == (2, 1.0, 1.0, None)
     assert got[None][0] == 7 and got[None][1] == pytest.approx(4 / 7)
+
+
+def test_changed_keys_of_all_days_without_those_gone_on_any_day(spark, tmp_path):
+    days = [(1, "purchase", 0), (1, "purchase", 0), (2, "purchase", 29), (2, "error", 0), (3, "purchase", 29), (4, "view", 29), (5, "error", 29)]
+    rows = [(k, START + timedelta(days=day), user, kind) for k, (user, kind, day) in enumerate(days)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = of_spark(selection.dirty_minus_buried(spark, str(tmp_path)))
+    assert got[1] == {(1,): 1, (3,): 1}
+    assert got == of_duckdb(registry.ORACLES["dirty_minus_buried"].replace("events", f"read_parquet('{tmp_path}/events.parquet/*.parquet')"), str(tmp_path))
