@@ -34,8 +34,9 @@ from .packs import PART_BYTES, TOKEN_BITS, Batch, codes, frequencies, pack, tota
 
 #: Operator 1's words of a shingle and percent of shared shingles that links; longest match count; partners above which l goes to 2, 3 and 4.
 WORDS, PERCENT, MOST_MATCHES, COSTS = 3, 90, 4, (16, 64, 256)
-#: Words of 64 parity bits of a set; rows of a list before a row among which its neighbour is chosen.
-PARITY_WORDS, LOOK_BACK = 8, 16
+#: Words of 64 parity bits of a set; rows of a list before a row among which its neighbour is chosen; posted shingles of a document before one
+#: that a row of the second look carries, so that a pair is told by the first lists that it shares and not by all of them.
+PARITY_WORDS, LOOK_BACK, CONTEXT = 8, 16, 8
 UNSIGNED_SHIFT = np.uint64(64 - TOKEN_BITS)
 
 
@@ -150,8 +151,10 @@ def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[di
         if not ready:
             continue
         table = pa.Table.from_batches(ready)
-        found = {c: np.asarray(table[c]) for c in columns if c != "parity"}
+        found = {c: np.asarray(table[c]) for c in columns if c not in ("parity", "context")}
         found["parity"] = np.frombuffer(b"".join(table["parity"].to_pylist()), dtype=np.uint64).reshape(-1, PARITY_WORDS)
+        if "context" in columns:
+            found["context"] = np.asarray(table["context"].combine_chunks().flatten()).reshape(-1, CONTEXT)
         at = runs(found["token"])
         many = np.repeat(np.diff(at) > 1, np.diff(at))
         if many.any():
@@ -196,6 +199,15 @@ def _window(x: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndar
     return of, first, np.searchsorted(sizes, key + np.minimum(x["n"] * 100 // percent, bound), side="right")
 
 
+def _common(context: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the contexts of rows i and j have in common; 0 stands for none."""
+    common = np.zeros(len(i), dtype=np.int64)
+    for k in range(context.shape[1]):
+        one = context[i, k]
+        common += (one != 0) & (one[:, None] == context[j]).any(axis=1)
+    return common
+
+
 COLUMNS = ["token", "doc_id", "n", "place", "parity", "component"]
 
 
@@ -216,8 +228,11 @@ def _first_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def _second_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, asked): pairs of a list that may link and lie in different components, with how many lists they must share."""
-    for x in _lists(batches, [*COLUMNS, "matches"]):
+    """(a, b, asked): pairs of a list that may link and lie in different components, with how many lists they must share.
+
+    A list leaves out a pair of whose lists before it as many as asked for are known: of these lists, the first ones give it.
+    """
+    for x in _lists(batches, [*COLUMNS, "matches", "context"]):
         of, _, end = _window(x, percent)
         later = end - np.arange(len(of)) - 1
         # lists of few components: all pairs of different ones; else all pairs that sizes allow
@@ -236,6 +251,8 @@ def _second_look(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
                 asked = np.minimum(x["matches"][i], x["matches"][j])
                 ok, _ = _may_link(x, i, j, percent, asked == 1)
                 i, j, asked = i[ok], j[ok], asked[ok]
+                new = _common(x["context"], i, j) < asked
+                i, j, asked = i[new], j[new], asked[new]
                 a, b = np.minimum(x["doc_id"][i], x["doc_id"][j]), np.maximum(x["doc_id"][i], x["doc_id"][j])
                 yield pa.RecordBatch.from_arrays([_long(v) for v in (a, b, asked)], names=["a", "b", "asked"])
 
@@ -302,6 +319,9 @@ def _linked(packed: DataFrame, words: int, percent: int, part_bytes: int) -> Dat
     posting = materialise(prefixes.where("packed IS NOT NULL").join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]).drop("batch", "h1", "h2"))
     base = F.col("n") - F.ceil(F.col("n") * percent / 100)
     lists = posting.select("doc_id", "n", "parity", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "doc_id", "n", F.col("x.places").alias("place"), "parity")
+    before = F.concat(F.array_repeat(F.lit(0).cast("long"), CONTEXT), "tokens")
+    contexts = F.transform("tokens", lambda token, k: F.struct(token.alias("token"), F.get("places", k).alias("place"), F.slice(before, k + 1, F.lit(CONTEXT)).alias("context")))
+    with_context = posting.select("doc_id", "n", "parity", F.explode(contexts).alias("x")).select("x.token", "doc_id", "n", "x.place", "parity", "x.context")
     seen = _neighbours(lists.where(F.col("place") < base + 1).withColumn("component", F.col("doc_id")), percent)
     links = _near_links(seen, posting, words, percent)
     joined = components(links)
@@ -311,12 +331,12 @@ def _linked(packed: DataFrame, words: int, percent: int, part_bytes: int) -> Dat
     joined = components(links)
     matches = F.lit(1) + sum((F.col("partners") > c).cast("int") for c in COSTS)
     open_ = (
-        _with_component(lists.join(seen.select("doc_id", "partners"), "doc_id"), joined)
+        _with_component(with_context.join(seen.select("doc_id", "partners"), "doc_id"), joined)
         .withColumn("matches", F.least(matches, F.ceil(F.col("n") * percent / 100)).cast("long"))
         .where(F.col("place") < base + F.col("matches"))
     )
     pairs = (
-        _look(open_.select(*COLUMNS, "matches"), partial(_second_look, percent), "a long, b long, asked long")
+        _look(open_.select(*COLUMNS, "matches", "context"), partial(_second_look, percent), "a long, b long, asked long")
         .groupBy("a", "b")
         .agg(F.count("*").alias("shared"), F.first("asked").alias("asked"))
         .where("shared >= asked")

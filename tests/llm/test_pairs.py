@@ -8,6 +8,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given as holds
 from hypothesis import settings
@@ -97,6 +98,18 @@ def test_stage_drops_near_copies_from_a_similarity_of_08(spark):
     assert sorted(r.doc_id for r in kept) == want == [1, 4]
 
 
+def test_a_pair_is_told_by_as_many_lists_as_it_must_share():
+    # two documents share 30 of 40 shingles; those before a shingle of one of them stand in its context
+    rows, size = [], jaccard.CONTEXT
+    for doc in (1, 2):
+        tokens = [t if t % 4 else 100 * t + doc for t in range(1, 41)]
+        before = [0] * size + tokens
+        rows += [{"token": t, "doc_id": doc, "n": 300, "place": k, "parity": bytes(8 * jaccard.PARITY_WORDS), "component": doc, "matches": 3, "context": before[k : k + size]} for k, t in enumerate(tokens)]
+    rows = pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: (r["token"], r["doc_id"])))
+    told = [r for batch in jaccard._second_look(80, iter([rows])) for r in batch.to_pylist()]
+    assert told == [{"a": 1, "b": 2, "asked": 3}] * 3
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.link(fixtures.empty(spark)).count() == 0
 
