@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 SPACE_MARK = "▁"
+#: Score of a pair that is no piece.
+NO_MERGE = float("-inf")
 #: Entries kept of a process's caches of pairs of pieces, texts between cuts and parts, and the longest text that is kept. They bound the
 #: memory of a Python worker, which keeps its caches after its tasks: a part takes some 300 bytes, and most texts between cuts come once.
 PAIRS_KEPT, UNITS_KEPT, PARTS_KEPT, CACHE_LENGTH = 400_000, 40_000, 300_000, 64
@@ -80,6 +83,7 @@ class Pieces:
         self.automaton = ahocorasick.Automaton()
         self.inside: set[str] = set()
         self.size = [len(x[0]) for x in pieces]
+        self.known = frozenset(p for p in self.id if len(p) == 1)
         self.longest = max(map(len, self.id))
         for p, i in self.id.items():
             # a piece that no sequence of merges makes can't come up
@@ -94,27 +98,54 @@ class Pieces:
         # a space mark after another character starts a piece in any such vocabulary; else texts stay in one part
         whole = any(b[1] == SPACE_MARK and b[0] != SPACE_MARK for b in self.inside)
         self.parts = re.compile("(?s).+" if whole else f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
+        self.grown = _Made(self._grown, 2 * len(pieces))
         self.fits = _Made(self._fits, PAIRS_KEPT)
         self.units = _Made(self.backtrack, UNITS_KEPT)
         self.done = _Made(self._part, PARTS_KEPT)
 
     def _fits(self, pair: int) -> bool:
         """Whether merging the characters of two pieces anew gives the two; pair: left id * number of pieces + right id."""
-        two = [self.pieces[i][0] for i in divmod(pair, len(self.pieces))]
-        return two[0][-1] + two[1][0] not in self.inside or self.merge("".join(two)) == two
+        left, right = divmod(pair, len(self.pieces))
+        if self.pieces[left][0][-1] + self.pieces[right][0][0] not in self.inside:
+            return True
+        # until a merge crosses the border, each side grows as it does by itself, the side of the better next merge first
+        (gains, _, lasts), (others, firsts, _), score = self.grown[left], self.grown[right], self.score
+        i = j = 0
+        while True:
+            gain, other = gains[i], others[j]
+            crossing = score.get(lasts[i] + firsts[j], NO_MERGE)
+            if crossing > gain and crossing >= other:
+                return False
+            if gain == other == NO_MERGE:
+                return True
+            if gain >= other:
+                i += 1
+            else:
+                j += 1
 
-    def merge(self, text: str) -> list[str]:
-        """The merge rule itself: join the adjacent pair of best score, leftmost first, while any pair is a piece."""
+    def _grown(self, piece: int) -> tuple[tuple[float, ...], tuple[str, ...], tuple[str, ...]]:
+        """How a piece grows from its characters: before each merge and at the end, the score of the next merge and the first and the last part."""
+        steps: list[tuple[float, str, str]] = []
+        self.merge(self.pieces[piece][0], lambda best, out: steps.append((best, sys.intern(out[0]), sys.intern(out[-1]))))
+        return tuple(zip(*steps))
+
+    def merge(self, text: str, watch: Callable[[float, list[str]], None] | None = None) -> list[str]:
+        """The merge rule itself: join the adjacent pair of best score, leftmost first, while any pair is a piece; watch sees each step's score and parts."""
         out, score = list(text), self.score
+        gains = [score.get(a + b, NO_MERGE) for a, b in zip(out, out[1:])]
         while True:
-            best, at = None, -1
-            for i in range(len(out) - 1):
-                s = score.get(out[i] + out[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
+            best = max(gains, default=NO_MERGE)
+            if watch:
+                watch(best, out)
+            if best == NO_MERGE:
                 return out
-            out[at : at + 2] = [out[at] + out[at + 1]]
+            i = gains.index(best)
+            out[i : i + 2] = [out[i] + out[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = score.get(out[i - 1] + out[i], NO_MERGE)
+            if i < len(gains):
+                gains[i] = score.get(out[i] + out[i + 1], NO_MERGE)
 
     def backtrack(self, text: str) -> list[int]:
         """Ids of a text between two cuts, so that each of its characters is a piece, or it is one character."""
@@ -124,6 +155,15 @@ class Pieces:
         failed = None  # once there is one, bit i: from position i on, nothing fits
         out: list[int] = []
         pos, left, piece = 0, -1, -1
+        # mostly the longest matches one after the other fit; from the first that doesn't, each is looked for by itself
+        for _, piece in longest(text):
+            if left >= 0 and not fits[left * many + piece]:
+                pos = sum([size[i] for i in out])
+                break
+            out.append(piece)
+            left = piece
+        else:
+            return out
         while pos < n:
             # the automaton copies what it is given, so it gets no more than a piece can span
             piece = next(longest(text[pos : pos + most]))[1] if piece < 0 else shorter[piece]
@@ -147,6 +187,8 @@ class Pieces:
 
     def _part(self, part: str) -> tuple[bytes, str, int]:
         """Ids as little-endian 32-bit bytes, the decoded characters and the number of byte pieces of a part."""
+        if len(part) <= CACHE_LENGTH and self.known.issuperset(part):
+            return array("I", self.backtrack(part)).tobytes(), part.replace(SPACE_MARK, " "), 0
         inside = self.inside
         # where no piece holds two neighbouring characters together, no merge crosses
         cuts = [i for i in range(1, len(part)) if part[i - 1 : i + 1] not in inside]

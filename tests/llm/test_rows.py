@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -216,6 +217,33 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=MODEL)
 
 
+def test_pieces_of_a_word_ask_the_automaton_once_where_the_longest_fit(monkeypatch):
+    p = pieces.Pieces(pieces.vocabulary(MODEL))
+    word = next(w for w in ("▁international,", "▁understanding.", "▁documentation,") if len(p.backtrack(w)) > 1 and p.backtrack(w) == [i for _, i in p.automaton.iter_long(w)])
+    asked = []
+
+    class Counted:
+        def iter_long(self, text):
+            asked.append(text)
+            return automaton.iter_long(text)
+
+    automaton = p.automaton
+    monkeypatch.setattr(p, "automaton", Counted())
+    assert p._part(word)[1] == word.replace("▁", " ")
+    assert asked == [word]
+
+
+def test_pairs_of_pieces_fit_as_merging_anew_says():
+    p = pieces.Pieces(pieces.vocabulary(MODEL))
+    r, ids, merged = random.Random(3), sorted(p.automaton.values()), []
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(5000)]
+    want = [p.merge(p.pieces[a][0] + p.pieces[b][0]) == [p.pieces[a][0], p.pieces[b][0]] for a, b in pairs]
+    p.merge, merge = lambda text, *watch: merged.append(text) or merge(text, *watch), p.merge
+    assert [p._fits(a * len(p.pieces) + b) for a, b in pairs] == want and not all(want)
+    # no pair is merged for the check, only each piece by itself
+    assert all(text in p.id for text in merged)
+
+
 def test_pieces_are_the_library_s(spark, library):
     rows = every_row(spark)
     got = {r.doc_id: r for r in pieces.encode_documents(fixtures.documents(spark, rows, repeat=False), MODEL).collect()}
