@@ -20,6 +20,13 @@ def dated(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in FORMATS])
 
 
+def escaped(text: Column) -> Column:
+    """Text as it stands in an element or an attribute of a feed."""
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;")):
+        text = F.replace(text, F.lit(sign), F.lit(entity))
+    return text
+
+
 def first_image(content: Column) -> Column:
     """The source of the first picture in a piece of HTML."""
     return F.nullif(F.regexp_extract(content, r"""(?i)<img[^>]+src=["']([^"']+)["']""", 1), F.lit(""))
